@@ -17,80 +17,29 @@ table gives an empty table. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm import bloom
 from stratum.llm._common import stage
 
-#: Bits of the filter, and places a hash has in it. Two maps of BITS / 8 bytes are broadcast: 4 MB.
-BITS, PLACES = 1 << 24, 3
-SEGMENTS = 64
-
 
 def normal(text):
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def places(h: np.ndarray, bits: int) -> np.ndarray:
-    """PLACES x n places by double hashing of 64-bit hashes."""
-    h = h.astype(np.uint64)
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b) % np.uint64(bits) for k in range(PLACES)])
-
-
-def _pairs(maps: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    once, again = (np.packbits(m).reshape(SEGMENTS, -1) for m in maps)
-    full = [i for i in range(SEGMENTS) if once[i].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([once[i].tobytes() for i in full], pa.binary()), pa.array([again[i].tobytes() for i in full], pa.binary())], names=["segment", "once", "again"])
-
-
-def repeated_filter(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """From a column ``h`` of 64-bit hashes, the packed map of places set by two rows or more: bits / 8 bytes."""
-
-    def scan(batches):
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            for at in places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                own, n = np.unique(at, return_counts=True)
-                again[own[once[own] | (n > 1)]] = True
-                once[own] = True
-        yield from _pairs((once, again))
-
-    def merge(key, batch):
-        once = again = None
-        for o, a in zip(batch.column("once").to_pylist(), batch.column("again").to_pylist()):
-            o, a = np.frombuffer(o, np.uint8), np.frombuffer(a, np.uint8)
-            again = a if once is None else again | a | (once & o)
-            once = o if once is None else once | o
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "once": pa.array([once.tobytes()], pa.binary()), "again": pa.array([again.tobytes()], pa.binary())})
-
-    shape = "segment int, once binary, again binary"
-    parts = hashes.select("h").mapInArrow(scan, shape).groupBy("segment").applyInArrow(merge, shape)
-    out = np.zeros((SEGMENTS, bits // 8 // SEGMENTS), np.uint8)
-    for r in parts.select("segment", "again").toLocalIterator():
-        out[r["segment"]] = np.frombuffer(r["again"], np.uint8)
-    return out.reshape(-1)
-
-
-def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, bits: int = bloom.BITS) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     clean = normal(F.col("text"))
     rows = stage(docs.select("doc_id", clean.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.sha2("t", 256).alias("text_sha256")))
-    shared = spark.sparkContext.broadcast(repeated_filter(rows, bits))
+    shared = spark.sparkContext.broadcast(bloom.maps(rows.select("h"), bits)[1])
 
     def flag(batches):
         again = shared.value
         for batch in batches:
-            at = places(batch.column(1).to_numpy(zero_copy_only=False), bits)
-            hit = np.ones(batch.num_rows, bool)
-            for p in at:
-                p = p.astype(np.int64)
-                hit &= (again[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+            hit = bloom.has(again, batch.column(1).to_numpy(zero_copy_only=False), bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hit)], names=["doc_id", "text_sha256", "maybe"])
 
     flagged = stage(rows.mapInArrow(flag, "doc_id bigint, text_sha256 string, maybe boolean"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import bpe, chat, exact_dedup, mixing, token_store
+from stratum.llm import bpe, chat, embed_dedup, exact_dedup, langid, line_dedup, mixing, ngram_join, token_store, toxicity
 from stratum.llm._common import table
 
 
@@ -20,6 +20,18 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -27,6 +39,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(turns.unionByName(planted))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -35,17 +51,49 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op5_chat, op7_mixing, op8_exact_dedup, op10_bpe)
+    f.__name__: f for f in (op1_token_store, op2_toxicity, op3_ngram_join, op4_embed_dedup, op5_chat, op6_line_dedup, op7_mixing, op8_exact_dedup, op9_langid, op10_bpe)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op3_ngram_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets), tokens AS (
+    SELECT doc_id, n, t FROM (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets)
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id != b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, n AS n_shingles, min(r.b) AS component_id FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, n""",
+    "op4_embed_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+    SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id != b.vec_id AND a.norm > 0 AND b.norm > 0
+    WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT r.a AS vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r LEFT JOIN counts c ON c.a = r.a GROUP BY r.a""",
     "op5_chat": """
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -66,6 +114,31 @@ SELECT conv_id, count(*) AS n_turns,
     bool_and(CASE WHEN place = 1 THEN role IN ('system', 'user') WHEN role = 'user' THEN before IN ('assistant', 'system') AND (before = 'assistant' OR place = 2)
         WHEN role = 'assistant' THEN before = 'user' ELSE false END) AND bool_or(from_end = 1 AND role = 'assistant') AS valid
 FROM moves GROUP BY conv_id""",
+    "op6_line_dedup": """
+WITH pieces AS (
+    SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
+), raw AS (
+    SELECT doc_id, unnest(parts) AS whole, unnest(range(len(parts))) AS line_no FROM pieces
+), lines AS (
+    SELECT doc_id, line_no, trim(whole, ' ') AS line FROM raw WHERE trim(whole, ' ') != ''
+), firsts AS (
+    SELECT line, min(doc_id * 1000000 + line_no) AS place, length(line) AS n FROM lines GROUP BY line
+), near AS (
+    SELECT DISTINCT a.line FROM firsts a JOIN firsts b ON left(a.line, 8) = left(b.line, 8) AND a.n BETWEEN b.n - 1 AND b.n + 1
+    WHERE b.place < a.place AND a.n >= 16 AND b.n >= 16 AND left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) AND levenshtein(a.line, b.line) <= 1
+    UNION SELECT DISTINCT a.line FROM firsts a JOIN firsts b ON right(a.line, 8) = right(b.line, 8) AND a.n BETWEEN b.n - 1 AND b.n + 1
+    WHERE b.place < a.place AND a.n >= 16 AND b.n >= 16 AND right(a.line, least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) // 2) AND levenshtein(a.line, b.line) <= 1
+), gone AS (
+    SELECT l.doc_id, l.line_no FROM lines l JOIN firsts f USING (line) LEFT JOIN near n USING (line)
+    WHERE f.place != l.doc_id * 1000000 + l.line_no OR n.line IS NOT NULL
+), kept AS (
+    SELECT r.doc_id, string_agg(r.whole, chr(10) ORDER BY r.line_no) AS text FROM raw r ANTI JOIN gone g ON r.doc_id = g.doc_id AND r.line_no = g.line_no GROUP BY r.doc_id
+), counts AS (
+    SELECT d.doc_id, count(l.line_no) AS n_lines, count(l.line_no) - count(g.line_no) AS n_kept FROM documents d LEFT JOIN lines l ON d.doc_id = l.doc_id
+    LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY d.doc_id
+)
+SELECT c.doc_id, n_lines, n_kept, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM counts c JOIN documents d ON c.doc_id = d.doc_id LEFT JOIN kept k ON c.doc_id = k.doc_id""",
     "op7_mixing": r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents

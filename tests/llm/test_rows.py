@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
-from stratum.llm import chat, exact_dedup, mixing
+from stratum.llm import bloom, chat, exact_dedup, mixing
 
 
 def test_mixing_targets_and_rates(small_docs):
@@ -45,7 +45,7 @@ def test_mixing_reruns_agree(small_docs):
 
 def test_exact_dedup(small_docs, edge):
     for docs in (small_docs, edge):
-        for bits in (exact_dedup.BITS, 512):  # a filter far too small changes nothing
+        for bits in (bloom.BITS, 512):  # a filter far too small changes nothing
             groups = defaultdict(list)
             low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
             for r in docs.collect():
@@ -61,7 +61,7 @@ def test_exact_dedup(small_docs, edge):
 
 def test_unrepeated_rows_pass_straight_through(spark):
     rows = spark.range(2000).selectExpr("xxhash64(id) as h").union(spark.createDataFrame([(7,), (7,)], "h long"))
-    full = exact_dedup.repeated_filter(rows, 1 << 20)
+    full = bloom.maps(rows, 1 << 20)[1]
     import numpy as np
 
     assert 1 <= int(np.unpackbits(full).sum()) < 40
