@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from stratum.llm._common import map_batches
 
 #: What a worker remembers: that many fragments, none of more bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -69,33 +69,58 @@ def inner_pairs(tokens: list[bytes]) -> np.ndarray:
 
 
 def cutter(tokens: list[bytes]) -> Callable[[bytes], list[bytes]]:
-    """Cuts bytes before white space wherever the pair across the cut is in no token."""
+    """Cuts bytes before white space that follows other bytes, wherever the pair across the cut is in no token.
+
+    Bytes that some token has before white space keep it to themselves.
+    """
     seen = inner_pairs(tokens)
-    space = [b for b in WHITE if not seen[:, b].all()]
-    same = all((seen[:, a] == seen[:, space[0]]).all() for a in space) if space else False
-    if space and same:
-        ends = bytes(np.flatnonzero(~seen[:, space[0]]).tolist())
-        pattern = b"(?<=[" + re.escape(ends) + b"])(?=[" + re.escape(bytes(space)) + b"])"
-    elif space:
-        pattern = b"|".join(b"(?<=[" + re.escape(bytes(np.flatnonzero(~seen[:, b]).tolist())) + b"])(?=" + re.escape(bytes([b])) + b")" for b in space)
-    else:
-        return lambda data: [data]
-    return re.compile(pattern).split
-
-
-class Fragments(dict):
-    """Fragment -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+    keeps = bytes(b for b in range(256) if b not in WHITE and seen[b, list(WHITE)].any())
+    if not keeps:
+        return re.compile(rb"\s*\S+|\s+").findall
+    held = b"[" + re.escape(keeps) + b"]"
+    return re.compile(rb"\s*(?:[^\s" + re.escape(keeps) + rb"]+|" + held + rb"\s*)+|\s+").findall
+
 
-    def __missing__(self, fragment: bytes) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(fragment) <= LONGEST:
+class Pieces(dict):
+    """Piece of text -> its packed ids, remembered; pieces are such that the library gives them the same ids alone.
+
+    A piece of Latin letters, after a space or not, is one word to the
+    pre-tokeniser, so its merges are asked of the library's model directly;
+    stops at its end are a word of their own. Anything else takes the whole way.
+    """
+
+    def __init__(self, tokenizer, kind: str = "<u4"):
+        super().__init__()
+        self.tokenizer, self.kind = tokenizer, kind
+        self.lower = tokenizer.normalizer is not None
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        probes = [b"word", "\u00e9t\u00e9".encode(), b"aaaaaab"] + ([] if self.lower else [b" word", b"Word"])
+        self.direct = all(self._merged(p.decode()) == self._whole(p.decode()) for p in probes)
+
+    def _merged(self, text: str) -> bytes:
+        shown = text if text.isascii() and text.isalpha() else "".join(self.symbols[b] for b in text.encode())
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        core = text if self.lower else text.removeprefix(" ")
+        return core.isalpha() and (core.isascii() or max(core) < "\u0250") and not (self.lower and core != core.lower())
+
+    def __missing__(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        head = text.rstrip(".,;:!?")
+        if not self.direct or not head or not self._plain(head):
+            ids = self._whole(text)
+        elif head == text:
+            ids = self._merged(text)
+        else:
+            ids = self[head.encode()] + self[text[len(head) :].encode()]
+        if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[fragment] = ids
+            self[piece] = ids
         return ids
 
 
@@ -108,7 +133,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     kept = [c for c in df.columns if c not in (ids, count)]
 
     def make():
-        cut, known = cutter(token_bytes(path)), Fragments(load(path))
+        cut, known = cutter(token_bytes(path)), Pieces(load(path))
         get = known.__getitem__
 
         def one(s: str | None) -> bytes:

@@ -24,7 +24,7 @@ empty table; extra columns pass through, and names that clash are avoided.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm._common import free_name, stage
@@ -66,38 +66,37 @@ def _candidates(first: DataFrame) -> DataFrame:
     return met.join(full, ["key", "len"]).select("h1", "h2", "pos").distinct()
 
 
-def _variants(line: Column, n: Column) -> Column:
-    """Array of (key, whole): the deletion neighbourhood of both halves' other side."""
+def _sides(line: Column, n: Column) -> Column:
+    """Array of (kind, base, rest): by half, what a line is to be compared as, the hash of the anchor, and the other side."""
+    own, less = _anchor(n), _anchor(n - 1)
 
-    def side(name: str, p: Column, tag: str) -> Column:
-        """(anchor, rest) of a side."""
-        head = name == "head"
+    def side(kind: str, head: bool, p: Column) -> Column:
+        base = _head(line, p) if head else _tail(line, n, p)
         rest = F.substr(line, p + 1, n - p) if head else F.substr(line, F.lit(1), n - p)
-        anchor = F.substr(line, F.lit(1), p) if head else F.substr(line, n - p + 1, p)
-        base = F.xxhash64(F.lit(name + tag), p, anchor)
-        if tag == "whole":
-            return F.array(F.struct(F.xxhash64(F.lit("del"), F.xxhash64(F.lit(name), p, anchor), rest).alias("key"), F.lit(True).alias("whole")))
-        cut = lambda i: F.concat(F.substr(rest, F.lit(1), i), F.substr(rest, i + 2, n))
-        places = F.sequence(F.lit(0), n - p - 1)
-        if tag == "sub":
-            return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit("sub"), base, i, n, cut(i)).alias("key"), F.lit(False).alias("whole")))
-        return F.array_distinct(F.transform(places, lambda i: F.struct(F.xxhash64(F.lit("del"), F.xxhash64(F.lit(name), p, anchor), cut(i)).alias("key"), F.lit(False).alias("whole"))))
+        return F.struct(F.lit(kind).alias("kind"), base.alias("base"), rest.alias("rest"))
 
-    own, less = _anchor(n), _anchor(n - 1)
-    return F.concat(*(side(name, p, tag) for name in ("head", "tail") for p, tag in ((own, "sub"), (less, "del"), (own, "whole"))))
+    return F.array(*(side(kind, head, p) for head in (True, False) for kind, p in (("sub", own), ("del", less), ("whole", own))))
+
+
+def _keys(kind: Column, base: Column, rest: Column) -> Column:
+    """Keys of a side: its deletion neighbourhood with places for substitutions, without for deletions, or it as a whole."""
+    places = F.sequence(F.lit(0), F.length(rest) - 1)
+    cut = lambda i: F.concat(F.substr(rest, F.lit(1), i), F.substr(rest, i + 2, F.lit(1 << 30)))
+    sub = F.transform(places, lambda i: F.xxhash64(base, F.length(rest), i, cut(i)))
+    gone = F.array_distinct(F.transform(places, lambda i: F.xxhash64(base, cut(i))))
+    return F.when(kind == "sub", sub).when(kind == "del", gone).otherwise(F.array(F.xxhash64(base, rest)))
 
 
 def _near(lines: DataFrame) -> DataFrame:
     """From h1, h2, pos, line: the lines that have an earlier one within one edit."""
-    n = F.length("line")
-    ident = F.struct("pos", "h1", "h2")
-    keyed = lines.select(ident.alias("x"), F.explode(_variants(F.col("line"), n)).alias("v")).select("x", "v.key", "v.whole")
-    groups = keyed.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("x"))).alias("whole_x"), F.min(F.when(~F.col("whole"), F.col("x"))).alias("cut_x"), F.count(F.lit(1)).alias("c"), F.max(F.col("whole")).alias("mixed"))
-    groups = groups.where("c > 1").select("key", "whole_x", "cut_x", "mixed")
-    met = keyed.join(groups, "key")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = lines.repartition(parts, "h1").select(F.struct("pos", "h1", "h2").alias("x"), F.explode(_sides(F.col("line"), F.length("line"))).alias("s")).select("x", "s.*")
+    keyed = sides.select("x", (F.col("kind") == "whole").alias("whole"), F.explode(_keys(F.col("kind"), F.col("base"), F.col("rest"))).alias("key"))
+    group = Window.partitionBy("key")
+    met = keyed.select("x", "whole", F.min(F.when(F.col("whole"), F.col("x"))).over(group).alias("whole_x"), F.min(F.when(~F.col("whole"), F.col("x"))).over(group).alias("cut_x"))
     # in a key with a whole line the cut ones meet it alone, and it meets the first of them; else all meet the first
-    other = F.when(F.col("mixed") & ~F.col("whole"), F.col("whole_x")).otherwise(F.col("cut_x"))
-    pairs = met.select("x", other.alias("by")).where("by < x").distinct()
+    other = F.when(F.col("whole_x").isNotNull() & ~F.col("whole"), F.col("whole_x")).otherwise(F.col("cut_x"))
+    pairs = stage(met.select("x", other.alias("by")).where("by < x").distinct())
     text = lines.select("h1", "h2", "line")
     left = pairs.select("x", "by", F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).join(text, ["h1", "h2"])
     both = left.select("h1", "h2", "line", F.col("by.h1").alias("b1"), F.col("by.h2").alias("b2")).join(text.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("earlier")), ["b1", "b2"])
@@ -127,8 +126,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(g, F.struct(i.alias("line_no"), F.xxhash64(F.trim(x)).alias("h1")))), "\n")
     lines = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: F.trim(x) != "")).cast("long")
-    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(kept)
-    out = out.withColumn(before, lines(F.col("text"))).withColumn("text", text).withColumn(after, lines(F.col("text")))
+    out = out.withColumn(before, lines(F.col("text"))).withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(kept))
+    out = out.withColumn(after, F.when(F.col(g).isNull(), F.col(before)).otherwise(lines(F.col("text"))))
     return out.select(*docs.columns, before, after)
 
 

@@ -35,12 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.llm._common import map_batches, shared_dir, stage
-from stratum.llm.bpe import load
+from stratum.llm.bpe import Pieces, load
 
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 8, 8, 32, 1024
-#: What a worker remembers: that many words, none of more bytes.
-REMEMBERED, LONGEST = 400_000, 64
 END_ID = 1
 
 
@@ -50,22 +48,6 @@ class Store:
     manifest: str
 
 
-class Words(dict):
-    """Word -> its packed ids. White space only separates for this kind of vocabulary, so words are encoded alone."""
-
-    def __init__(self, tokenizer, kind: str):
-        super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 def separates(tokenizer) -> bool:
     """Whether ASCII white space only separates words: it gives no ids and changes none of its neighbours'."""
     probe = "ab c'd 12 éx's .."
@@ -117,7 +99,7 @@ def _kind(tokenizer) -> str:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, lens, hashes and the zstd-compressed ids of every row."""
+    """doc_id, n_tokens, lens, hashes, Merkle root and the zstd-compressed ids of every row."""
 
     def make():
         import zstandard
@@ -125,22 +107,31 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         tokenizer = load(path)
         kind = _kind(tokenizer)
         end, whole = np.asarray([end_id], kind).tobytes(), not separates(tokenizer)
-        get = Words(tokenizer, kind).__getitem__
+        get = Pieces(tokenizer, kind).__getitem__
+        folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
         gear = np.random.default_rng(1).integers(0, 1 << 64, 1 << 16 if kind == "<u2" else max(tokenizer.get_vocab_size(), end_id + 1), np.uint64)
         pack, width = zstandard.ZstdCompressor(level=1).compress, np.dtype(kind).itemsize
 
+        def packed(s: str) -> bytes:
+            if whole:
+                return np.asarray(tokenizer.encode(s, add_special_tokens=False).ids, kind).tobytes()
+            data = s.encode()
+            # fewer kinds of word; special tokens are told by their case
+            return b"".join(map(get, (data.lower() if folds and b"<|" not in data else data).split()))
+
         def one(s: str | None):
-            data = (np.asarray(tokenizer.encode(s or "", add_special_tokens=False).ids, kind).tobytes() if whole else b"".join(map(get, s.encode().split())) if s else b"") + end
+            data = packed(s or "") + end
             ends = chunk_ends(np.frombuffer(data, kind), gear)
-            return len(data) // width, [b - a for a, b in zip([0, *ends], ends)], [digest(data[a * width : b * width]) for a, b in zip([0, *ends], ends)], pack(data)
+            hashes = [digest(data[a * width : b * width]) for a, b in zip([0, *ends], ends)]
+            return len(data) // width, [b - a for a, b in zip([0, *ends], ends)], hashes, merkle(hashes), pack(data)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, lens, hashes, data = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lens, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "lens", "hashes", "payload"])
+            n, lens, hashes, root, data = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ([],) * 5
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lens, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(root, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "lens", "hashes", "root", "payload"])
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lens array<int>, hashes array<binary>, payload binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lens array<int>, hashes array<binary>, root binary, payload binary")
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
@@ -163,21 +154,29 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
         pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         part, at, start, mark = TaskContext.get().partitionId(), 0, 0, ((), ())
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["kind"] == 0:
-                    mark = (set(r["given"]), set(r["foreign"]))
+            col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "root"}
+            rows, owned, given_, payload, ats, starts = [], [], [], [], [], []
+            for i, sort in enumerate(col["kind"]):
+                if sort == 0:
+                    mark = (set(col["given"][i]), set(col["foreign"][i]))
                     continue
                 given, foreign = mark
-                mark, k = ((), ()), len(r["lens"])
-                data = r["payload"]
+                lens, data = col["lens"][i], col["payload"][i]
                 if foreign:
-                    ends = np.cumsum([0, *r["lens"]]) * width
+                    ends = np.cumsum([0, *lens]) * width
                     raw = unpack(data)
-                    data = pack(b"".join(raw[ends[i] : ends[i + 1]] for i in range(k) if i not in foreign))
-                out.append({"doc_id": r["doc_id"], "n_tokens": r["n_tokens"], "lens": r["lens"], "hashes": r["hashes"], "owned": [i not in foreign for i in range(k)], "given": [i in given for i in range(k)], "payload": data, "root": merkle(r["hashes"]), "part": part, "at": at, "local_start": start})
-                at, start = at + 1, start + r["n_tokens"]
-            yield pa.RecordBatch.from_pylist(out, laid_schema)
+                    data = pack(b"".join(raw[ends[k] : ends[k + 1]] for k in range(len(lens)) if k not in foreign))
+                rows.append(i)
+                owned.append([k not in foreign for k in range(len(lens))])
+                given_.append([k in given for k in range(len(lens))])
+                payload.append(data)
+                ats.append(at)
+                starts.append(start)
+                mark, at, start = ((), ()), at + 1, start + col["n_tokens"][i]
+            kept = batch.take(pa.array(rows, pa.int32()))
+            same = {n: kept.column(kept.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "lens", "hashes", "root")}
+            new = {"owned": owned, "given": given_, "payload": payload, "part": [part] * len(rows), "at": ats, "local_start": starts}
+            yield pa.RecordBatch.from_arrays([same[f.name] if f.name in same else pa.array(new[f.name], f.type) for f in laid_schema], names=laid_schema.names)
 
     laid_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lens", pa.list_(pa.int32())), ("hashes", pa.list_(pa.binary())), ("owned", pa.list_(pa.bool_())), ("given", pa.list_(pa.bool_())), ("payload", pa.binary()), ("root", pa.binary()), ("part", pa.int32()), ("at", pa.int64()), ("local_start", pa.int64())])
     top = shared_dir(spark)
@@ -235,25 +234,24 @@ def read(spark: SparkSession, store: Store, path: str) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def one(r: dict) -> bytes:
-            borrowed = {x["seq"]: x["data"] for x in r["borrowed"] or ()}
-            raw, at, out = unpack(r["payload"]), 0, []
-            for i, (h, n, own) in enumerate(zip(r["hashes"], r["lens"], r["owned"])):
-                data = raw[at : at + n * width] if own else borrowed[i]
+        def one(doc_id, lens, hashes, owned, payload, root, borrowed) -> bytes:
+            lent = {x["seq"]: x["data"] for x in borrowed or ()}
+            raw, at, out = unpack(payload), 0, []
+            for i, (h, n, own) in enumerate(zip(hashes, lens, owned)):
+                data = raw[at : at + n * width] if own else lent[i]
                 at += n * width if own else 0
                 if digest(data) != h:
-                    raise ValueError(f"chunk {i} of document {r['doc_id']} isn't what its digest says")
+                    raise ValueError(f"chunk {i} of document {doc_id} isn't what its digest says")
                 out.append(data)
-            if merkle(r["hashes"]) != r["root"]:
-                raise ValueError(f"the recipe of document {r['doc_id']} doesn't agree with its root")
-            return b"".join(out)
+            if merkle(hashes) != root:
+                raise ValueError(f"the recipe of document {doc_id} doesn't agree with its root")
+            return b"".join(out) if borrowed else raw
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = batch.to_pylist()
-            ids = [one(r) for r in rows]
-            own = [sum(r["owned"]) for r in rows]
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "part", "local_start")]
-            return pa.RecordBatch.from_arrays([*keep, pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([len(r["lens"]) for r in rows], pa.int32()), pa.array(own, pa.int32())], names=["doc_id", "part", "local_start", "n_tokens", "ids", "n_chunks", "n_owned"])
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            owned = col["owned"].to_pylist()
+            ids = [one(*r) for r in zip(*(col[n].to_pylist() for n in ("doc_id", "lens", "hashes", "owned", "payload", "root", "borrowed")))]
+            return pa.RecordBatch.from_arrays([col["doc_id"], col["part"], col["local_start"], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) for x in owned], pa.int32()), pa.array([sum(x) for x in owned], pa.int32())], names=["doc_id", "part", "local_start", "n_tokens", "ids", "n_chunks", "n_owned"])
 
         return run
 

@@ -1,19 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, one of toxic and one of ordinary documents, give every text a
-log-likelihood, and their difference a word decides. Each model discounts its
-bigrams and backs off to its discounted unigrams, and these to one distribution
-that both classes share: the continuation counts (in how many left contexts a
-word occurs) over both. Rare expressions so get about the same probability from
-both models and don't decide anything. A logistic curve over the difference a
-word, the same scaled by the root of the length, and the log length turns it
-into a probability; it is fitted on labelled documents the counts haven't seen.
+Two character models, one of toxic and one of ordinary documents, spell every
+word of a text; a character's history is what precedes it in the word, its
+start included, of up to ``ORDER - 1`` characters. Both models discount their
+counts and back off to one distribution that they share, made of continuation
+counts over both classes: after how many longer histories a character follows a
+short one. Rare expressions so get about the same likelihood from both models
+and decide nothing, while a stem or word that one class prefers tells.
+
+The difference of the two log-likelihoods a word, averaged over the text, the
+same scaled by the root of the length, the largest difference of a single word,
+and the log length enter a logistic curve, which is fitted on labelled documents
+that the counts haven't seen and weighed to the true share of toxic ones.
 
 Counts come from Spark over a bounded sample: at most ``MAX_DOCS`` labelled
-training documents (in expectation), chosen by a hash of the id. Words seen once
-are one unknown word, bigrams seen once are left to the backoff, so the model
-is bounded by the sample. A word is a run of letters, digits and ``_`` in lower
-case. Null, empty and wordless texts get the score that the curve gives to a
+training documents of each class (in expectation), chosen by a hash of the id.
+N-grams seen once are left to the backoff, so the model is bounded by the
+sample. A word is a run of letters, digits and ``_`` in lower case.
+
+Null, empty and wordless texts get the score that the curve gives to a
 difference of 0. Rows of ``labels`` with null ids or labels are ignored; a
 document with several labels is toxic if any says so. Without both classes to
 learn from, every score is the share of toxic training documents. Repeated rows
@@ -25,161 +30,164 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm._common import held_out, map_batches, unit
+from stratum.llm._common import held_out, map_batches, stage, unit
 
-#: Bound of the sample of labelled training documents.
-MAX_DOCS = 24_000
-DISCOUNT, SEED, THRESHOLD = 0.75, 2, 0.3
-#: What a worker remembers of words that aren't in the vocabulary.
-REMEMBERED = 200_000
+#: Bound of the sample of labelled training documents, for each class.
+MAX_DOCS = 4000
+ORDER, SHORT, DISCOUNT, SEED, THRESHOLD = 8, 3, 0.75, 2, 0.3
+#: Words that a worker remembers.
+REMEMBERED = 300_000
+START, END = "\x02", "\x03"
 
 tokens = re.compile(r"\w+").findall
 
 
-@dataclass
-class Model:
-    vocabulary: dict[str, int]  # word -> 1..; 0 is the unknown word
-    uni: np.ndarray  # by word: log-probability, toxic minus ordinary, when backed off to
-    probs: np.ndarray  # 2 x words: the backed-off probabilities
-    context: np.ndarray  # 2 x words: how often the word is a context
-    types: np.ndarray  # 2 x words: after how many kinds of bigram
-    keys: np.ndarray  # bigrams, sorted: context * words + word
-    counts: np.ndarray  # 2 x bigrams
-    curve: np.ndarray  # of (1, mean, scaled, log length)
+def grams(word: str) -> list[tuple[str, str]]:
+    """(history, next character) along a word, its end included."""
+    s = START + word + END
+    return [(s[max(0, i - ORDER + 1) : i], s[i]) for i in range(1, len(s))]
 
 
-class Lookup(dict):
-    """Word -> id; words outside the vocabulary are remembered for a while."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.full:
+@dataclass
+class Model:
+    counts: dict[str, tuple[float, float]]  # history + character -> counts in ordinary, toxic
+    totals: dict[str, tuple[float, float, float, float]]  # history -> counts, then kinds of characters after it
+    follows: dict[str, float]  # short history + character -> longer histories it follows
+    short: dict[str, tuple[float, float]]  # short history -> all its follows, kinds of characters
+    letters: dict[str, float]  # character -> shares of all follows
+    curve: np.ndarray
+
+
+class Differences(dict):
+    """Word -> log-likelihood in toxic text minus that in ordinary text."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        m, out = self.model, 0.0
+        for h, x in grams(word):
+            total = m.totals.get(h)
+            if total is None:
+                continue  # both models are at the shared distribution
+            s = h[-SHORT:]
+            sums, kinds = m.short.get(s, (0.0, 0.0))
+            least = m.letters.get(x, m.letters[""])
+            shared = (max(m.follows.get(s + x, 0.0) - DISCOUNT, 0.0) + DISCOUNT * kinds * least) / sums if sums else least
+            n = m.counts.get(h + x, (0.0, 0.0))
+            o, t = ((max(n[c] - DISCOUNT, 0.0) + DISCOUNT * total[2 + c] * shared) / total[c] if total[c] else shared for c in (0, 1))
+            out += log(t) - log(o)
+        if len(self) >= REMEMBERED:
             self.clear()
-            self.update(self.known)
-        self[word] = 0
-        return 0
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__(known)
-        self.known, self.full = known, len(known) + REMEMBERED
+        self[word] = out
+        return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """doc_id, text, toxic, part of the sample; part 0 is for counts, part 1 for the curve."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = marked.count()
-    chosen = marked.where(unit(F.col("doc_id"), SEED) < min(1.0, max_docs / max(n, 1))).limit(2 * max_docs)
-    part = (unit(F.col("doc_id"), SEED + 1) < 0.25).cast("int")
-    # a sample of at most 2 * max_docs rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", part.alias("part"))
+def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text, toxic, part of the sample (part 0 is for counts, part 1 for the curve), and the classes' sizes."""
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, max_docs / sizes.get(1, 1))).otherwise(min(1.0, max_docs / sizes.get(0, 1)))
+    chosen = marked.where(unit(F.col("doc_id"), SEED) < share).limit(4 * max_docs)
+    part = (unit(F.col("doc_id"), SEED + 1) < 0.3).cast("int")
+    # a sample of at most 4 * max_docs rows of two numbers
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", part.alias("part")), sizes
 
 
-def bigrams(rows: DataFrame) -> DataFrame:
-    """toxic, before, word, n, first: counts of the bigrams of part 0; ``before`` is null at a text's start."""
+def counted(rows: DataFrame) -> DataFrame:
+    """history, next, n0, n1 over the texts of part 0."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: Counter = Counter()
+            seen = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tokens((text or "").lower())
-                seen.update(zip([toxic] * len(words), [None, *words], words))
-            toxic, before, word = zip(*seen) if seen else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(before, pa.string()), pa.array(word, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["toxic", "before", "word", "n"])
+                seen[toxic].update(tokens((text or "").lower()))
+            out: tuple[Counter, Counter] = (Counter(), Counter())
+            for c in (0, 1):
+                for word, n in seen[c].items():
+                    for g in grams(word):
+                        out[c][g] += n
+            keys = list(out[0].keys() | out[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([out[c][k] for k in keys], pa.int64()) for c in (0, 1))], names=["history", "next", "n0", "n1"])
 
         return run
 
-    counted = map_batches(rows.where("part = 0").select("text", F.col("toxic").cast("int").alias("toxic")), make, "toxic int, before string, word string, n bigint")
-    return counted.groupBy("before", "word").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") != 0, F.col("n")).otherwise(0)).alias("n1"))
+    parts = map_batches(rows.where("part = 0").select("text", "toxic"), make, "history string, next string, n0 bigint, n1 bigint")
+    return parts.groupBy("history", "next").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model | float:
     """The model, or the share of toxic documents where one class is missing. What is collected is bounded by the sample."""
-    rows = labelled(docs, labels, max_docs)
-    counts = bigrams(rows).persist()
-    try:
-        words = counts.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("contexts"))
-        uni = words.where("n0 + n1 >= 2").orderBy("word").toPandas()
-        rest = words.where("n0 + n1 < 2").agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
-        pairs = counts.where("n0 + n1 >= 2 and before is not null").orderBy("before", "word").toPandas()
-        ctx = counts.where("before is not null").groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum((F.col("n0") > 0).cast("int")).alias("t0"), F.sum((F.col("n1") > 0).cast("int")).alias("t1")).where("n0 + n1 >= 2").orderBy("before").toPandas()
-    finally:
-        counts.unpersist()
-    shares = rows.agg(F.avg((F.col("toxic") != 0).cast("int")), F.count(F.lit(1))).first()
-    n = np.vstack([np.r_[float(rest[0] or 0), uni["n0"]], np.r_[float(rest[1] or 0), uni["n1"]]])
-    if not n.sum(axis=1).all():
-        return float(shares[0] or 0.0)
-    vocabulary = {w: i + 1 for i, w in enumerate(uni["word"])}
-    size = len(vocabulary) + 1
-    shared = np.r_[float(rest[2] or 0) + 1, uni["contexts"]]
-    shared = shared / shared.sum()
-    kinds = (n > 0).sum(axis=1, keepdims=True)
-    total = n.sum(axis=1, keepdims=True)
-    probs = np.maximum(n - DISCOUNT, 0) / total + (np.minimum(n, DISCOUNT).sum(axis=1, keepdims=True) / total) * shared
-    context, types = np.zeros((2, size)), np.zeros((2, size))
-    at = ctx["before"].map(vocabulary).fillna(0).astype(int).to_numpy()
-    for c in (0, 1):
-        context[c, at], types[c, at] = ctx[f"n{c}"], ctx[f"t{c}"]
-    context[:, 0] = types[:, 0] = 0  # the unknown word is no context
-    before, word = (pairs[c].map(vocabulary).fillna(0).astype(np.int64).to_numpy() for c in ("before", "word"))
-    keep = (before > 0) & (word > 0)
-    keys = before[keep] * size + word[keep]
-    order = np.argsort(keys)
-    model = Model(vocabulary, np.log(probs[1]) - np.log(probs[0]), probs, context, types, keys[order], pairs[["n0", "n1"]].to_numpy().T[:, keep][:, order].astype(float), np.zeros(4))
-    model.curve = _curve(rows, model)
+    rows, sizes = labelled(docs, labels, max_docs)
+    rows = stage(rows)
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    if rows.where("part = 0").select("toxic").distinct().count() < 2:
+        return float(share)
+    counts = stage(counted(rows))
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("int"))
+    totals = counts.groupBy("history").agg(F.sum("n0"), F.sum("n1"), kinds("n0"), kinds("n1")).where("sum(n0) + sum(n1) >= 2")
+    pairs = counts.where("n0 + n1 >= 2").select(F.concat("history", "next"), "n0", "n1")
+    follows = counts.groupBy(F.expr(f"right(history, {SHORT})").alias("s"), "next").agg(F.count(F.lit(1)).alias("k"))
+    follows = {(s, x): float(k) for s, x, k in follows.toLocalIterator()}
+    short: dict[str, tuple[float, float]] = {}
+    letters: Counter = Counter()
+    for (s, x), k in follows.items():
+        a, b = short.get(s, (0.0, 0.0))
+        short[s] = (a + k, b + 1.0)
+        letters[x] += 1
+    every = sum(letters.values()) + 1.0
+    model = Model(
+        {g: (float(a), float(b)) for g, a, b in pairs.toLocalIterator()},
+        {h: tuple(map(float, n)) for h, *n in totals.toLocalIterator()},
+        {s + x: k for (s, x), k in follows.items()},
+        short,
+        {x: n / every for x, n in letters.items()} | {"": 1.0 / every},
+        np.zeros(5),
+    )
+    model.curve = _curve(rows, model, share)
     return model
 
 
-def word_scores(ids: np.ndarray, m: Model) -> np.ndarray:
-    """By word: log-probability in toxic minus in ordinary text."""
-    out = m.uni[ids]
-    if len(ids) > 1 and len(m.keys):
-        key = ids[:-1] * len(m.uni) + ids[1:]
-        place = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-        hit = m.keys[place] == key
-        h, w, place = ids[:-1][hit], ids[1:][hit], place[hit]
-        p = []
-        for c in (0, 1):
-            n = np.maximum(m.context[c][h], 1)
-            p.append(np.where(m.context[c][h] > 0, np.maximum(m.counts[c][place] - DISCOUNT, 0) / n + DISCOUNT * m.types[c][h] / n * m.probs[c][w], m.probs[c][w]))
-        out[1:][hit] = np.log(p[1]) - np.log(p[0])
-    return out
-
-
-def features(text: str | None, m: Model, lookup: Lookup) -> tuple[float, float, float, float]:
+def features(text: str | None, known: Differences) -> tuple[float, float, float, float, float]:
     words = tokens((text or "").lower())
-    if not words:
-        return 1.0, 0.0, 0.0, 0.0
-    d = word_scores(np.fromiter(map(lookup.__getitem__, words), np.int64, len(words)), m)
-    total, n = float(d.sum()), len(d)
-    return 1.0, total / n, total / n**0.5, float(np.log(n))
+    n = len(words)
+    if not n:
+        return 1.0, 0.0, 0.0, 0.0, 0.0
+    d = np.fromiter(map(known.__getitem__, words), np.float64, n)
+    total = float(d.sum())
+    return 1.0, total / n, total / n**0.5, float(d.max()), float(np.log(n))
 
 
-def _curve(rows: DataFrame, model: Model) -> np.ndarray:
-    """Logistic regression by Newton's method on the features of part 1."""
+def _curve(rows: DataFrame, model: Model, share: float) -> np.ndarray:
+    """Logistic regression by Newton's method on the features of part 1, each class weighed to its true share."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = shared.value
-        lookup = Lookup(m.vocabulary)
+        known = Differences(shared.value)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            f = np.array([features(t, m, lookup) for t in batch.column(0).to_pylist()]).reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, i]) for i in range(1, 4))], names=["toxic", "a", "b", "c"])
+            f = np.array([features(t, known) for t in batch.column(0).to_pylist()]).reshape(-1, 5)
+            return pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, i]) for i in range(1, 5))], names=["toxic", "a", "b", "c", "d"])
 
         return run
 
-    got = map_batches(rows.where("part = 1").select("text", (F.col("toxic") != 0).cast("int").alias("toxic")), make, "toxic int, a double, b double, c double").toPandas()
-    x, y = np.c_[np.ones(len(got)), got[["a", "b", "c"]]], got["toxic"].to_numpy(float)
-    beta = np.zeros(4)
-    for _ in range(30):
+    got = map_batches(rows.where("part = 1").select("text", "toxic"), make, "toxic int, a double, b double, c double, d double").toPandas()
+    x, y = np.c_[np.ones(len(got)), got[["a", "b", "c", "d"]]], got["toxic"].to_numpy(float)
+    w = np.where(y == 1, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum())) * len(y)
+    beta = np.zeros(5)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
-        beta += np.linalg.solve(h, x.T @ (y - p) - 0.1 * beta)
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(5)
+        step = np.linalg.solve(h, x.T @ (w * (y - p)) - 0.1 * beta)
+        beta += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     return beta
 
 
@@ -193,10 +201,10 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", out: str =
 
     def make():
         m = shared.value
-        lookup = Lookup(m.vocabulary)
+        known = Differences(m)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            f = np.array([features(t, m, lookup) for t in batch.column(kept.index(text)).to_pylist()]).reshape(-1, 4)
+            f = np.array([features(t, known) for t in batch.column(kept.index(text)).to_pylist()]).reshape(-1, 5)
             p = 1 / (1 + np.exp(-np.clip(f @ m.curve, -30, 30)))
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(p)], names=[*kept, out])
 
