@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from stratum.plans import retrieval
+
+_GROUPS = (retrieval,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for g in _GROUPS for k, s in g.ORACLES.items()}
