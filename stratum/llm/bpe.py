@@ -15,6 +15,7 @@ name, all others pass through untouched.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from stratum.llm._common import map_batches
 
 #: What a worker remembers: that many fragments, none of more bytes.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -124,6 +125,12 @@ class Pieces(dict):
         return ids
 
 
+@functools.lru_cache(maxsize=4)
+def pieces(path: str, kind: str = "<u4") -> Pieces:
+    """One memory a worker process, for all its tasks."""
+    return Pieces(load(path), kind)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
     """Adds the ids as packed little-endian unsigned 32-bit integers, and their number.
 
@@ -133,7 +140,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     kept = [c for c in df.columns if c not in (ids, count)]
 
     def make():
-        cut, known = cutter(token_bytes(path)), Pieces(load(path))
+        cut, known = cutter(token_bytes(path)), pieces(path)
         get = known.__getitem__
 
         def one(s: str | None) -> bytes:

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.llm._common import map_batches, shared_dir, stage
-from stratum.llm.bpe import Pieces, load
+from stratum.llm.bpe import load, pieces
 
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
-WINDOW, BITS, LEAST, MOST = 8, 8, 32, 1024
+WINDOW, BITS, LEAST, MOST = 4, 8, 32, 1024
 END_ID = 1
 
 
@@ -104,10 +104,10 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def make():
         import zstandard
 
-        tokenizer = load(path)
-        kind = _kind(tokenizer)
+        kind = _kind(load(path))
+        known = pieces(path, kind)
+        tokenizer, get = known.tokenizer, known.__getitem__
         end, whole = np.asarray([end_id], kind).tobytes(), not separates(tokenizer)
-        get = Pieces(tokenizer, kind).__getitem__
         folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
         gear = np.random.default_rng(1).integers(0, 1 << 64, 1 << 16 if kind == "<u2" else max(tokenizer.get_vocab_size(), end_id + 1), np.uint64)
         pack, width = zstandard.ZstdCompressor(level=1).compress, np.dtype(kind).itemsize
@@ -193,8 +193,11 @@ def _manifest(rows: DataFrame) -> DataFrame:
     return blocks.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", "root"))), lambda x: x["root"])), 256).alias("root"))
 
 
-def read(spark: SparkSession, store: Store, path: str) -> DataFrame:
-    """Per document, put together from the store and verified: doc_id, start, n_tokens, ids (packed as stored), n_chunks, n_owned."""
+def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> DataFrame:
+    """Per document, put together from the store and verified: doc_id, start, n_tokens, n_chunks, n_owned, ids_crc32, and with ``ids`` the ids, packed as stored.
+
+    The checksum is over the ids as little-endian unsigned 32-bit integers.
+    """
     rows = spark.read.parquet(store.documents)
     kind = _kind(load(path))
     width = np.dtype(kind).itemsize
@@ -250,27 +253,19 @@ def read(spark: SparkSession, store: Store, path: str) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             owned = col["owned"].to_pylist()
-            ids = [one(*r) for r in zip(*(col[n].to_pylist() for n in ("doc_id", "lens", "hashes", "owned", "payload", "root", "borrowed")))]
-            return pa.RecordBatch.from_arrays([col["doc_id"], col["part"], col["local_start"], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) for x in owned], pa.int32()), pa.array([sum(x) for x in owned], pa.int32())], names=["doc_id", "part", "local_start", "n_tokens", "ids", "n_chunks", "n_owned"])
+            got = [one(*r) for r in zip(*(col[n].to_pylist() for n in ("doc_id", "lens", "hashes", "owned", "payload", "root", "borrowed")))]
+            crc = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in got]
+            out = {"doc_id": col["doc_id"], "part": col["part"], "local_start": col["local_start"], "n_tokens": pa.array([len(x) // width for x in got], pa.int64()), "n_chunks": pa.array([len(x) for x in owned], pa.int32()), "n_owned": pa.array([sum(x) for x in owned], pa.int32()), "ids_crc32": pa.array(crc, pa.int64())}
+            if ids:
+                out["ids"] = pa.array(got, pa.binary())
+            return pa.RecordBatch.from_arrays([*out.values()], names=[*out])
 
         return run
 
-    back = map_batches(whole.unionByName(patched), make, "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids binary, n_chunks int, n_owned int")
-    return back.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids", "n_chunks", "n_owned")
+    back = map_batches(whole.unionByName(patched), make, "doc_id bigint, part int, local_start bigint, n_tokens bigint, n_chunks int, n_owned int, ids_crc32 bigint" + ", ids binary" * ids)
+    return back.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", "n_owned", *["ids"] * ids)
 
 
 def report(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Writes the store, reads it back, and gives per document its start, length and crc32."""
-    spark = docs.sparkSession
-    store = write(docs, path, end_id)
-    back = read(spark, store, path)
-    kind = _kind(load(path))
-
-    def make():
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            crc = [zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4, 5)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "n_chunks", "n_owned", "ids_crc32"])
-
-        return run
-
-    return map_batches(back, make, "doc_id bigint, start bigint, n_tokens bigint, n_chunks int, n_owned int, ids_crc32 bigint").select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "n_owned")
+    """Writes the store, reads it back, and gives per document its start, length and checksum."""
+    return read(docs.sparkSession, write(docs, path, end_id), path, ids=False)
