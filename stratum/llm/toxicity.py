@@ -28,6 +28,7 @@ are scored row by row; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 from math import log
@@ -43,7 +44,7 @@ from stratum.llm._common import held_out, map_batches, stage, unit
 MAX_DOCS = 4000
 ORDER, SHORT, DISCOUNT, SEED, THRESHOLD = 8, 3, 0.75, 2, 0.3
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 START, END = "\x02", "\x03"
 
 tokens = re.compile(r"\w+").findall
@@ -57,40 +58,50 @@ def grams(word: str) -> list[tuple[str, str]]:
 
 @dataclass
 class Model:
-    counts: dict[str, tuple[float, float]]  # history + character -> counts in ordinary, toxic
-    totals: dict[str, tuple[float, float, float, float]]  # history -> counts, then kinds of characters after it
-    follows: dict[str, float]  # short history + character -> longer histories it follows
-    short: dict[str, tuple[float, float]]  # short history -> all its follows, kinds of characters
-    letters: dict[str, float]  # character -> shares of all follows
+    """Log-likelihood in toxic text minus that in ordinary text.
+
+    After a history that was seen, a character that wasn't seen after it has the
+    shared probability in both models, scaled by what each leaves to the
+    backoff; so its difference is the history's alone. After a history that
+    wasn't seen both models are the shared one, and differ by nothing.
+    """
+
+    name: str
+    seen: dict[str, float]  # history + character
+    unseen: dict[str, float]  # history
     curve: np.ndarray
 
 
 class Differences(dict):
-    """Word -> log-likelihood in toxic text minus that in ordinary text."""
+    """Word -> its difference, remembered."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.name, self.seen, self.unseen = model.name, model.seen.get, model.unseen.get
 
     def __missing__(self, word: str) -> float:
-        m, out = self.model, 0.0
-        for h, x in grams(word):
-            total = m.totals.get(h)
-            if total is None:
-                continue  # both models are at the shared distribution
-            s = h[-SHORT:]
-            sums, kinds = m.short.get(s, (0.0, 0.0))
-            least = m.letters.get(x, m.letters[""])
-            shared = (max(m.follows.get(s + x, 0.0) - DISCOUNT, 0.0) + DISCOUNT * kinds * least) / sums if sums else least
-            n = m.counts.get(h + x, (0.0, 0.0))
-            o, t = ((max(n[c] - DISCOUNT, 0.0) + DISCOUNT * total[2 + c] * shared) / total[c] if total[c] else shared for c in (0, 1))
-            out += log(t) - log(o)
+        s, out, seen = START + word + END, 0.0, self.seen
+        for i in range(1, len(s)):
+            h = s[max(0, i - ORDER + 1) : i]
+            d = seen(h + s[i])
+            out += self.unseen(h, 0.0) if d is None else d
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = out
         return out
 
 
+_memory: dict[str, Differences] = {}
+
+
+def differences(model: Model) -> Differences:
+    """One memory a worker process, for all its tasks with the model."""
+    if model.name not in _memory:
+        _memory.clear()
+        _memory[model.name] = Differences(model)
+    return _memory[model.name]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFrame, dict[int, int]]:
     """doc_id, text, toxic, part of the sample (part 0 is for counts, part 1 for the curve), and the classes' sizes."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
@@ -134,24 +145,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
     counts = stage(counted(rows))
     kinds = lambda c: F.sum((F.col(c) > 0).cast("int"))
     totals = counts.groupBy("history").agg(F.sum("n0"), F.sum("n1"), kinds("n0"), kinds("n1")).where("sum(n0) + sum(n1) >= 2")
-    pairs = counts.where("n0 + n1 >= 2").select(F.concat("history", "next"), "n0", "n1")
+    pairs = counts.where("n0 + n1 >= 2").select("history", "next", "n0", "n1")
     follows = counts.groupBy(F.expr(f"right(history, {SHORT})").alias("s"), "next").agg(F.count(F.lit(1)).alias("k"))
     follows = {(s, x): float(k) for s, x, k in follows.toLocalIterator()}
-    short: dict[str, tuple[float, float]] = {}
+    short: dict[str, list[float]] = {}
     letters: Counter = Counter()
     for (s, x), k in follows.items():
-        a, b = short.get(s, (0.0, 0.0))
-        short[s] = (a + k, b + 1.0)
+        n = short.setdefault(s, [0.0, 0.0])
+        n[0] += k
+        n[1] += 1
         letters[x] += 1
     every = sum(letters.values()) + 1.0
-    model = Model(
-        {g: (float(a), float(b)) for g, a, b in pairs.toLocalIterator()},
-        {h: tuple(map(float, n)) for h, *n in totals.toLocalIterator()},
-        {s + x: k for (s, x), k in follows.items()},
-        short,
-        {x: n / every for x, n in letters.items()} | {"": 1.0 / every},
-        np.zeros(5),
-    )
+
+    def shared(h: str, x: str) -> float:
+        """Continuation counts of the short history, discounted, over those of characters."""
+        k, kinds = short[h[-SHORT:]]
+        return (max(follows.get((h[-SHORT:], x), 0.0) - DISCOUNT, 0.0) + DISCOUNT * kinds * (letters[x] or 1.0) / every) / k
+
+    total = {h: n for h, *n in totals.toLocalIterator()}
+    # what a class leaves to the shared distribution after a history
+    rest = {h: [DISCOUNT * n[2 + c] / n[c] if n[c] else 1.0 for c in (0, 1)] for h, n in total.items()}
+    seen = {}
+    for h, x, *n in pairs.toLocalIterator():
+        o, t = ((max(n[c] - DISCOUNT, 0.0) / total[h][c] if total[h][c] else 0.0) + rest[h][c] * shared(h, x) for c in (0, 1))
+        seen[h + x] = log(t / o)
+    model = Model(uuid.uuid4().hex, seen, {h: log(r[1] / r[0]) for h, r in rest.items()}, np.zeros(5))
     model.curve = _curve(rows, model, share)
     return model
 
@@ -171,7 +189,7 @@ def _curve(rows: DataFrame, model: Model, share: float) -> np.ndarray:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        known = Differences(shared.value)
+        known = differences(shared.value)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             f = np.array([features(t, known) for t in batch.column(0).to_pylist()]).reshape(-1, 5)
@@ -201,7 +219,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", out: str =
 
     def make():
         m = shared.value
-        known = Differences(m)
+        known = differences(m)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             f = np.array([features(t, known) for t in batch.column(kept.index(text)).to_pylist()]).reshape(-1, 5)
