@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stratum.llm._common import map_batches
 
 #: What a worker remembers: that many fragments, none of more bytes.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -131,29 +131,50 @@ def pieces(path: str, kind: str = "<u4") -> Pieces:
     return Pieces(load(path), kind)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """Adds the ids as packed little-endian unsigned 32-bit integers, and their number.
 
     ``path`` names a byte-level BPE file of the tokenizers library that every
-    executor can read. Null text: no ids, 0.
+    executor can read. Null text: no ids, 0. ``decoded`` names a column for the
+    text that ``decode`` makes of the ids, for callers that want both in one pass.
     """
-    kept = [c for c in df.columns if c not in (ids, count)]
+    new = {ids: "binary", count: "bigint"} | ({decoded: "string"} if decoded else {})
+    kept = [c for c in df.columns if c not in new]
 
     def make():
         cut, known = cutter(token_bytes(path)), pieces(path)
-        get = known.__getitem__
+        get, back = known.__getitem__, decoder(path) if decoded else None
 
         def one(s: str | None) -> bytes:
             return b"".join(map(get, cut(s.encode()))) if s else b""
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [one(s) for s in batch.column(kept.index(text)).to_pylist()]
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())], names=[*kept, ids, count])
+            out = [pa.array(got, pa.binary()), pa.array([len(x) // 4 for x in got], pa.int64())]
+            if decoded:
+                out.append(pa.array([back(x) for x in got], pa.string()))
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *out], names=[*kept, *new])
 
         return run
 
     src = df.select(*kept)
-    return map_batches(src, make, _schema(src, **{ids: "binary", count: "bigint"}))
+    return map_batches(src, make, _schema(src, **new))
+
+
+def decoder(path: str) -> Callable[[bytes | None], str | None]:
+    """A function from packed ids to their text."""
+    known = token_bytes(path)
+    n = len(known)
+
+    def one(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        got = np.frombuffer(b, "<u4")
+        if got.size and int(got.max()) >= n:
+            got = got[got < n]
+        return b"".join(map(known.__getitem__, got.tolist())).decode("utf-8", "replace")
+
+    return one
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -161,16 +182,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     kept = [c for c in df.columns if c != text]
 
     def make():
-        known = token_bytes(path)
-        n = len(known)
-
-        def one(b: bytes | None) -> str | None:
-            if b is None:
-                return None
-            got = np.frombuffer(b, "<u4")
-            if got.size and int(got.max()) >= n:
-                got = got[got < n]
-            return b"".join(map(known.__getitem__, got.tolist())).decode("utf-8", "replace")
+        one = decoder(path)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array([one(b) for b in batch.column(kept.index(ids)).to_pylist()], pa.string())], names=[*kept, text])
@@ -187,5 +199,5 @@ def _schema(df: DataFrame, **more: str) -> str:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document, the digests of its ids and of the text decoded from them."""
-    both = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "token_ids"), path)
+    both = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
