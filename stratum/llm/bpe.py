@@ -90,17 +90,19 @@ class Pieces(dict):
     stops at its end are a word of their own. Anything else takes the whole way.
     """
 
-    def __init__(self, tokenizer, kind: str = "<u4"):
+    def __init__(self, tokenizer, kind: str = "<u4", most: int = REMEMBERED):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.kind, self.most = tokenizer, kind, most
         self.lower = tokenizer.normalizer is not None
+        self.tokenize = tokenizer.model.tokenize
         self.symbols = {b: c for c, b in byte_symbols().items()}
         probes = [b"word", "\u00e9t\u00e9".encode(), b"aaaaaab"] + ([] if self.lower else [b" word", b"Word"])
+        self.packed = [np.array([i], kind).tobytes() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
         self.direct = all(self._merged(p.decode()) == self._whole(p.decode()) for p in probes)
 
     def _merged(self, text: str) -> bytes:
         shown = text if text.isascii() and text.isalpha() else "".join(self.symbols[b] for b in text.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(shown)])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -112,23 +114,26 @@ class Pieces(dict):
     def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode()
         head = text.rstrip(".,;:!?")
-        if not self.direct or not head or not self._plain(head):
+        if self.direct and piece.isalpha() and not (self.lower and not piece.islower()):
+            packed = self.packed  # plain ASCII letters, the usual case
+            ids = b"".join([packed[t.id] for t in self.tokenize(text)])
+        elif not self.direct or not head or not self._plain(head):
             ids = self._whole(text)
         elif head == text:
             ids = self._merged(text)
         else:
             ids = self[head.encode()] + self[text[len(head) :].encode()]
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
 
 
 @functools.lru_cache(maxsize=4)
-def pieces(path: str, kind: str = "<u4") -> Pieces:
+def pieces(path: str, kind: str = "<u4", most: int = REMEMBERED) -> Pieces:
     """One memory a worker process, for all its tasks."""
-    return Pieces(load(path), kind)
+    return Pieces(load(path), kind, most)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", decoded: str | None = None) -> DataFrame:

@@ -40,6 +40,8 @@ from stratum.llm.bpe import load, pieces
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 4, 8, 32, 1024
 END_ID = 1
+#: Words a worker remembers.
+REMEMBERED = 1_200_000
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         import zstandard
 
         kind = _kind(load(path))
-        known = pieces(path, kind)
+        known = pieces(path, kind, REMEMBERED)
         tokenizer, get = known.tokenizer, known.__getitem__
         end, whole = np.asarray([end_id], kind).tobytes(), not separates(tokenizer)
         folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
@@ -152,31 +154,38 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
         from pyspark import TaskContext
 
         pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-        part, at, start, mark = TaskContext.get().partitionId(), 0, 0, ((), ())
+        part, at, start, mark = TaskContext.get().partitionId(), 0, 0, None
         for batch in batches:
-            col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "root"}
-            rows, owned, given_, payload, ats, starts = [], [], [], [], [], []
-            for i, sort in enumerate(col["kind"]):
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            sorts, marks = col["kind"].to_pylist(), {}
+            rows = []
+            for i, sort in enumerate(sorts):
                 if sort == 0:
-                    mark = (set(col["given"][i]), set(col["foreign"][i]))
+                    mark = (col["given"][i].as_py(), col["foreign"][i].as_py())
                     continue
-                given, foreign = mark
-                lens, data = col["lens"][i], col["payload"][i]
-                if foreign:
-                    ends = np.cumsum([0, *lens]) * width
-                    raw = unpack(data)
-                    data = pack(b"".join(raw[ends[k] : ends[k + 1]] for k in range(len(lens)) if k not in foreign))
+                if mark:
+                    marks[len(rows)] = mark
                 rows.append(i)
-                owned.append([k not in foreign for k in range(len(lens))])
-                given_.append([k in given for k in range(len(lens))])
-                payload.append(data)
-                ats.append(at)
-                starts.append(start)
-                mark, at, start = ((), ()), at + 1, start + col["n_tokens"][i]
+                mark = None
             kept = batch.take(pa.array(rows, pa.int32()))
             same = {n: kept.column(kept.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "lens", "hashes", "root")}
-            new = {"owned": owned, "given": given_, "payload": payload, "part": [part] * len(rows), "at": ats, "local_start": starts}
-            yield pa.RecordBatch.from_arrays([same[f.name] if f.name in same else pa.array(new[f.name], f.type) for f in laid_schema], names=laid_schema.names)
+            n_chunks = same["lens"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if rows else np.zeros(0, np.int64)
+            ends = np.r_[0, np.cumsum(n_chunks)]
+            owned, given = np.ones(ends[-1], bool), np.zeros(ends[-1], bool)
+            payload = kept.column(kept.schema.get_field_index("payload")).to_pylist()
+            for i, (out, foreign) in marks.items():
+                given[ends[i] + np.array(out, np.int64)] = True
+                if foreign:
+                    owned[ends[i] + np.array(foreign, np.int64)] = False
+                    at_ = np.r_[0, np.cumsum(same["lens"][i].as_py())] * width
+                    raw, gone = unpack(payload[i]), set(foreign)
+                    payload[i] = pack(b"".join(raw[at_[k] : at_[k + 1]] for k in range(n_chunks[i]) if k not in gone))
+            sizes = same["n_tokens"].to_numpy(zero_copy_only=False) if rows else np.zeros(0, np.int64)
+            starts = start + np.r_[0, np.cumsum(sizes)]
+            offsets = pa.array(ends, pa.int32())
+            new = {"owned": pa.ListArray.from_arrays(offsets, pa.array(owned)), "given": pa.ListArray.from_arrays(offsets, pa.array(given)), "payload": pa.array(payload, pa.binary()), "part": pa.array(np.full(len(rows), part), pa.int32()), "at": pa.array(at + np.arange(len(rows)), pa.int64()), "local_start": pa.array(starts[:-1], pa.int64())}
+            at, start = at + len(rows), int(starts[-1])
+            yield pa.RecordBatch.from_arrays([same[f.name] if f.name in same else new[f.name] for f in laid_schema], names=laid_schema.names)
 
     laid_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lens", pa.list_(pa.int32())), ("hashes", pa.list_(pa.binary())), ("owned", pa.list_(pa.bool_())), ("given", pa.list_(pa.bool_())), ("payload", pa.binary()), ("root", pa.binary()), ("part", pa.int32()), ("at", pa.int64()), ("local_start", pa.int64())])
     top = shared_dir(spark)
