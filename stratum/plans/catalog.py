@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.plans import corpus, knowledge, retrieval
+from stratum.plans import corpus, ingest, knowledge, retrieval
 
-_GROUPS = (retrieval, corpus, knowledge)
+_GROUPS = (retrieval, corpus, knowledge, ingest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for g in _GROUPS for k, s in g.ORACLES.items()}

@@ -136,8 +136,12 @@ def _markdown(raw: str) -> Iterator[Block]:
             yield "html", path(), "\n".join(lines[i:stop]), str(i)
             i = stop
         else:
-            stop = next((j for j in range(i + 1, len(lines)) if not lines[j].strip() or re.match(r" {0,3}(#{1,6}\s|```|~~~|[-*+]\s|\d+[.)]\s)", lines[j])), len(lines))
-            under = re.match(r" {0,3}(=+|-+)\s*$", lines[stop - 1]) if stop - i > 1 else None
+            stop, under = i + 1, None
+            while stop < len(lines) and lines[stop].strip() and not re.match(r" {0,3}(?:#{1,6}\s|```|~~~|[-*+]\s|\d+[.)]\s|</?[A-Za-z])", lines[stop]):
+                under = re.match(r" {0,3}(=+|-+)\s*$", lines[stop])
+                stop += 1
+                if under:
+                    break
             text = "\n".join(x.strip() for x in lines[i : stop - 1 if under else stop])
             if under:
                 level = 1 if under[1][0] == "=" else 2
