@@ -44,6 +44,7 @@ def exact_dedup(docs: DataFrame, bits: int = bloom.BITS) -> DataFrame:
 
     flagged = stage(rows.mapInArrow(flag, "doc_id bigint, text_sha256 string, maybe boolean"))
     maybe = flagged.where("maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # as a table, so that the join below is of two plain exchanges, of which Spark can split a hot group's
+    groups = stage(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     return alone.unionByName(maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
