@@ -7,14 +7,16 @@ always; lines of fewer than ``NEAR_CHARS`` characters go only for equal ones,
 as one edit makes another word of a short line. Lines are compared trimmed.
 
 * Equal lines meet by their hash; only the first of them is looked at further.
-* One edit leaves the first or the last half of a line as it is. Lines whose
-  halves, at equal length or one more, no other line has, have no partner and
-  are left at that. This loses nothing and spares most lines their variants.
-* The others emit, as hashed keys, what remains of the other half when one
-  character is deleted: with its place, for a substitution; without, for a
-  deletion, where it meets the shorter line whole. Equal keys are one edit
-  apart, so the first line of a key, not each pair, is what a line is held
-  against. The edit distance to it is verified on the lines themselves.
+* One edit leaves three of a line's four pieces as they are. Lines of which no
+  other line of the same length, or one more or less, has any three pieces have no
+  partner and are left at that. This loses nothing and spares most lines their
+  variants.
+* The others emit, as hashed keys with those three pieces, what remains of the
+  fourth when one character is deleted: with its place, for a substitution;
+  without, for a deletion, where it meets the shorter line's whole piece. Equal
+  keys are one edit apart, so the first line of a key, not each pair, is what a
+  line is held against. The edit distance to it is verified on the lines
+  themselves.
 
 Everything is DataFrame functions. Null texts stay null, empty ones empty. Null
 doc_ids come first. Rows that repeat a doc_id are one document: where their
@@ -30,52 +32,55 @@ from pyspark.sql import functions as F
 from stratum.llm._common import free_name, stage
 
 NEAR_CHARS = 16
-UNIT = 8
+#: A line has PIECES pieces; all but the one in question are of a multiple of UNIT characters.
+PIECES, UNIT = 4, 4
 
 
-def _anchor(n: Column) -> Column:
-    """Characters of either half that a line of n characters is anchored by."""
-    return F.floor(n / (2 * UNIT)).cast("int") * UNIT
+def _size(n: Column) -> Column:
+    """Characters of the pieces of a line of n characters."""
+    return F.floor(n / (PIECES * UNIT)).cast("int") * UNIT
 
 
-def _head(line: Column, p: Column) -> Column:
-    return F.xxhash64(F.lit("head"), p, F.substr(line, F.lit(1), p))
+def _around(line: Column, n: Column, p: Column, q: int) -> Column:
+    """Hash of the line but its q-th piece: what stands q pieces from its start, and the others from its end."""
+    left, right = F.substr(line, F.lit(1), p * q), F.substr(line, n - p * (PIECES - 1 - q) + 1, p * (PIECES - 1 - q))
+    return F.xxhash64(F.lit(q), p, left, right)
 
 
-def _tail(line: Column, n: Column, p: Column) -> Column:
-    return F.xxhash64(F.lit("tail"), p, F.substr(line, n - p + 1, p))
+def _rest(line: Column, n: Column, p: Column, q: int) -> Column:
+    return F.substr(line, p * q + 1, n - p * (PIECES - 1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Non-blank lines: doc_id, line_no, h1, h2 (96 bits of hash), n characters, keys of the halves."""
+    """Non-blank lines: doc_id, line_no, h1, h2 (96 bits of hash), n characters, keys of all pieces but one."""
     line, n = F.col("line"), F.col("n")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line != ''").withColumn("n", F.length("line"))
-    own, less = _anchor(n), _anchor(n - 1)
-    keys = F.when(n < NEAR_CHARS, F.array().cast("array<bigint>")).when(own == less, F.array(_head(line, own), _tail(line, n, own))).otherwise(F.array(_head(line, own), _tail(line, n, own), _head(line, less), _tail(line, n, less)))
+    own, less = _size(n), _size(n - 1)
+    of = lambda p: [_around(line, n, p, q) for q in range(PIECES)]
+    keys = F.when(n < NEAR_CHARS, F.array().cast("array<bigint>")).when(own == less, F.array(*of(own))).otherwise(F.array(*of(own), *of(less)))
     return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "n", keys.alias("keys"))
 
 
 def _candidates(first: DataFrame) -> DataFrame:
-    """h1, h2, pos of the lines that share a half with another line of the same length, or one more or less."""
-    halves = first.select("h1", "h2", "pos", "n", F.explode("keys").alias("key"))
-    common = halves.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    shared = halves.join(common, "key")
+    """h1, h2, pos, keys of the lines that share all pieces but one with another line of the same length, or one more or less."""
+    parts = first.select("h1", "h2", "pos", "n", F.explode("keys").alias("key"))
+    common = parts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    shared = parts.join(common, "key")
     # length n meets n as a substitution, and n - 1 and n + 1 as a deletion
     met = shared.select("h1", "h2", "pos", "key", F.explode(F.array("n", F.col("n") - 1)).alias("len"))
     full = met.groupBy("key", "len").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "len")
-    return met.join(full, ["key", "len"]).select("h1", "h2", "pos").distinct()
+    return met.join(full, ["key", "len"]).groupBy("h1", "h2", "pos").agg(F.collect_set("key").alias("keys"))
 
 
-def _sides(line: Column, n: Column) -> Column:
-    """Array of (kind, base, rest): by half, what a line is to be compared as, the hash of the anchor, and the other side."""
-    own, less = _anchor(n), _anchor(n - 1)
+def _sides(line: Column, n: Column, keys: Column) -> Column:
+    """Array of (kind, base, rest): what a line is to be compared as, the hash of its other pieces, and the piece in question."""
+    own, less = _size(n), _size(n - 1)
 
-    def side(kind: str, head: bool, p: Column) -> Column:
-        base = _head(line, p) if head else _tail(line, n, p)
-        rest = F.substr(line, p + 1, n - p) if head else F.substr(line, F.lit(1), n - p)
-        return F.struct(F.lit(kind).alias("kind"), base.alias("base"), rest.alias("rest"))
+    def side(kind: str, p: Column, q: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), _around(line, n, p, q).alias("base"), _rest(line, n, p, q).alias("rest"))
 
-    return F.array(*(side(kind, head, p) for head in (True, False) for kind, p in (("sub", own), ("del", less), ("whole", own))))
+    every = F.array(*(side(kind, p, q) for q in range(PIECES) for kind, p in (("sub", own), ("del", less), ("whole", own))))
+    return F.filter(every, lambda s: F.array_contains(keys, s["base"]))
 
 
 def _keys(kind: Column, base: Column, rest: Column) -> Column:
@@ -88,9 +93,9 @@ def _keys(kind: Column, base: Column, rest: Column) -> Column:
 
 
 def _near(lines: DataFrame) -> DataFrame:
-    """From h1, h2, pos, line: the lines that have an earlier one within one edit."""
+    """From h1, h2, pos, keys, line: the lines that have an earlier one within one edit."""
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = lines.repartition(parts, "h1").select(F.struct("pos", "h1", "h2").alias("x"), F.explode(_sides(F.col("line"), F.length("line"))).alias("s")).select("x", "s.*")
+    sides = lines.repartition(parts, "h1").select(F.struct("pos", "h1", "h2").alias("x"), F.explode(_sides(F.col("line"), F.length("line"), F.col("keys"))).alias("s")).select("x", "s.*")
     keyed = sides.select("x", (F.col("kind") == "whole").alias("whole"), F.explode(_keys(F.col("kind"), F.col("base"), F.col("rest"))).alias("key"))
     group = Window.partitionBy("key")
     met = keyed.select("x", "whole", F.min(F.when(F.col("whole"), F.col("x"))).over(group).alias("whole_x"), F.min(F.when(~F.col("whole"), F.col("x"))).over(group).alias("cut_x"))
@@ -108,9 +113,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = stage(_lines(docs))
     first = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     wanted = _candidates(first)
-    by_doc = wanted.groupBy(F.col("pos.doc_id").alias("d")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "h1", "h2", "pos")).alias("wanted"))
+    by_doc = wanted.groupBy(F.col("pos.doc_id").alias("d")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "h1", "h2", "pos", "keys")).alias("wanted"))
     split = F.split("text", "\n", -1)
-    texts = by_doc.join(docs.select("doc_id", "text"), F.col("d").eqNullSafe(F.col("doc_id"))).select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["pos"].alias("pos"), F.trim(F.get(split, w["line_no"])).alias("line")))).alias("x")).select("x.*")
+    texts = by_doc.join(docs.select("doc_id", "text"), F.col("d").eqNullSafe(F.col("doc_id"))).select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["pos"].alias("pos"), w["keys"].alias("keys"), F.trim(F.get(split, w["line_no"])).alias("line")))).alias("x")).select("x.*")
     texts = stage(texts.where((F.xxhash64("line") == F.col("h1")) & (F.hash("line") == F.col("h2"))).dropDuplicates(["h1", "h2"]))
     near = stage(_near(texts))
     again = first.where("c > 1").select("h1", "h2", "pos")
