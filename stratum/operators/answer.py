@@ -52,3 +52,24 @@ def prompts(units: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), (F.col("order_index") + 1).cast("string"), F.lit("] ("), "title", F.when(F.coalesce(F.col("section"), F.lit("")) != "", F.concat(F.lit(" — §"), "section")).otherwise(""), F.lit("): "), "text")
     per = units.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("order_index", line.alias("line")))).alias("lines"))
     return per.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def fitted(units: DataFrame, history: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
+    """Units and history (query_id, place, tokens) that fit: history keeps its newest within a third, units the first within the rest.
+
+    The first unit of a query always stays.
+    """
+    newest = Window.partitionBy("query_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = history.withColumn("run", F.sum("tokens").over(newest)).where(F.col("run") <= room // 3)
+    used = kept.groupBy("query_id").agg(F.max("run").alias("used"))
+    first = Window.partitionBy("query_id").orderBy("place")
+    u = units.join(used, "query_id", "left").withColumn("run", F.sum("tokens").over(first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(first))
+    return u.where((F.col("run") + F.coalesce("used", F.lit(0)) <= room) | (F.col("n") == 1)).select(*units.columns), kept.select(*history.columns)
+
+
+def missing_index(queries: DataFrame, live_chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """query_id, retry over queries without hits: to be tried again where there are chunks but no active index, else there is nothing."""
+    chunks = live_chunks.select(F.lit(True).alias("has")).limit(1)
+    active = registry.where("status = 'active'").select(F.lit(True).alias("ready")).limit(1)
+    out = queries.join(F.broadcast(chunks), F.lit(True), "left").join(F.broadcast(active), F.lit(True), "left")
+    return out.select("query_id", (F.coalesce("has", F.lit(False)) & ~F.coalesce("ready", F.lit(False))).alias("retry"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.functions.embed import embedded, is_public
 from stratum.operators import mentions, router, structure
 from stratum.plans.common import SOURCES, terms
 from stratum.plans.corpus import _BLOCKS
@@ -52,7 +53,15 @@ def json_objects(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", mentions.first_json(F.concat(F.lit('Sure: "x" '), "props", F.lit(" } done {}"))).alias("json"))
 
 
-QUERIES = {f.__name__: f for f in (mention_detection, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects)}
+def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return sources(spark, d).select("source_id", F.transform(embedded(F.col("text")), lambda v: F.round(v, 6)).alias("vector"))
+
+
+def public_pages(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "pages").select("page_id", is_public(F.col("url")).alias("public"))
+
+
+QUERIES = {f.__name__: f for f in (mention_detection, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
 
 ORACLES = {
     "mention_detection": rf"""WITH {SOURCES}, n AS (SELECT item_id AS node_id, array_to_string({terms("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")}, ' ') AS gram FROM benchmark),

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.operators import mentions
-from stratum.sources import archives
+from stratum.functions.embed import embedded, is_public
+from stratum.operators import answer
+from stratum.sources import archives, sinks
 from stratum.streaming import redact
 
 W, O = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
@@ -79,3 +81,47 @@ def test_redactor_keeps_state_between_batches(spark, tmp_path):
     for r in sorted(spark.table("clean").collect(), key=lambda r: r.upto):
         got[r.key] = got.get(r.key, "") + r.text
     assert got == {1: "ab", 2: "xy"}
+
+
+def test_partitions_are_replaced(spark, tmp_path):
+    p = str(tmp_path / "t")
+    sinks.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), p, "k")
+    sinks.replace_partitions(spark.createDataFrame([(2, "c"), (2, "d")], "k int, v string"), p, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(p).collect()) == [(1, "a"), (2, "c"), (2, "d")]
+
+
+def test_generations(spark, tmp_path):
+    root, none = str(tmp_path), spark.createDataFrame([], "coordinate string, generation int, status string")
+    assert sinks.read_active(spark, none, root, "c") is None
+    first = sinks.activate(sinks.new_generation(spark.range(3), none, root, "c"), "c")
+    building = sinks.new_generation(spark.range(5), first, root, "c")
+    assert sinks.read_active(spark, building, root, "c").count() == 3
+    second = sinks.activate(building, "c")
+    assert sinks.read_active(spark, second, root, "c").count() == 5
+    folders = spark.createDataFrame([("c", 1), ("c", 2)], "coordinate string, generation int")
+    assert [r.generation for r in sinks.orphans(second, folders).collect()] == [1]
+
+
+def test_embedder_is_unit_and_near_for_shared_terms(spark):
+    v = [r.v for r in spark.createDataFrame([(0, "red fox runs"), (1, "red fox sleeps"), (2, "green tea"), (3, None)], "i int, t string").orderBy("i").select(embedded(F.col("t")).alias("v")).collect()]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert abs(dot(v[0], v[0]) - 1) < 1e-9 and dot(v[0], v[1]) > dot(v[0], v[2]) and not any(v[3])
+
+
+def test_public_addresses(spark):
+    rows = [("http://example.com/x", True), ("https://8.8.8.8", True), ("http://127.0.0.1/", False), ("http://10.0.0.1", False), ("http://[::1]/", False), ("http://[::ffff:192.168.0.1]/", False), ("ftp://example.com", False), ("http://localhost:80", False), ("http://169.254.1.1", False), (None, False), ("http://[bad", False)]
+    got = spark.createDataFrame(rows, "u string, want boolean").select("want", is_public(F.col("u")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_prompt_fits(spark):
+    units = spark.createDataFrame([(1, 0, 50), (1, 1, 30), (1, 2, 30), (2, 0, 999)], "query_id long, place int, tokens int")
+    history = spark.createDataFrame([(1, 0, 20), (1, 1, 20), (1, 2, 10)], "query_id long, place int, tokens int")
+    u, h = answer.fitted(units, history, 110)
+    assert {(r.query_id, r.place) for r in u.collect()} == {(1, 0), (1, 1), (2, 0)} and {r.place for r in h.collect()} == {1, 2}
+
+
+def test_missing_index(spark):
+    q, some, none = spark.createDataFrame([(1,)], "query_id long"), spark.range(1), spark.range(0)
+    reg = lambda *s: spark.createDataFrame([(x,) for x in s], "status string")
+    assert [answer.missing_index(q, c, r).first().retry for c, r in ((some, reg("stale")), (some, reg("active")), (none, reg()))] == [True, False, False]
