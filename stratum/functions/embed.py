@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 import ipaddress
+import re
+import zlib
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratum.functions.text import index_terms
-
 DIM = 64
+term = re.compile(r"[^\W_]+").findall
 
 
 def embedded(text: Column, dim: int = DIM, prefix: str = "") -> Column:
     """Unit vector of a text's terms: each adds one, of a hashed sign, at a hashed place. Texts without terms give zeros."""
-    hashes = F.transform(index_terms(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), lambda t: F.xxhash64(t))
-    signed = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(dim)).cast("int").alias("at"), F.when(h < 0, -1.0).otherwise(1.0).alias("v")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(signed, lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["v"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(norm > 0, F.transform(raw, lambda v: v / norm)).otherwise(raw)
+
+    @F.pandas_udf("array<double>")
+    def embed(t: pd.Series) -> pd.Series:
+        def one(s: str | None) -> np.ndarray:
+            v = np.zeros(dim)
+            terms = term(((prefix + s) if s else prefix).lower())
+            if terms:
+                h = np.array([zlib.crc32(x.encode()) for x in terms])
+                np.add.at(v, h % dim, np.where(h >> 31, -1.0, 1.0))
+                v /= max(np.sqrt((v * v).sum()), 1e-12)
+            return v
+
+        return t.map(one)
+
+    return embed(text)
 
 
 def is_public(url: Column) -> Column:
