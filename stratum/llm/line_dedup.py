@@ -7,11 +7,11 @@ always; lines of fewer than ``NEAR_CHARS`` characters go only for equal ones,
 as one edit makes another word of a short line. Lines are compared trimmed.
 
 * Equal lines meet by their hash; only the first of them is looked at further.
-* One edit leaves three of a line's four pieces as they are. Lines of which no
-  other line of the same length, or one more or less, has any three pieces have no
-  partner and are left at that. This loses nothing and spares most lines their
-  variants.
-* The others emit, as hashed keys with those three pieces, what remains of the
+* One edit leaves one half of a line as it is, and three of its quarters. Lines of
+  which no other line of the same length, or one more or less, has a half, or then
+  any three quarters, have no partner and are left at that. This loses nothing and
+  spares most lines their variants.
+* The others emit, as hashed keys with those three quarters, what remains of the
   fourth when one character is deleted: with its place, for a substitution;
   without, for a deletion, where it meets the shorter line's whole piece. Equal
   keys are one edit apart, so the first line of a key, not each pair, is what a
@@ -32,33 +32,33 @@ from pyspark.sql import functions as F
 from stratum.llm._common import free_name, stage
 
 NEAR_CHARS = 16
-#: A line has PIECES pieces; all but the one in question are of a multiple of UNIT characters.
-PIECES, UNIT = 4, 4
+#: Pieces of a line for the first and second look, and the unit of the sizes of all pieces but the one in question.
+HALVES, QUARTERS = (2, 8), (4, 4)
 
 
-def _size(n: Column) -> Column:
+def _size(n: Column, cut: tuple[int, int]) -> Column:
     """Characters of the pieces of a line of n characters."""
-    return F.floor(n / (PIECES * UNIT)).cast("int") * UNIT
+    return F.floor(n / (cut[0] * cut[1])).cast("int") * cut[1]
 
 
-def _around(line: Column, n: Column, p: Column, q: int) -> Column:
+def _around(line: Column, n: Column, p: Column, q: int, cut: tuple[int, int]) -> Column:
     """Hash of the line but its q-th piece: what stands q pieces from its start, and the others from its end."""
-    left, right = F.substr(line, F.lit(1), p * q), F.substr(line, n - p * (PIECES - 1 - q) + 1, p * (PIECES - 1 - q))
+    left, right = F.substr(line, F.lit(1), p * q), F.substr(line, n - p * (cut[0] - 1 - q) + 1, p * (cut[0] - 1 - q))
     return F.xxhash64(F.lit(q), p, left, right)
 
 
-def _rest(line: Column, n: Column, p: Column, q: int) -> Column:
-    return F.substr(line, p * q + 1, n - p * (PIECES - 1))
+def _piece_keys(line: Column, n: Column, cut: tuple[int, int]) -> Column:
+    """Keys of all pieces but one, as the line is cut itself and as one that is a character shorter."""
+    own, less = _size(n, cut), _size(n - 1, cut)
+    of = lambda p: [_around(line, n, p, q, cut) for q in range(cut[0])]
+    return F.when(n < NEAR_CHARS, F.array().cast("array<bigint>")).when(own == less, F.array(*of(own))).otherwise(F.array(*of(own), *of(less)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Non-blank lines: doc_id, line_no, h1, h2 (96 bits of hash), n characters, keys of all pieces but one."""
+    """Non-blank lines: doc_id, line_no, h1, h2 (96 bits of hash), n characters, keys of the halves."""
     line, n = F.col("line"), F.col("n")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line != ''").withColumn("n", F.length("line"))
-    own, less = _size(n), _size(n - 1)
-    of = lambda p: [_around(line, n, p, q) for q in range(PIECES)]
-    keys = F.when(n < NEAR_CHARS, F.array().cast("array<bigint>")).when(own == less, F.array(*of(own))).otherwise(F.array(*of(own), *of(less)))
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "n", keys.alias("keys"))
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "n", _piece_keys(line, n, HALVES).alias("keys"))
 
 
 def _candidates(first: DataFrame) -> DataFrame:
@@ -74,12 +74,13 @@ def _candidates(first: DataFrame) -> DataFrame:
 
 def _sides(line: Column, n: Column, keys: Column) -> Column:
     """Array of (kind, base, rest): what a line is to be compared as, the hash of its other pieces, and the piece in question."""
-    own, less = _size(n), _size(n - 1)
+    own, less = _size(n, QUARTERS), _size(n - 1, QUARTERS)
 
     def side(kind: str, p: Column, q: int) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), _around(line, n, p, q).alias("base"), _rest(line, n, p, q).alias("rest"))
+        rest = F.substr(line, p * q + 1, n - p * (QUARTERS[0] - 1))
+        return F.struct(F.lit(kind).alias("kind"), _around(line, n, p, q, QUARTERS).alias("base"), rest.alias("rest"))
 
-    every = F.array(*(side(kind, p, q) for q in range(PIECES) for kind, p in (("sub", own), ("del", less), ("whole", own))))
+    every = F.array(*(side(kind, p, q) for q in range(QUARTERS[0]) for kind, p in (("sub", own), ("del", less), ("whole", own))))
     return F.filter(every, lambda s: F.array_contains(keys, s["base"]))
 
 
@@ -93,9 +94,12 @@ def _keys(kind: Column, base: Column, rest: Column) -> Column:
 
 
 def _near(lines: DataFrame) -> DataFrame:
-    """From h1, h2, pos, keys, line: the lines that have an earlier one within one edit."""
+    """From h1, h2, pos, line: the lines that have an earlier one within one edit."""
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = lines.repartition(parts, "h1").select(F.struct("pos", "h1", "h2").alias("x"), F.explode(_sides(F.col("line"), F.length("line"), F.col("keys"))).alias("s")).select("x", "s.*")
+    n = F.length("line")
+    again = _candidates(stage(lines.select("h1", "h2", "pos", n.alias("n"), _piece_keys(F.col("line"), n, QUARTERS).alias("keys"))))
+    kept = stage(lines.join(again.select("h1", "h2", "keys"), ["h1", "h2"]))
+    sides = kept.repartition(parts, "h1").select(F.struct("pos", "h1", "h2").alias("x"), F.explode(_sides(F.col("line"), F.length("line"), F.col("keys"))).alias("s")).select("x", "s.*")
     keyed = sides.select("x", (F.col("kind") == "whole").alias("whole"), F.explode(_keys(F.col("kind"), F.col("base"), F.col("rest"))).alias("key"))
     group = Window.partitionBy("key")
     met = keyed.select("x", "whole", F.min(F.when(F.col("whole"), F.col("x"))).over(group).alias("whole_x"), F.min(F.when(~F.col("whole"), F.col("x"))).over(group).alias("cut_x"))
@@ -113,9 +117,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = stage(_lines(docs))
     first = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     wanted = _candidates(first)
-    by_doc = wanted.groupBy(F.col("pos.doc_id").alias("d")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "h1", "h2", "pos", "keys")).alias("wanted"))
+    by_doc = wanted.groupBy(F.col("pos.doc_id").alias("d")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "h1", "h2", "pos")).alias("wanted"))
     split = F.split("text", "\n", -1)
-    texts = by_doc.join(docs.select("doc_id", "text"), F.col("d").eqNullSafe(F.col("doc_id"))).select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["pos"].alias("pos"), w["keys"].alias("keys"), F.trim(F.get(split, w["line_no"])).alias("line")))).alias("x")).select("x.*")
+    texts = by_doc.join(docs.select("doc_id", "text"), F.col("d").eqNullSafe(F.col("doc_id"))).select(F.explode(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["pos"].alias("pos"), F.trim(F.get(split, w["line_no"])).alias("line")))).alias("x")).select("x.*")
     texts = stage(texts.where((F.xxhash64("line") == F.col("h1")) & (F.hash("line") == F.col("h2"))).dropDuplicates(["h1", "h2"]))
     near = stage(_near(texts))
     again = first.where("c > 1").select("h1", "h2", "pos")
