@@ -31,6 +31,8 @@ from stratum.llm._common import map_batches
 #: What a worker remembers: that many fragments, none of more bytes.
 REMEMBERED, LONGEST = 400_000, 64
 WHITE = b" \t\n\r\x0b\x0c"
+#: Signs that are a piece of their own after a word, whatever their number; none of them is of a special token or a contraction.
+STOPS = b".,;:!?*&%$#@+-=~^\"()[]{}/\\_`"
 
 
 def load(path: str):
@@ -95,34 +97,39 @@ class Pieces(dict):
         self.tokenizer, self.kind, self.most = tokenizer, kind, most
         self.lower = tokenizer.normalizer is not None
         self.tokenize = tokenizer.model.tokenize
-        self.symbols = {b: c for c, b in byte_symbols().items()}
+        self.symbols = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
         probes = [b"word", "\u00e9t\u00e9".encode(), b"aaaaaab"] + ([] if self.lower else [b" word", b"Word"])
         self.packed = [np.array([i], kind).tobytes() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
         self.direct = all(self._merged(p.decode()) == self._whole(p.decode()) for p in probes)
 
     def _merged(self, text: str) -> bytes:
-        shown = text if text.isascii() and text.isalpha() else "".join(self.symbols[b] for b in text.encode())
-        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(shown)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(text.encode().decode("latin-1").translate(self.symbols))])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _plain(self, text: str) -> bool:
+    def _word(self, text: str) -> str | None:
+        """The text as the model takes it if it is a word of Latin letters; None if it isn't. Letters there are folded one by one."""
+        text = text.lower() if self.lower else text
         core = text if self.lower else text.removeprefix(" ")
-        return core.isalpha() and (core.isascii() or max(core) < "\u0250") and not (self.lower and core != core.lower())
+        return text if core.isalpha() and max(core) < "\u0250" else None
 
     def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        head = text.rstrip(".,;:!?")
-        if self.direct and piece.isalpha() and not (self.lower and not piece.islower()):
+        if not self.direct:
+            ids = self._whole(piece.decode())
+        elif piece.isalpha() and not (self.lower and not piece.islower()):
             packed = self.packed  # plain ASCII letters, the usual case
-            ids = b"".join([packed[t.id] for t in self.tokenize(text)])
-        elif not self.direct or not head or not self._plain(head):
-            ids = self._whole(text)
-        elif head == text:
-            ids = self._merged(text)
+            ids = b"".join([packed[t.id] for t in self.tokenize(piece.decode())])
         else:
-            ids = self[head.encode()] + self[text[len(head) :].encode()]
+            head = piece.rstrip(STOPS)
+            word = self._word(head.decode()) if head else None
+            if word is None:
+                ids = self._whole(piece.decode())
+            elif len(head) == len(piece):
+                ids = self._merged(word)
+            else:
+                ids = self[head] + self[piece[len(head) :]]
         if len(piece) <= LONGEST:
             if len(self) >= self.most:
                 self.clear()

@@ -223,14 +223,13 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             hashes, data = [], []
-            for r in batch.to_pylist():
-                raw, at = unpack(r["payload"]), 0
-                for h, n, own, given in zip(r["hashes"], r["lens"], r["owned"], r["given"]):
-                    if own:
-                        if given:
-                            hashes.append(h)
-                            data.append(raw[at : at + n * width])
-                        at += n * width
+            for names, lens, owned, given, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, at = unpack(payload), 0
+                for h, n, own, lend in zip(names, lens, owned, given):
+                    if lend:
+                        hashes.append(h)
+                        data.append(raw[at : at + n * width])
+                    at += n * width * own
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], names=["hash", "data"])
 
     lent = rows.where(F.exists("given", lambda x: x)).select("hashes", "lens", "owned", "given", "payload").mapInArrow(give, "hash binary, data binary")
