@@ -1,5 +1,6 @@
 """BPE and the token store against the tokenizers library itself."""
 
+import functools
 import hashlib
 import zlib
 
@@ -14,12 +15,15 @@ from stratum.llm import bpe, token_store
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+library = functools.lru_cache(bpe.load)
+
+
 def packed(path, text):
-    return np.asarray(bpe.load(path).encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    return np.asarray(library(path).encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_round_trip_matches_library(small_docs, edge):
-    t = bpe.load(BYTE)
+    t = library(BYTE)
     for docs in (small_docs, edge):
         want = sorted((r.doc_id or -1, hashlib.sha256(packed(BYTE, r.text)).hexdigest(), hashlib.sha256(t.decode(t.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()) for r in docs.collect())
         got = sorted((r.doc_id or -1, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, BYTE).collect())
@@ -36,20 +40,24 @@ def test_encode_keeps_other_columns(edge):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'srtZé \t\n 　 中12<|endoftext|>.#"), max_size=40))
 def test_certain_cuts_agree_with_whole_text(text):
-    t = _tokenizer()
-    ids = [i for f in bpe.cutter(_tokens())(text.encode()) if f for i in t.encode(f.decode(), add_special_tokens=False).ids]
+    t = library(BYTE)
+    ids = [i for f in cut()(text.encode()) if f for i in t.encode(f.decode(), add_special_tokens=False).ids]
     assert ids == t.encode(text, add_special_tokens=False).ids
 
 
-_cache = {}
+@functools.cache
+def cut():
+    return bpe.cutter(bpe.token_bytes(BYTE))
 
 
-def _tokenizer():
-    return _cache.setdefault("t", bpe.load(BYTE))
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdsrtZÀÉéßİıΣσ'.,!*&12中_-"), min_size=1, max_size=12), st.booleans())
+def test_pieces_agree_with_the_library(text, space):
+    for path, piece in ((BYTE, " " * space + text), (WORD, text)):
+        assert pieces(path)[piece.encode()] == packed(path, piece)
 
 
-def _tokens():
-    return _cache.setdefault("b", bpe.token_bytes(BYTE))
+pieces = functools.lru_cache(lambda path: bpe.Pieces(library(path)))
 
 
 def test_store_matches_library(small_docs, edge):
