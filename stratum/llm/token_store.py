@@ -38,7 +38,7 @@ from stratum.llm._common import map_batches, shared_dir, stage
 from stratum.llm.bpe import load, pieces
 
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
-WINDOW, BITS, LEAST, MOST = 4, 8, 32, 1024
+WINDOW, BITS, LEAST, MOST = 4, 9, 64, 2048
 END_ID = 1
 #: Words a worker remembers.
 REMEMBERED = 1_200_000
@@ -62,11 +62,11 @@ def digest(data: bytes) -> bytes:
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary tree; an odd node moves up as it is, no leaves give the digest of nothing."""
-    level = [digest(b"\x00" + x) for x in leaves] or [digest(b"")]
+    """Root of the binary tree over digests and their number; an odd node moves up as it is, no leaves give the digest of nothing."""
+    level = list(leaves) or [digest(b"")]
     while len(level) > 1:
-        level = [digest(b"\x01" + level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+        level = [digest(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return digest(len(leaves).to_bytes(8, "little") + level[0])
 
 
 def rolling(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
