@@ -101,7 +101,7 @@ def _kind(tokenizer) -> str:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, lens, hashes, Merkle root and the zstd-compressed ids of every row."""
+    """doc_id, n_tokens, lengths, hashes, Merkle root and the zstd-compressed ids of every row."""
 
     def make():
         import zstandard
@@ -128,12 +128,12 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             return len(data) // width, [b - a for a, b in zip([0, *ends], ends)], hashes, merkle(hashes), pack(data)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, lens, hashes, root, data = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ([],) * 5
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lens, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(root, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "lens", "hashes", "root", "payload"])
+            n, lengths, hashes, root, data = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ([],) * 5
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lengths, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(root, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "lengths", "hashes", "root", "payload"])
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lens array<int>, hashes array<binary>, root binary, payload binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lengths array<int>, hashes array<binary>, root binary, payload binary")
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
@@ -168,8 +168,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
                 rows.append(i)
                 mark = None
             kept = batch.take(pa.array(rows, pa.int32()))
-            same = {n: kept.column(kept.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "lens", "hashes", "root")}
-            n_chunks = same["lens"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if rows else np.zeros(0, np.int64)
+            same = {n: kept.column(kept.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "lengths", "hashes", "root")}
+            n_chunks = same["lengths"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if rows else np.zeros(0, np.int64)
             ends = np.r_[0, np.cumsum(n_chunks)]
             owned, given = np.ones(ends[-1], bool), np.zeros(ends[-1], bool)
             payload = kept.column(kept.schema.get_field_index("payload")).to_pylist()
@@ -177,7 +177,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
                 given[ends[i] + np.array(out, np.int64)] = True
                 if foreign:
                     owned[ends[i] + np.array(foreign, np.int64)] = False
-                    at_ = np.r_[0, np.cumsum(same["lens"][i].as_py())] * width
+                    at_ = np.r_[0, np.cumsum(same["lengths"][i].as_py())] * width
                     raw, gone = unpack(payload[i]), set(foreign)
                     payload[i] = pack(b"".join(raw[at_[k] : at_[k + 1]] for k in range(n_chunks[i]) if k not in gone))
             sizes = same["n_tokens"].to_numpy(zero_copy_only=False) if rows else np.zeros(0, np.int64)
@@ -187,10 +187,10 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
             at, start = at + len(rows), int(starts[-1])
             yield pa.RecordBatch.from_arrays([same[f.name] if f.name in same else new[f.name] for f in laid_schema], names=laid_schema.names)
 
-    laid_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lens", pa.list_(pa.int32())), ("hashes", pa.list_(pa.binary())), ("owned", pa.list_(pa.bool_())), ("given", pa.list_(pa.bool_())), ("payload", pa.binary()), ("root", pa.binary()), ("part", pa.int32()), ("at", pa.int64()), ("local_start", pa.int64())])
+    laid_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lengths", pa.list_(pa.int32())), ("hashes", pa.list_(pa.binary())), ("owned", pa.list_(pa.bool_())), ("given", pa.list_(pa.bool_())), ("payload", pa.binary()), ("root", pa.binary()), ("part", pa.int32()), ("at", pa.int64()), ("local_start", pa.int64())])
     top = shared_dir(spark)
     store = Store(f"{top}/documents", f"{top}/manifest")
-    laid.mapInArrow(lay, "doc_id bigint, n_tokens bigint, lens array<int>, hashes array<binary>, owned array<boolean>, given array<boolean>, payload binary, root binary, part int, at bigint, local_start bigint").write.option("compression", "zstd").parquet(store.documents)
+    laid.mapInArrow(lay, "doc_id bigint, n_tokens bigint, lengths array<int>, hashes array<binary>, owned array<boolean>, given array<boolean>, payload binary, root binary, part int, at bigint, local_start bigint").write.option("compression", "zstd").parquet(store.documents)
     _manifest(spark.read.parquet(store.documents)).write.parquet(store.manifest)
     return store
 
@@ -223,19 +223,19 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             hashes, data = [], []
-            for names, lens, owned, given, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for names, lengths, owned, given, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, at = unpack(payload), 0
-                for h, n, own, lend in zip(names, lens, owned, given):
+                for h, n, own, lend in zip(names, lengths, owned, given):
                     if lend:
                         hashes.append(h)
                         data.append(raw[at : at + n * width])
                     at += n * width * own
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], names=["hash", "data"])
 
-    lent = rows.where(F.exists("given", lambda x: x)).select("hashes", "lens", "owned", "given", "payload").mapInArrow(give, "hash binary, data binary")
+    lent = rows.where(F.exists("given", lambda x: x)).select("hashes", "lengths", "owned", "given", "payload").mapInArrow(give, "hash binary, data binary")
     missing = rows.where(F.exists("owned", lambda x: ~x)).select("part", "at", F.explode(F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("seq"), h.alias("hash"), F.get("owned", i).alias("own"))), lambda x: ~x["own"])).alias("x")).select("part", "at", "x.seq", "x.hash")
     got = missing.join(lent, "hash").groupBy("part", "at").agg(F.collect_list(F.struct("seq", "data")).alias("borrowed"))
-    cols = ["doc_id", "n_tokens", "lens", "hashes", "owned", "payload", "root", "part", "local_start"]
+    cols = ["doc_id", "n_tokens", "lengths", "hashes", "owned", "payload", "root", "part", "local_start"]
     whole = rows.where(F.forall("owned", lambda x: x)).select(*cols, F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("borrowed"))
     # one row for each of the two sides at most: (part, at) names a row of the store
     patched = rows.where(F.exists("owned", lambda x: ~x)).join(got, ["part", "at"]).select(*cols, "borrowed")
@@ -245,10 +245,10 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
 
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def one(doc_id, lens, hashes, owned, payload, root, borrowed) -> bytes:
+        def one(doc_id, lengths, hashes, owned, payload, root, borrowed) -> bytes:
             lent = {x["seq"]: x["data"] for x in borrowed or ()}
             raw, at, out = unpack(payload), 0, []
-            for i, (h, n, own) in enumerate(zip(hashes, lens, owned)):
+            for i, (h, n, own) in enumerate(zip(hashes, lengths, owned)):
                 data = raw[at : at + n * width] if own else lent[i]
                 at += n * width if own else 0
                 if digest(data) != h:
@@ -261,7 +261,7 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             owned = col["owned"].to_pylist()
-            got = [one(*r) for r in zip(*(col[n].to_pylist() for n in ("doc_id", "lens", "hashes", "owned", "payload", "root", "borrowed")))]
+            got = [one(*r) for r in zip(*(col[n].to_pylist() for n in ("doc_id", "lengths", "hashes", "owned", "payload", "root", "borrowed")))]
             crc = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in got]
             out = {"doc_id": col["doc_id"], "part": col["part"], "local_start": col["local_start"], "n_tokens": pa.array([len(x) // width for x in got], pa.int64()), "n_chunks": pa.array([len(x) for x in owned], pa.int32()), "n_owned": pa.array([sum(x) for x in owned], pa.int32()), "ids_crc32": pa.array(crc, pa.int64())}
             if ids:

@@ -83,7 +83,7 @@ def test_read_rejects_a_changed_store(spark, small_docs):
     from pyspark.sql import functions as F
 
     store = token_store.write(small_docs, WORD)
-    bad = spark.read.parquet(store.documents).withColumn("lens", F.reverse("lens")).withColumn("payload", F.when(F.col("at") == 0, F.max("payload").over(__import__("pyspark.sql").sql.Window.partitionBy("part"))).otherwise(F.col("payload")))
+    bad = spark.read.parquet(store.documents).withColumn("lengths", F.reverse("lengths")).withColumn("payload", F.when(F.col("at") == 0, F.max("payload").over(__import__("pyspark.sql").sql.Window.partitionBy("part"))).otherwise(F.col("payload")))
     path = store.documents + "-bad"
     bad.write.parquet(path)
     with pytest.raises(Exception, match="isn't what its digest says"):
