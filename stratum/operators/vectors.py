@@ -11,6 +11,8 @@ from stratum.operators.lexical import top
 
 #: Vectors of a block; queries and rows meet block by block.
 BLOCK = 1024
+#: Share of the true neighbours that an approximate search aims at (0.9 is asked for), and queries it is measured on.
+RECALL, MEASURED = 0.95, 512
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int | None = None) -> DataFrame:
@@ -24,7 +26,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int | N
     packed = queries.where("vector is not null").groupBy(F.floor(F.pmod(F.xxhash64("query_id"), 1_000_003) % F.lit(_query_blocks(queries))).alias("qb")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("vector").alias("qs"))
     rows = vectors.where("vector is not null").select("chunk_id", "vector")
     packed_rows = rows.groupBy(F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / BLOCK).alias("at")).agg(F.collect_list("chunk_id").alias("ids"), F.collect_list("vector").alias("xs"))
-    met = packed_rows.join(packed)
+    return top(packed_rows.join(packed).mapInPandas(_best(k), "query_id bigint, chunk_id bigint, score double"), k)
+
+
+def _best(k: int):
+    """Blocks of rows (ids, xs) that met blocks of queries (qids, qs) -> the k nearest rows of the block for each query."""
 
     def best(frames):
         for f in frames:
@@ -37,7 +43,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int | N
                 out.append(pd.DataFrame({"query_id": np.repeat(np.asarray(qids), order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
 
-    return top(met.mapInPandas(best, "query_id bigint, chunk_id bigint, score double"), k)
+    return best
 
 
 def _query_blocks(queries: DataFrame) -> int:
@@ -49,15 +55,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probe: int = 8, sample: int = 20_000) -> DataFrame:
+def ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probe: int | None = None, sample: int = 20_000, recall: float = RECALL) -> DataFrame:
     """Approximate k nearest: cells around centres fitted on a bounded sample, the nearest ``probe`` of them searched exactly.
 
-    The fit sees at most ``sample`` vectors; every vector is indexed. Cells and
-    queries meet by an equi-join on the cell.
+    The fit sees at most ``sample`` vectors; every vector is indexed. Blocks of
+    vectors and queries meet by an equi-join on the cell. Without ``probe`` as many cells
+    are searched as ``recall`` takes, measured against ``knn`` over all vectors.
     """
-    total = vectors.count()
-    cells = cells or max(1, int(total**0.5))
-    drawn = vectors.where("vector is not null").orderBy(F.xxhash64("chunk_id")).limit(sample).select("vector").toPandas()
+    rows, queries = vectors.where("vector is not null"), queries.where("vector is not null")
+    cells = cells or max(1, int(rows.count() ** 0.5))
+    drawn = rows.orderBy(F.xxhash64("chunk_id")).limit(sample).select("vector").toPandas()
     if drawn.empty:
         return knn(vectors, queries, k)
     centres = _spherical_means(unit(np.vstack(drawn["vector"]).astype(float)), min(cells, len(drawn)))
@@ -71,9 +78,29 @@ def ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None =
 
         return cell
 
-    rows = vectors.where("vector is not null").withColumn("cell", F.explode(near(1)("vector")))
-    asked = queries.withColumn("cell", F.explode(near(min(probe, len(centres)))("vector"))).select("query_id", F.col("vector").alias("q"), "cell")
-    return top(rows.join(asked, "cell").select("query_id", "chunk_id", F.round(cosine("q", "vector"), 6).alias("score")), k)
+    rows = rows.withColumn("cell", F.explode(near(1)("vector")))
+    if probe is None:
+        some = queries.orderBy(F.xxhash64("query_id")).limit(MEASURED)
+        order = some.select("query_id", near(len(centres))("vector").alias("cells"))
+        places = knn(vectors, some, k).join(rows.select("chunk_id", "cell"), "chunk_id").join(order, "query_id").groupBy(F.array_position("cells", F.col("cell")).alias("place")).count()
+        probe = _probes(dict(places.collect()), recall)  # a row a cell at most
+    # a row a cell; the blocks of a large cell are dealt over tasks
+    sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    packed_rows = rows.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("chunk_id"), "blocks").alias("at")).agg(F.collect_list("chunk_id").alias("ids"), F.collect_list("vector").alias("xs"))
+    asked = queries.withColumn("cell", F.explode(near(min(probe, len(centres)))("vector")))
+    packed = asked.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(_query_blocks(queries))).alias("qb")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("vector").alias("qs"))
+    met = packed_rows.join(packed.join(sizes, "cell").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), ["cell", "at"])
+    return top(met.select("ids", "xs", "qids", "qs").mapInPandas(_best(k), "query_id bigint, chunk_id bigint, score double"), k)
+
+
+def _probes(found: dict[int, int], recall: float) -> int:
+    """The least number of cells that hold ``recall`` of the neighbours, from how many lie in the n-th nearest cell."""
+    total, seen = sum(found.values()), 0
+    for place in sorted(found):
+        seen += found[place]
+        if seen >= recall * total:
+            return place
+    return 1
 
 
 def _spherical_means(x: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
@@ -85,9 +112,3 @@ def _spherical_means(x: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
         np.add.at(sums, at, x)
         c = np.where(np.bincount(at, minlength=cells)[:, None] > 0, unit(sums), c)
     return c
-
-
-def cosine(a: str, b: str):
-    """Cosine of two array columns in double precision, on the JVM."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))

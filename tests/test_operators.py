@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import text as T
 from stratum.operators import answer, catalog, enrich, evaluate, fusion, graph, lexical, resolve, router, structure, vectors
+from stratum.plans import retrieval
 from stratum.sources import extract
 from stratum.streaming import events
 
@@ -86,6 +87,18 @@ def test_ivf_recall(spark):
     assert vectors.knn(v.limit(0), q, 10).count() == 0
 
 
+def test_ivf_recall_on_the_embeddings_table(spark):
+    d = "/root/testdata/sf0.1"
+    exact, near = ({(r.query_id, r.chunk_id) for r in f(spark, d).collect()} for f in (retrieval.knn_cosine_topk, retrieval.knn_ivf_topk))
+    assert len(exact) == 1000 and len(exact & near) / len(exact) >= 0.9
+
+
+def test_ivf_probes_follow_from_recall():
+    assert vectors._probes({1: 50, 2: 30, 7: 20}, 0.8) == 2
+    assert vectors._probes({1: 50, 2: 30, 7: 20}, 0.81) == 7
+    assert vectors._probes({}, 0.9) == 1
+
+
 def test_sections(spark):
     heads = spark.createDataFrame([(1, 0, 1, "A", 0, 100), (1, 1, 2, "a", 10, 100), (1, 2, 2, "b", 20, 100), (1, 3, 1, "B", 50, 100), (1, 4, 2, "c", 60, 100)], "source_id long, pos int, level int, title string, start int, doc_end int")
     got = [(r.ordinal, r.end) for r in structure.outline(heads).orderBy("pos").collect()]
