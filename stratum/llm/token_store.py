@@ -38,7 +38,7 @@ from stratum.llm._common import map_batches, shared_dir, stage
 from stratum.llm.bpe import load, pieces
 
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
-WINDOW, BITS, LEAST, MOST = 4, 9, 64, 2048
+WINDOW, BITS, LEAST, MOST = 4, 5, 16, 256
 END_ID = 1
 #: Words a worker remembers.
 REMEMBERED = 1_200_000

@@ -79,6 +79,17 @@ def test_store_keeps_each_chunk_once(spark, small_docs):
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r.part, r["at"]))] == sorted(r.doc_id for r in rows)
 
 
+def test_store_keeps_passages_of_different_documents_once(spark, small_docs):
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({w for r in small_docs.limit(50).collect() for w in (r.text or "").split()})
+    some = lambda n: " ".join(rng.choice(vocabulary, n))
+    passages = [some(60) for _ in range(40)]
+    docs = spark.createDataFrame([(2 * i + k, f"{some(80)} {p} {some(80)}") for i, p in enumerate(passages) for k in (0, 1)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in spark.read.parquet(token_store.write(docs, WORD).documents).collect()}
+    found = sum(bool(set(rows[2 * i].hashes) & set(rows[2 * i + 1].hashes)) and not all(rows[2 * i + 1].owned) for i in range(40))
+    assert found >= 24
+
+
 def test_read_rejects_a_changed_store(spark, small_docs):
     from pyspark.sql import functions as F
 
