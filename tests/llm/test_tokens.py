@@ -101,6 +101,14 @@ def test_read_rejects_a_changed_store(spark, small_docs):
         token_store.read(spark, token_store.Store(path, store.manifest), WORD).collect()
 
 
+def test_read_rejects_a_store_without_one_of_its_ranges(spark, small_docs):
+    store = token_store.write(small_docs, WORD)
+    rows = spark.read.parquet(store.documents)
+    rows.where(rows["part"] != rows.agg({"part": "max"}).first()[0]).write.parquet(store.documents + "-less")
+    with pytest.raises(ValueError, match="don't agree with the manifest"):
+        token_store.read(spark, token_store.Store(store.documents + "-less", store.manifest), WORD)
+
+
 def test_empty_store(edge):
     assert token_store.report(edge.limit(0), WORD).count() == 0
 
