@@ -133,7 +133,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers that cite: a conversation's turn, with markers made of its numbers."""
     c = load(spark, d, "conversations").where("role = 'assistant'")
     n = F.col("conv_id") % 4 + 1
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), F.concat(F.lit("So [["), n.cast("string"), F.lit("]], see [ "), (n + 1).cast("string"), F.lit(","), n.cast("string"), F.lit("] not [x] (3) "), F.expr("left(text, 40)")).alias("text"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), F.concat(F.lit("So [["), n.cast("string"), F.lit("]], see [ "), (n + 1).cast("string"), F.lit(","), n.cast("string"), F.lit("] not [x] (3) "), "text").alias("text"))
 
 
 def citation_markers(spark: SparkSession, d: str) -> DataFrame:

@@ -125,3 +125,14 @@ def test_missing_index(spark):
     q, some, none = spark.createDataFrame([(1,)], "query_id long"), spark.range(1), spark.range(0)
     reg = lambda *s: spark.createDataFrame([(x,) for x in s], "status string")
     assert [answer.missing_index(q, c, r).first().retry for c, r in ((some, reg("stale")), (some, reg("active")), (none, reg()))] == [True, False, False]
+
+
+def test_citations_are_read_from_whole_turns(spark, tmp_path):
+    from stratum.plans import knowledge
+
+    turns = [(4, 1, "assistant", "x" * 60 + " [4] and [^1] 【2】"), (8, 1, "assistant", "plain")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    cited = {(r.answer_id, r.marker) for r in knowledge.citation_markers(spark, str(tmp_path)).collect()}
+    assert cited == {(401, 1), (401, 2), (401, 4), (801, 1), (801, 2)}
+    diag = {r.answer_id: (r.wide, r.footnote) for r in knowledge.citation_diag(spark, str(tmp_path)).collect()}
+    assert diag == {401: (True, True), 801: (False, False)}
