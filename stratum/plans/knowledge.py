@@ -72,6 +72,12 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return resolve.components(edges)
 
 
+def connected_components_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Over the links of all orders: every customer with its orders, under their own keys."""
+    o = load(spark, d, "orders")
+    return resolve.components(o.select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") * 2 + 1).alias("v")))
+
+
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "part").select(F.col("p_brand").alias("component"), F.col("p_name").alias("name"))
     return resolve.canonical_names(p)
@@ -174,7 +180,7 @@ def json_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (entity_lookup_tiered, entity_lookup_prefix_first, entity_evidence, cooccurrence_edges, edge_blend, expand_neighbors_2hop, ppr_10iter, resolve_tier1, resolve_knn_band, connected_components, canonical_names, triple_validate, relation_sample, map_merge, recall_at_k, p95_latency, promotion_gate, chat_history_pairs, speaker_runs, dialogue_validate, citation_markers, citation_diag, prompt_assembly, document_order, event_tumbling, event_session, json_leaves)
+    for f in (entity_lookup_tiered, entity_lookup_prefix_first, entity_evidence, cooccurrence_edges, edge_blend, expand_neighbors_2hop, ppr_10iter, resolve_tier1, resolve_knn_band, connected_components, connected_components_orders, canonical_names, triple_validate, relation_sample, map_merge, recall_at_k, p95_latency, promotion_gate, chat_history_pairs, speaker_runs, dialogue_validate, citation_markers, citation_diag, prompt_assembly, document_order, event_tumbling, event_session, json_leaves)
 }
 
 _NODES = "nodes AS (SELECT s_suppkey AS node_id, lower(s_name) AS a, lower(n_name) AS b, n_name AS logical, n_regionkey AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey), counts AS (SELECT l_suppkey AS node_id, count(*) AS m FROM lineitem GROUP BY 1)"

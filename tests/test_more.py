@@ -136,3 +136,14 @@ def test_citations_are_read_from_whole_turns(spark, tmp_path):
     assert cited == {(401, 1), (401, 2), (401, 4), (801, 1), (801, 2)}
     diag = {r.answer_id: (r.wide, r.footnote) for r in knowledge.citation_diag(spark, str(tmp_path)).collect()}
     assert diag == {401: (True, True), 801: (False, False)}
+
+
+def test_components_take_every_order(spark):
+    from stratum.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    o = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey * 2 AS u", "o_orderkey * 2 + 1 AS v")
+    least = {r.u: min(r.u, r.v) for r in o.groupBy("u").agg({"v": "min"}).withColumnRenamed("min(v)", "v").collect()}
+    want = {r.v: least[r.u] for r in o.collect()} | least
+    got = {r.node: r.component for r in catalog.QUERIES["connected_components_orders"](spark, d).collect()}
+    assert got == want
