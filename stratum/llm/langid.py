@@ -2,10 +2,10 @@
 
 Windows of a fixed number of bytes pass an embedding of the bytes, filters of
 several widths, max pooling over the window and a softmax layer. Training is
-plain numpy on a bounded sample: at most ``PER_LANG`` windows a language (in
-expectation), chosen by a hash of the document's id from all labelled training
-documents. Prediction cuts every whole text into windows of ``WINDOW`` bytes,
-the last padded with zeros, and averages the windows' log-probabilities weighed
+plain numpy on a bounded sample: at most ``PER_LANG`` windows a language and
+``MAX_WINDOWS`` together (in expectation), chosen by a hash of the document's id
+from all labelled training documents. Every language is learned. Prediction
+cuts every whole text into windows of ``WINDOW`` bytes, the last padded with zeros, and averages the windows' log-probabilities weighed
 by their bytes; the score is the probability that the average gives the answer.
 
 A text that is null or has no letter gets ``und`` with score 0. Rows without a
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from stratum.llm._common import held_out, map_batches, unit
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
-#: Bound of the sample: windows learned from a language, and languages learned (the most frequent).
-PER_LANG, MAX_LANGS = 1500, 64
+#: Bound of the sample: windows learned from a language, and from all languages together, which share them.
+PER_LANG, MAX_WINDOWS = 1500, 96_000
 EPOCHS, RATE, SEED = 6, 4e-3, 9
 
 
@@ -124,12 +124,15 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [d_embed, *d_filters, d_hidden.sum(0), hidden.T @ dz, dz.sum(0)]
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """lang and windows of labelled training documents; about ``per_lang`` windows of each of the most frequent languages."""
+def sample(docs: DataFrame, per_lang: int = PER_LANG, total: int = MAX_WINDOWS) -> DataFrame:
+    """lang and windows of labelled training documents; about ``per_lang`` windows of each language, or fewer where ``total`` is shared by many."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    # two windows of a document: of a hot language no more rows pass than of a rare one
-    chosen = labelled.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(unit(F.col("doc_id"), SEED) < F.lit(per_lang / 2) / F.col("count"))
+    draw = unit(F.col("doc_id"), SEED)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(draw).alias("least"))
+    share = F.least(F.lit(float(per_lang)), F.lit(float(total)) / F.col("n_langs"))
+    rates = counts.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("n_langs")))).select("lang", "least", (share / 2 / F.col("count")).alias("rate"))
+    # two windows of a document: of a hot language no more rows pass than of a rare one, and of each its first document
+    chosen = labelled.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").where((draw < F.col("rate")) | (draw == F.col("least")))
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,13 +150,14 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
-    """Trains on the driver; what is collected is bounded by ``per_lang`` x MAX_LANGS windows of WINDOW bytes."""
-    rows = sorted(tuple(r) for r in sample(docs, per_lang).limit(2 * per_lang * MAX_LANGS).collect())
+    """Trains on the driver; what is collected is about MAX_WINDOWS windows of WINDOW bytes and two a language; twice as many are reached by endlessly repeated ids alone."""
+    rows = sorted(tuple(r) for r in sample(docs, per_lang).limit(2 * MAX_WINDOWS).collect())
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     x = np.frombuffer(b"".join(bytes(w) for _, w in rows), np.uint8).reshape(len(rows), WINDOW)
-    return train(x, np.array([langs.index(lang) for lang, _ in rows]), langs)
+    number = {lang: i for i, lang in enumerate(langs)}
+    return train(x, np.array([number[lang] for lang, _ in rows]), langs)
 
 
 def predict(texts: list[str | None], net: Network | None, tables: list[np.ndarray] | None) -> tuple[list[str], list[float]]:

@@ -74,3 +74,10 @@ def test_toxicity_edge_cases(spark, edge):
     assert toxicity.report(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
     assert toxicity.report(docs, labels.where("toxic = 1")).agg(F.min("score")).first()[0] == 1.0
     assert toxicity.report(docs.limit(0), labels).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.range(100 * 12).selectExpr("id AS doc_id", "concat('lang', id % 100) AS lang", "repeat(concat('word', id % 100, ' '), 200) AS text")
+    assert langid.sample(docs).select("lang").distinct().count() == 100
+    few = langid.sample(docs, total=100).groupBy("lang").count().collect()
+    assert len(few) == 100 and sum(r["count"] for r in few) < 600
