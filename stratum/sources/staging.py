@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset, as in tests.
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in tests, and an error on a cluster.
 
     All folders of an application lie in one, named by its id, which can go when
     its results are written.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = os.path.join(tempfile.gettempdir(), "stratum-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/stratum-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
