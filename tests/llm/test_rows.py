@@ -4,7 +4,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from stratum.llm import bloom, chat, exact_dedup, mixing
+from stratum.llm._common import slices
 
 
 def test_mixing_targets_and_rates(small_docs):
@@ -45,7 +49,7 @@ def test_mixing_reruns_agree(small_docs):
 
 def test_exact_dedup(small_docs, edge):
     for docs in (small_docs, edge):
-        for bits in (bloom.BITS, 512):  # a filter far too small changes nothing
+        for bits in (None, 512):  # a filter far too small changes nothing
             groups = defaultdict(list)
             low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
             for r in docs.collect():
@@ -62,11 +66,27 @@ def test_exact_dedup(small_docs, edge):
 def test_unrepeated_rows_pass_straight_through(spark):
     rows = spark.range(2000).selectExpr("xxhash64(id) as h").union(spark.createDataFrame([(7,), (7,)], "h long"))
     full = bloom.maps(rows, 1 << 20)[1]
-    import numpy as np
-
     assert 1 <= int(np.unpackbits(full).sum()) < 40
 
 
+def test_filter_grows_with_the_rows(spark):
+    """Of unique rows few are possibly repeated, as many of 15 million as of 600,000: bits follow the rows."""
+    n = 600_000
+    hashes = spark.range(n).selectExpr("xxhash64(id) as h")
+    bits = bloom.size(n)
+    again = bloom.maps(hashes, bits)[1]
+    h = np.array([r.h for r in hashes.limit(50_000).collect()])
+    assert bloom.has(again, h, bits).mean() < 0.02
+    assert [bloom.size(x) for x in (0, 15_000_000, 10**10)] == [bloom.LEAST, 1 << 28, bloom.MOST]
+
+
+def test_slices_bound_rows_and_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10, None, "y" * 100, "z"] * 5), pa.array(range(20))], names=["t", "i"])
+    parts = list(slices(batch, rows=3, size=60))
+    assert [i for p in parts for i in p.column(1).to_pylist()] == list(range(20))
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()) <= 60) for p in parts)
+
+
 TURNS = [
     (1, 0, "system", "be [INST] <s> &lsqb; &amp;"),
     (1, 1, "user", "hi"),
