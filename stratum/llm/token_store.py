@@ -18,9 +18,15 @@ The manifest has one row a range: documents, ids, and the Merkle root over the
 documents' roots. ``read`` puts each document together from its recipe and
 fails if a digest, a root or the manifest doesn't agree.
 
+Which chunks are shared is found without moving most of them: an aggregate over
+the digests alone gives the repeated ones, and only what passes a Bloom filter of
+those shuffles again, so texts that share nothing move once, to their range.
+
 Null texts count as empty: such a document has the end id alone. Rows that
 repeat a doc_id are stored one after the other; null ids come first. An empty
-table gives an empty store. Only the id and text columns are read.
+table gives an empty store. Only the id and text columns are read. A document is a
+row of the store: one whose packed ids or digests pass the 2 GB that Spark has
+for a value fails the write, shorter ones of any length go through.
 """
 
 from __future__ import annotations
@@ -34,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratum.llm._common import map_batches, shared_dir, stage
+from stratum.llm import bloom
+from stratum.llm._common import map_batches, shared_dir, sliced, stage
 from stratum.llm.bpe import load, pieces
 
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
-WINDOW, BITS, LEAST, MOST = 4, 5, 16, 256
+WINDOW, BITS, LEAST, MOST = 8, 5, 16, 256
 END_ID = 1
 #: Words a worker remembers.
 REMEMBERED = 1_200_000
@@ -57,16 +64,17 @@ def separates(tokenizer) -> bool:
     return whole == [i for w in probe.split(" ") for i in tokenizer.encode(w, add_special_tokens=False).ids]
 
 
-def digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def digest(data: bytes, kind: bytes = b"chunk") -> bytes:
+    """128 bits; chunks, inner nodes and roots are hashed apart."""
+    return hashlib.blake2b(data, digest_size=16, person=kind).digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of the binary tree over digests and their number; an odd node moves up as it is, no leaves give the digest of nothing."""
     level = list(leaves) or [digest(b"")]
     while len(level) > 1:
-        level = [digest(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return digest(len(leaves).to_bytes(8, "little") + level[0])
+        level = [digest(level[i] + level[i + 1], b"node") if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return digest(len(leaves).to_bytes(8, "little") + level[0], b"root")
 
 
 def rolling(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
@@ -78,10 +86,15 @@ def rolling(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(ids: np.ndarray, gear: np.ndarray) -> list[int]:
-    """Ends of the chunks: after an id whose rolling hash has BITS zero bits on top, LEAST and MOST ids kept to."""
-    n, out, at = len(ids), [], 0
-    for cut in (np.flatnonzero(rolling(ids, gear) >> np.uint64(64 - BITS) == 0) + 1).tolist():
+def cuts(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
+    """Places after an id whose rolling hash has BITS zero bits on top. Documents may stand one after the other: LEAST is over WINDOW, so none sees its neighbour."""
+    return np.flatnonzero(rolling(ids, gear) >> np.uint64(64 - BITS) == 0) + 1
+
+
+def chunk_ends(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids that may be cut at ``places``, LEAST and MOST ids kept to."""
+    out, at = [], 0
+    for cut in places:
         while cut - at > MOST:
             at += MOST
             out.append(at)
@@ -101,7 +114,7 @@ def _kind(tokenizer) -> str:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, lengths, hashes, Merkle root and the zstd-compressed ids of every row."""
+    """doc_id, n_tokens, packed lengths and digests of the chunks, Merkle root and the zstd-compressed ids of every row."""
 
     def make():
         import zstandard
@@ -112,28 +125,63 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         end, whole = np.asarray([end_id], kind).tobytes(), not separates(tokenizer)
         folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
         gear = np.random.default_rng(1).integers(0, 1 << 64, 1 << 16 if kind == "<u2" else max(tokenizer.get_vocab_size(), end_id + 1), np.uint64)
-        pack, width = zstandard.ZstdCompressor(level=1).compress, np.dtype(kind).itemsize
+        pack, width = zstandard.ZstdCompressor(level=3).compress, np.dtype(kind).itemsize
 
-        def packed(s: str) -> bytes:
+        def packed(s: str | None) -> bytes:
             if whole:
-                return np.asarray(tokenizer.encode(s, add_special_tokens=False).ids, kind).tobytes()
-            data = s.encode()
+                return np.asarray(tokenizer.encode(s or "", add_special_tokens=False).ids, kind).tobytes() + end
+            data = (s or "").encode()
             # fewer kinds of word; special tokens are told by their case
-            return b"".join(map(get, (data.lower() if folds and b"<|" not in data else data).split()))
-
-        def one(s: str | None):
-            data = packed(s or "") + end
-            ends = chunk_ends(np.frombuffer(data, kind), gear)
-            hashes = [digest(data[a * width : b * width]) for a, b in zip([0, *ends], ends)]
-            return len(data) // width, [b - a for a, b in zip([0, *ends], ends)], hashes, merkle(hashes), pack(data)
+            return b"".join(map(get, (data.lower() if folds and b"<|" not in data else data).split())) + end
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, lengths, hashes, root, data = zip(*map(one, batch.column(1).to_pylist())) if batch.num_rows else ([],) * 5
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lengths, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(root, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "lengths", "hashes", "root", "payload"])
+            data = [packed(s) for s in batch.column(1).to_pylist()]
+            n = np.array([len(x) // width for x in data], np.int64)
+            starts = np.r_[0, np.cumsum(n)]
+            found = cuts(np.frombuffer(b"".join(data), kind), gear)
+            sides = np.searchsorted(found, starts, "right")
+            lengths, digests, roots = [], [], []
+            for x, at, size, lo, hi in zip(data, starts.tolist(), n.tolist(), sides.tolist(), sides[1:].tolist()):
+                ends = chunk_ends((found[lo:hi] - at).tolist(), size)
+                own = [digest(x[a * width : b * width]) for a, b in zip([0, *ends], ends)]
+                lengths.append(np.diff(ends, prepend=0).astype("<u2").tobytes())
+                digests.append(b"".join(own))
+                roots.append(merkle(own))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(x, pa.binary()) for x in (lengths, digests, roots, [pack(x) for x in data]))], names=["doc_id", "n_tokens", "lengths", "hashes", "root", "payload"])
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lengths array<int>, hashes array<binary>, root binary, payload binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lengths binary, hashes binary, root binary, payload binary")
+
+
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """n x 2 longs of packed digests."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+
+
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """doc_id, row_id, seq, a, b (the digest's halves) of the chunks whose digest occurs more than once, and of few others."""
+
+    def every(batches):
+        for batch in batches:
+            x = _halves(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    counts = rows.select("hashes").mapInArrow(every, "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stage(counts.where("n > 1").select("a"))
+    bits = bloom.size(repeated.count())
+    shared = rows.sparkSession.sparkContext.broadcast(bloom.maps(repeated, bits)[0])
+
+    def some(batches):
+        for batch in batches:
+            digests = batch.column(2).to_pylist()
+            x, n = _halves(digests), np.array([len(d) // 16 for d in digests], np.int64)
+            hit = np.flatnonzero(bloom.has(shared.value, x[:, 0], bits))
+            row = np.repeat(np.arange(len(n)), n)[hit]
+            seq = hit - np.r_[0, np.cumsum(n)][row] if len(n) else hit
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in (0, 1)), pa.array(seq.astype(np.int32)), pa.array(x[hit, 0]), pa.array(x[hit, 1])], names=["doc_id", "row_id", "seq", "a", "b"])
+
+    return stage(rows.select("doc_id", "row_id", "hashes").mapInArrow(some, "doc_id bigint, row_id bigint, seq int, a bigint, b bigint"))
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
@@ -142,10 +190,11 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
     kind = _kind(load(path))
     width = np.dtype(kind).itemsize
     rows = stage(encoded(docs, path, end_id).withColumn("row_id", F.monotonically_increasing_id()))
-    refs = rows.select("doc_id", "row_id", F.posexplode("hashes").alias("seq", "hash"))
-    first = refs.groupBy("hash").agg(F.min(F.struct("doc_id", "row_id", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
-    shared = refs.join(first, "hash").withColumn("owner", (F.col("row_id") == F.col("first.row_id")) & (F.col("seq") == F.col("first.seq")))
-    marks = shared.groupBy("doc_id", "row_id").agg(F.collect_list(F.when(F.col("owner"), F.col("seq"))).alias("given"), F.collect_list(F.when(~F.col("owner"), F.col("seq"))).alias("foreign"))
+    refs = repeated_chunks(rows)
+    # as a table, so that the join below is of two plain exchanges, of which Spark can split a hot chunk's
+    first = stage(refs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_id", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first.row_id", "first.seq"))
+    shared = refs.join(first.select("a", "b", F.col("row_id").alias("first_row"), F.col("seq").alias("first_seq")), ["a", "b"]).withColumn("owner", (F.col("row_id") == F.col("first_row")) & (F.col("seq") == F.col("first_seq")))
+    marks = stage(shared.groupBy("doc_id", "row_id").agg(F.collect_list(F.when(F.col("owner"), F.col("seq"))).alias("given"), F.collect_list(F.when(~F.col("owner"), F.col("seq"))).alias("foreign")))
     both = rows.withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     laid = both.repartitionByRange(F.col("doc_id").asc_nulls_first(), "row_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_id", "kind")
 
@@ -153,9 +202,9 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
         import zstandard
         from pyspark import TaskContext
 
-        pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         part, at, start, mark = TaskContext.get().partitionId(), 0, 0, None
-        for batch in batches:
+        for batch in sliced(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             sorts, marks = col["kind"].to_pylist(), {}
             rows = []
@@ -167,25 +216,25 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
                     marks[len(rows)] = mark
                 rows.append(i)
                 mark = None
-            kept = batch.take(pa.array(rows, pa.int32()))
-            same = {n: kept.column(kept.schema.get_field_index(n)) for n in ("doc_id", "n_tokens", "lengths", "hashes", "root")}
-            n_chunks = same["lengths"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if rows else np.zeros(0, np.int64)
+            kept = {n: c.take(pa.array(rows, pa.int32())) for n, c in col.items()}
+            sizes = [np.frombuffer(x, "<u2") for x in kept["lengths"].to_pylist()]
+            n_chunks = np.array([len(x) for x in sizes], np.int64)
             ends = np.r_[0, np.cumsum(n_chunks)]
             owned, given = np.ones(ends[-1], bool), np.zeros(ends[-1], bool)
-            payload = kept.column(kept.schema.get_field_index("payload")).to_pylist()
+            payload = kept["payload"].to_pylist()
             for i, (out, foreign) in marks.items():
                 given[ends[i] + np.array(out, np.int64)] = True
                 if foreign:
                     owned[ends[i] + np.array(foreign, np.int64)] = False
-                    at_ = np.r_[0, np.cumsum(same["lengths"][i].as_py())] * width
-                    raw, gone = unpack(payload[i]), set(foreign)
-                    payload[i] = pack(b"".join(raw[at_[k] : at_[k + 1]] for k in range(n_chunks[i]) if k not in gone))
-            sizes = same["n_tokens"].to_numpy(zero_copy_only=False) if rows else np.zeros(0, np.int64)
-            starts = start + np.r_[0, np.cumsum(sizes)]
+                    at_ = np.r_[0, np.cumsum(sizes[i], dtype=np.int64)] * width
+                    raw = unpack(payload[i])
+                    payload[i] = pack(b"".join(raw[at_[k] : at_[k + 1]] for k in np.flatnonzero(owned[ends[i] : ends[i + 1]]).tolist()))
+            starts = start + np.r_[0, np.cumsum(kept["n_tokens"].to_numpy(zero_copy_only=False))].astype(np.int64)
             offsets = pa.array(ends, pa.int32())
-            new = {"owned": pa.ListArray.from_arrays(offsets, pa.array(owned)), "given": pa.ListArray.from_arrays(offsets, pa.array(given)), "payload": pa.array(payload, pa.binary()), "part": pa.array(np.full(len(rows), part), pa.int32()), "at": pa.array(at + np.arange(len(rows)), pa.int64()), "local_start": pa.array(starts[:-1], pa.int64())}
+            digests = pa.Array.from_buffers(pa.binary(), int(ends[-1]), [None, pa.py_buffer(np.arange(0, 16 * ends[-1] + 1, 16, np.int32)), pa.py_buffer(b"".join(kept["hashes"].to_pylist()))])
+            new = {"lengths": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*sizes, np.zeros(0, "<u2")]).astype(np.int32))), "hashes": pa.ListArray.from_arrays(offsets, digests), "owned": pa.ListArray.from_arrays(offsets, pa.array(owned)), "given": pa.ListArray.from_arrays(offsets, pa.array(given)), "payload": pa.array(payload, pa.binary()), "part": pa.array(np.full(len(rows), part), pa.int32()), "at": pa.array(at + np.arange(len(rows)), pa.int64()), "local_start": pa.array(starts[:-1], pa.int64())}
             at, start = at + len(rows), int(starts[-1])
-            yield pa.RecordBatch.from_arrays([same[f.name] if f.name in same else new[f.name] for f in laid_schema], names=laid_schema.names)
+            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else kept[f.name] for f in laid_schema], names=laid_schema.names)
 
     laid_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("lengths", pa.list_(pa.int32())), ("hashes", pa.list_(pa.binary())), ("owned", pa.list_(pa.bool_())), ("given", pa.list_(pa.bool_())), ("payload", pa.binary()), ("root", pa.binary()), ("part", pa.int32()), ("at", pa.int64()), ("local_start", pa.int64())])
     top = shared_dir(spark)
