@@ -17,7 +17,8 @@ from stratum.llm._common import stage
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v). Large: neighbours over u go to u's least; small: those under u, and u."""
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # as a table, so that the join below is of two plain exchanges, of which Spark can split a hub's
+    least = stage(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     joined = sides.join(least, "u")
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
