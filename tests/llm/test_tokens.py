@@ -45,6 +45,25 @@ def test_certain_cuts_agree_with_whole_text(text):
     assert ids == t.encode(text, add_special_tokens=False).ids
 
 
+KINDS = "aqxzJQ'srtvdlmZéßñ \t\n\r\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000中文字漢ひらがな한국어हिन्दीالعربية12٣४³.,!?*#_-<|>«»…—'’“”\u0301\u200d😀🏳️‍🌈\x00\x7f"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(KINDS), st.characters(codec="utf-8")), max_size=60), st.sampled_from(["", "<|endoftext|>", "'ll", " 're", "\u3000\u3000", "  \u2003 "]), st.integers(0, 60))
+def test_certain_cuts_of_all_kinds_of_characters(text, put, at):
+    text = text[:at] + put + text[at:]
+    assert b"".join(pieces(BYTE)[f] for f in cut()(text.encode()) if f) == packed(BYTE, text)
+
+
+def test_texts_without_spaces_are_cut():
+    chinese = "他们在山上种了很多树因为那里的土地非常肥沃" * 40
+    code = "aGVsbG8gd29ybGQ7x9QzJkQ2xqZ0FBQkNR" * 40
+    for text, least in ((chinese, 100), (code, 40), ("x=1;y2=f(x)-3.5e7|q8", 5)):
+        parts = cut()(text.encode())
+        assert len(parts) >= least and b"".join(parts) == text.encode()
+        assert b"".join(pieces(BYTE)[f] for f in parts) == packed(BYTE, text)
+
+
 @functools.cache
 def cut():
     return bpe.cutter(bpe.token_bytes(BYTE))
