@@ -8,10 +8,12 @@ first table that brings it together, so no link counts twice. With these
 parameters a pair right at the threshold meets with a probability of about 0.95,
 closer ones more surely.
 
-Identical vectors are one class with a weight; only classes are compared. Large
-buckets are dealt into blocks, and pairs of blocks are compared in different
-tasks, so a bucket never has to fit one task. Pairs never leave a task: it
-emits counts of links by vector, and of the links only those that merge groups.
+Identical vectors are one class with a weight; only classes are compared. Buckets
+are found over ids alone: lone vectors and buckets that hold the same vectors as
+one of an earlier table go before any vector moves, packed as narrow as the
+column. Large buckets are dealt into blocks, and pairs of blocks are compared in
+different tasks, so a bucket never has to fit one task. Pairs never leave a task:
+it emits counts of links by vector, and of the links only those that merge groups.
 
 Vectors that are null, empty or zero, or hold null or non-finite components,
 link with nothing, and so do vectors of different length. Rows that repeat a
@@ -48,57 +50,65 @@ def buckets(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return steps.reshape(len(x), tables, PROJECTIONS).sum(axis=2).astype(np.int64)
 
 
-def unit_rows(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one length as rows of doubles of length 1."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     top = np.abs(x).max(axis=1, keepdims=True)
     x = x / top
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def packed(vectors: DataFrame) -> DataFrame:
-    """rid, vec_id, v: the components as doubles, or null where the vector links with nothing."""
+def _kind(vectors: DataFrame) -> str:
+    """How components are packed: as single-precision numbers where the column holds such, which loses nothing."""
+    return "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def packed(vectors: DataFrame, kind: str) -> DataFrame:
+    """rid, vec_id, v: the packed components, or null where the vector links with nothing."""
 
     def run(batches):
         for batch in batches:
             out = []
             for v in batch.column(2).to_pylist():
-                x = np.array(v, np.float64) if v and None not in v else None
+                x = np.array(v, kind) if v and None not in v else None
                 out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["rid", "vec_id", "v"])
 
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("e"))
     return rows.mapInArrow(run, "rid bigint, vec_id bigint, v binary")
 
 
-def hashed(classes: DataFrame, tables: int) -> DataFrame:
-    """t, key, node, w, v: each class in each table."""
+def hashed(classes: DataFrame, tables: int, kind: str) -> DataFrame:
+    """t, key, node: the bucket of each class in each table."""
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(2).to_pylist()
+            raw = batch.column(1).to_pylist()
             for size in {len(v) for v in raw}:
                 at = np.flatnonzero([len(v) == size for v in raw])
-                keys = buckets(unit_rows([raw[i] for i in at], size // 8), tables)
-                node, w = (batch.column(i).to_numpy()[at] for i in (0, 1))
-                v = pa.array([raw[i] for i in at], pa.binary())
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(keys[:, t] ^ size), pa.array(node), pa.array(w), v], names=["t", "key", "node", "w", "v"])
+                keys = buckets(unit_rows([raw[i] for i in at], kind), tables) ^ size
+                t = np.broadcast_to(np.arange(tables, dtype=np.int32), keys.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(t.ravel()), pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy()[at], tables))], names=["t", "key", "node"])
 
-    return classes.select("node", "w", "v").mapInArrow(run, "t int, key bigint, node bigint, w bigint, v binary")
+    return classes.select("node", "v").mapInArrow(run, "t int, key bigint, node bigint")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Buckets with company as pairs of blocks: t, key, i, j, second, node, w, v."""
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    mark = F.xxhash64("node")
+    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("s")).where("size > 1")
+    # the same vectors again, told by 128 bits and their number, give no new pair
+    sizes = stage(sizes.groupBy("size", "x", "s").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key", "size"))
     x = rows.join(sizes, ["t", "key"]).withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return x.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "w", "v")
+    x = x.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node")
+    return x.join(classes, "node").select("t", "key", "i", "j", "second", "node", "w", "v")
 
 
-def _compare(t: int, rows: list[tuple], mixed: bool, cosine: float, tables: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def _compare(t: int, rows: list[tuple], mixed: bool, cosine: float, tables: int, kind: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Nodes, weights of their new links, and links that merge groups, of one pair of blocks."""
     second, node, w, raw = (list(x) for x in zip(*rows))
-    x = unit_rows(raw, len(raw[0]) // 8)
+    x = unit_rows(raw, kind)
     keys, second, node, w = buckets(x, tables)[:, :t], np.array(second), np.array(node), np.array(w)
     left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if mixed else (np.arange(len(node)),) * 2
     got, label, links = np.zeros(len(node), np.int64), np.arange(len(node)), []
@@ -124,7 +134,7 @@ def _compare(t: int, rows: list[tuple], mixed: bool, cosine: float, tables: int)
     return node, got, links
 
 
-def compared(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
+def compared(rows: DataFrame, cosine: float, tables: int, kind: str) -> DataFrame:
     """a, b, n: with null b, n more links of node a; else a link that merges groups."""
     laid = rows.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
@@ -132,7 +142,7 @@ def compared(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
         def out(key, held):
             if len(held) < 2:
                 return None
-            node, n, links = _compare(key[0], held, key[2] != key[3], cosine, tables)
+            node, n, links = _compare(key[0], held, key[2] != key[3], cosine, tables, kind)
             some = np.flatnonzero(n)
             a = [*node[some].tolist(), *(x for x, _ in links)]
             b = [*[None] * len(some), *(y for _, y in links)]
@@ -155,9 +165,11 @@ def compared(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
 
 def near_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
     """Per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    rows = stage(packed(vectors))
+    kind = _kind(vectors)
+    rows = stage(packed(vectors, kind))
     classes = stage(rows.where("v is not null").groupBy("v").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("w")))
-    found = stage(compared(dealt(hashed(classes, tables)), cosine, tables))
+    met = dealt(stage(hashed(classes, tables, kind)), classes)
+    found = stage(compared(met, cosine, tables, kind))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
     merged = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(links, "node", "left").join(merged, "node", "left").select("v", (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
