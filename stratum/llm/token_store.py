@@ -9,13 +9,14 @@ order, one file a range. A row holds
 
 * the recipe: digests and lengths of the document's chunks, in order,
 * ``owned``: which of them it keeps, ``given``: which of those others refer to,
-* ``payload``: the kept ids, zstd-compressed little-endian unsigned integers of
-  16 bits, or 32 where the vocabulary needs them,
+* ``payload``: the kept ids, little-endian unsigned integers of 16 bits, or 32
+  where the vocabulary needs them, zstd-compressed with the manifest's dictionary,
 * ``root``: the Merkle root over the recipe's digests,
 * ``part``, ``at``, ``local_start``: its range, its place there, ids before it there.
 
 The manifest has one row a range: documents, ids, and the Merkle root over the
-documents' roots. ``read`` puts each document together from its recipe and
+documents' roots; its first row also has the dictionary, trained on at most
+``SAMPLE`` documents, which changes sizes alone. ``read`` puts each document together from its recipe and
 fails if a digest, a root or the manifest doesn't agree.
 
 Which chunks are shared is found without moving most of them: an aggregate over
@@ -37,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,10 @@ from stratum.llm.bpe import load, pieces
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
 WINDOW, BITS, LEAST, MOST = 8, 5, 16, 256
 END_ID = 1
+#: Digests that a node of a Merkle tree takes.
+FAN = 16
+#: Bounds of what the dictionary is trained on: documents, and characters of each; and its bytes.
+SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 20_000, 65_536
 #: Words a worker remembers.
 REMEMBERED = 1_200_000
 
@@ -64,16 +70,21 @@ def separates(tokenizer) -> bool:
     return whole == [i for w in probe.split(" ") for i in tokenizer.encode(w, add_special_tokens=False).ids]
 
 
+_fresh = {kind: hashlib.blake2b(digest_size=16, person=kind) for kind in (b"chunk", b"node", b"root")}
+
+
 def digest(data: bytes, kind: bytes = b"chunk") -> bytes:
     """128 bits; chunks, inner nodes and roots are hashed apart."""
-    return hashlib.blake2b(data, digest_size=16, person=kind).digest()
+    h = _fresh[kind].copy()
+    h.update(data)
+    return h.digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary tree over digests and their number; an odd node moves up as it is, no leaves give the digest of nothing."""
+    """Root of the tree over digests and their number, FAN to a node; no leaves give the digest of nothing."""
     level = list(leaves) or [digest(b"")]
     while len(level) > 1:
-        level = [digest(level[i] + level[i + 1], b"node") if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        level = [digest(b"".join(level[i : i + FAN]), b"node") for i in range(0, len(level), FAN)]
     return digest(len(leaves).to_bytes(8, "little") + level[0], b"root")
 
 
@@ -113,29 +124,63 @@ def _kind(tokenizer) -> str:
     return "<u2" if max(tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1) <= 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, packed lengths and digests of the chunks, Merkle root and the zstd-compressed ids of every row."""
+def encoder(path: str):
+    """A function from a text to its packed ids, with the words of a worker remembered."""
+    kind = _kind(load(path))
+    known = pieces(path, kind, REMEMBERED)
+    tokenizer, get = known.tokenizer, known.__getitem__
+    whole = not separates(tokenizer)
+    folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
+
+    def packed(s: str | None) -> bytes:
+        if whole:
+            return np.asarray(tokenizer.encode(s or "", add_special_tokens=False).ids, kind).tobytes()
+        data = (s or "").encode()
+        # fewer kinds of word; special tokens are told by their case
+        return b"".join(map(get, (data.lower() if folds and b"<|" not in data else data).split()))
 
-    def make():
+    return packed
+
+
+def zstd(dictionary: bytes):
+    """Compression and decompression with a dictionary, or without where it is empty."""
+    import zstandard
+
+    data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(level=3, dict_data=data).compress, zstandard.ZstdDecompressor(dict_data=data).decompress
+
+
+def dictionary(docs: DataFrame, path: str) -> bytes:
+    """Trained by one task on a bounded sample of the documents; empty where that is too small."""
+
+    def run(batches):
         import zstandard
 
-        kind = _kind(load(path))
-        known = pieces(path, kind, REMEMBERED)
-        tokenizer, get = known.tokenizer, known.__getitem__
-        end, whole = np.asarray([end_id], kind).tobytes(), not separates(tokenizer)
-        folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
-        gear = np.random.default_rng(1).integers(0, 1 << 64, 1 << 16 if kind == "<u2" else max(tokenizer.get_vocab_size(), end_id + 1), np.uint64)
-        pack, width = zstandard.ZstdCompressor(level=3).compress, np.dtype(kind).itemsize
+        packed, held = encoder(path), []
+        for batch in sliced(batches):
+            held += map(packed, batch.column(0).to_pylist())
+        try:
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.train_dictionary(DICTIONARY, held).as_bytes()], pa.binary())], names=["d"])
+        except zstandard.ZstdError:  # too few or too short
+            return
+
+    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE).coalesce(1)
+    row = sample.mapInArrow(run, "d binary").first()
+    return bytes(row["d"]) if row else b""
+
 
-        def packed(s: str | None) -> bytes:
-            if whole:
-                return np.asarray(tokenizer.encode(s or "", add_special_tokens=False).ids, kind).tobytes() + end
-            data = (s or "").encode()
-            # fewer kinds of word; special tokens are told by their case
-            return b"".join(map(get, (data.lower() if folds and b"<|" not in data else data).split())) + end
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID, words: bytes = b"") -> DataFrame:
+    """doc_id, n_tokens, packed lengths and digests of the chunks, Merkle root and the compressed ids of every row; ``words`` is the dictionary."""
+
+    def make():
+        tokenizer = load(path)
+        kind, packed = _kind(tokenizer), encoder(path)
+        end = np.asarray([end_id], kind).tobytes()
+        gear = np.random.default_rng(1).integers(0, 1 << 64, 1 << 16 if kind == "<u2" else max(tokenizer.get_vocab_size(), end_id + 1), np.uint64)
+        pack, width = zstd(words)[0], np.dtype(kind).itemsize
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data = [packed(s) for s in batch.column(1).to_pylist()]
+            data = [packed(s) + end for s in batch.column(1).to_pylist()]
             n = np.array([len(x) // width for x in data], np.int64)
             starts = np.r_[0, np.cumsum(n)]
             found = cuts(np.frombuffer(b"".join(data), kind), gear)
@@ -189,7 +234,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
     spark = docs.sparkSession
     kind = _kind(load(path))
     width = np.dtype(kind).itemsize
-    rows = stage(encoded(docs, path, end_id).withColumn("row_id", F.monotonically_increasing_id()))
+    words = dictionary(docs, path)
+    rows = stage(encoded(docs, path, end_id, words).withColumn("row_id", F.monotonically_increasing_id()))
     refs = repeated_chunks(rows)
     # as a table, so that the join below is of two plain exchanges, of which Spark can split a hot chunk's
     first = stage(refs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_id", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first.row_id", "first.seq"))
@@ -199,10 +245,9 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
     laid = both.repartitionByRange(F.col("doc_id").asc_nulls_first(), "row_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_id", "kind")
 
     def lay(batches):
-        import zstandard
         from pyspark import TaskContext
 
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        pack, unpack = zstd(words)
         part, at, start, mark = TaskContext.get().partitionId(), 0, 0, None
         for batch in sliced(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -240,7 +285,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
     top = shared_dir(spark)
     store = Store(f"{top}/documents", f"{top}/manifest")
     laid.mapInArrow(lay, "doc_id bigint, n_tokens bigint, lengths array<int>, hashes array<binary>, owned array<boolean>, given array<boolean>, payload binary, root binary, part int, at bigint, local_start bigint").write.option("compression", "zstd").parquet(store.documents)
-    _manifest(spark.read.parquet(store.documents)).write.parquet(store.manifest)
+    manifest = _manifest(spark.read.parquet(store.documents))
+    manifest.withColumn("dictionary", F.when(F.col("part") == F.min("part").over(Window.partitionBy()), F.lit(bytearray(words)))).write.parquet(store.manifest)
     return store
 
 
@@ -264,16 +310,16 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
     same = F.lit(True)
     for c in ("n_docs", "n_tokens", "root"):
         same &= F.col(f"found.{c}").eqNullSafe(F.col(f"said.{c}"))
+    words = written.where("dictionary is not null").first()
+    words = bytes(words["dictionary"]) if words else b""
     if not _manifest(rows).alias("found").join(written.alias("said"), "part", "full").where(~same).isEmpty():
         raise ValueError("the documents don't agree with the manifest")
     # one row a range of documents
     before = written.select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def give(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        unpack = zstd(words)[1]
+        for batch in sliced(batches):
             hashes, data = [], []
             for names, lengths, owned, given, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, at = unpack(payload), 0
@@ -287,35 +333,35 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
     lent = rows.where(F.exists("given", lambda x: x)).select("hashes", "lengths", "owned", "given", "payload").mapInArrow(give, "hash binary, data binary")
     missing = rows.where(F.exists("owned", lambda x: ~x)).select("part", "at", F.explode(F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("seq"), h.alias("hash"), F.get("owned", i).alias("own"))), lambda x: ~x["own"])).alias("x")).select("part", "at", "x.seq", "x.hash")
     got = missing.join(lent, "hash").groupBy("part", "at").agg(F.collect_list(F.struct("seq", "data")).alias("borrowed"))
-    cols = ["doc_id", "n_tokens", "lengths", "hashes", "owned", "payload", "root", "part", "local_start"]
-    whole = rows.where(F.forall("owned", lambda x: x)).select(*cols, F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("borrowed"))
-    # one row for each of the two sides at most: (part, at) names a row of the store
-    patched = rows.where(F.exists("owned", lambda x: ~x)).join(got, ["part", "at"]).select(*cols, "borrowed")
+    cols = ["doc_id", "n_tokens", "lengths", "owned", "payload", "root", "part", "local_start"]
+    none = F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("borrowed")
+    whole = rows.where(F.forall("owned", lambda x: x)).select(*cols, none)
+    # one row for each of the two sides at most: (part, at) names a row of the store. The recipe itself needn't move: its root tells
+    patched = rows.where(F.exists("owned", lambda x: ~x)).join(got, ["part", "at"], "left").select(*cols, "borrowed")
 
     def make():
-        import zstandard
+        unpack = zstd(words)[1]
 
-        unpack = zstandard.ZstdDecompressor().decompress
-
-        def one(doc_id, lengths, hashes, owned, payload, root, borrowed) -> bytes:
-            lent = {x["seq"]: x["data"] for x in borrowed or ()}
-            raw, at, out = unpack(payload), 0, []
-            for i, (h, n, own) in enumerate(zip(hashes, lengths, owned)):
-                data = raw[at : at + n * width] if own else lent[i]
-                at += n * width if own else 0
-                if digest(data) != h:
-                    raise ValueError(f"chunk {i} of document {doc_id} isn't what its digest says")
-                out.append(data)
-            if merkle(hashes) != root:
-                raise ValueError(f"the recipe of document {doc_id} doesn't agree with its root")
-            return b"".join(out) if borrowed else raw
+        def one(doc_id, lengths: np.ndarray, owned: np.ndarray, payload: bytes, root: bytes, borrowed: dict[int, bytes]) -> bytes:
+            raw, ends = unpack(payload), (np.cumsum(lengths * owned) * width).tolist()
+            parts = [raw[a:b] if own else borrowed.get(i, b"") for i, (own, a, b) in enumerate(zip(owned.tolist(), [0, *ends], ends))]
+            if merkle([digest(p) for p in parts]) != root:
+                raise ValueError(f"a chunk of document {doc_id} isn't what its digest says")
+            return b"".join(parts) if borrowed else raw
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            owned = col["owned"].to_pylist()
-            got = [one(*r) for r in zip(*(col[n].to_pylist() for n in ("doc_id", "lengths", "hashes", "owned", "payload", "root", "borrowed")))]
+            ends = np.r_[0, np.cumsum(col["lengths"].value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            lengths, owned = (col[n].flatten().to_numpy(zero_copy_only=False) for n in ("lengths", "owned"))
+            sides = pc.fill_null(col["borrowed"].value_lengths(), 0).to_numpy(zero_copy_only=False)
+            lent = col["borrowed"].flatten()
+            lent = list(zip(lent.field("seq").to_pylist(), lent.field("data").to_pylist()))
+            till = np.r_[0, np.cumsum(sides)].astype(np.int64).tolist()
+            rows = zip(*(col[n].to_pylist() for n in ("doc_id", "payload", "root")), ends.tolist(), ends[1:].tolist(), till, till[1:])
+            got = [one(doc_id, lengths[a:b], owned[a:b], payload, root, dict(lent[c:d])) for doc_id, payload, root, a, b, c, d in rows]
+            n_owned = np.add.reduceat(np.r_[owned, False].astype(np.int64), ends[:-1]) if len(got) else []
             crc = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in got]
-            out = {"doc_id": col["doc_id"], "part": col["part"], "local_start": col["local_start"], "n_tokens": pa.array([len(x) // width for x in got], pa.int64()), "n_chunks": pa.array([len(x) for x in owned], pa.int32()), "n_owned": pa.array([sum(x) for x in owned], pa.int32()), "ids_crc32": pa.array(crc, pa.int64())}
+            out = {"doc_id": col["doc_id"], "part": col["part"], "local_start": col["local_start"], "n_tokens": pa.array([len(x) // width for x in got], pa.int64()), "n_chunks": pa.array(np.diff(ends), pa.int32()), "n_owned": pa.array(n_owned, pa.int32()), "ids_crc32": pa.array(crc, pa.int64())}
             if ids:
                 out["ids"] = pa.array(got, pa.binary())
             return pa.RecordBatch.from_arrays([*out.values()], names=[*out])
