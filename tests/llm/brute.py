@@ -1,9 +1,11 @@
 """Plain Python versions of what the operators compute."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+
 
 def shingles(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -38,3 +40,43 @@ def jaccard_links(texts, width, percent):
         for a, b in combinations(ids, 2):
             shared[a, b] += 1
     return sets, [(a, b) for (a, b), k in shared.items() if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k)]
+
+
+def forward(net, text, size):
+    """Language and probability of a text, window by window and filter by filter; None for texts without a letter."""
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    data = text.encode()
+    total = np.zeros(len(net.langs))
+    for at in range(0, len(data), size):
+        window = data[at : at + size]
+        e = net.embed[list(window.ljust(size, b"\0"))]
+        pooled = [max((e[i : i + len(k)] * k[:, :, f]).sum() for i in range(size - len(k) + 1)) for k in net.filters for f in range(k.shape[2])]
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+        total += len(window) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+    p = np.exp(total / len(data) - (total / len(data)).max())
+    return net.langs[int(p.argmax())], float((p / p.sum()).max())
+
+
+def kneser_ney(counts, order, d):
+    """A function (class, history, character) -> probability from counts of (history, character) by class, and the characters."""
+    seen = counts[0].keys() | counts[1].keys()
+    types = {k: {(h[len(h) - k :], x) for h, x in seen if len(h) >= k} for k in range(1, order)}
+    cont = [Counter((h[1:], x) for h, x in types[k + 1]) for k in range(order - 1)]
+    letters = {x for _, x in cont[0]}
+
+    def mixed(n, total, kinds, lower):
+        return (max(n - d, 0) + d * kinds * lower) / total if total else lower
+
+    def lower(h, x):
+        of = cont[len(h)]
+        rest = lower(h[1:], x) if h else 1 / (len(letters) + 1)
+        return mixed(of[h, x], sum(n for (g, _), n in of.items() if g == h), sum(g == h for g, _ in of), rest)
+
+    totals = [defaultdict(int), defaultdict(int)]
+    kinds = [defaultdict(int), defaultdict(int)]
+    for c in (0, 1):
+        for (h, _), n in counts[c].items():
+            totals[c][h] += n
+            kinds[c][h] += 1
+    return lambda c, h, x: mixed(counts[c][h, x], totals[c][h], kinds[c][h], lower(h[1:], x)), letters

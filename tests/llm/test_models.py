@@ -1,7 +1,10 @@
 """Language ID and toxicity: held-out quality, edge cases, bounds of the samples."""
 
 import zlib
+from collections import Counter
+from math import log
 
+import brute
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,3 +84,56 @@ def test_every_language_is_learned(spark):
     assert langid.sample(docs).select("lang").distinct().count() == 100
     few = langid.sample(docs, total=100).groupBy("lang").count().collect()
     assert len(few) == 100 and sum(r["count"] for r in few) < 600
+
+
+def test_network_against_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    net = langid.Network(["a", "b", "c"], rng.normal(size=(256, langid.DIM)), [rng.normal(size=(w, langid.DIM, langid.FILTERS)) for w in langid.WIDTHS], rng.normal(size=len(langid.WIDTHS) * langid.FILTERS), rng.normal(size=(len(langid.WIDTHS) * langid.FILTERS, 3)), rng.normal(size=3))
+    texts = ["Hello there", "é" * 300 + " end", None, "", "12 !?", "x" * 1000]
+    langs, scores = langid.predict(texts, net, net.tables())
+    for text, lang, score in zip(texts, langs, scores):
+        want = brute.forward(net, text, langid.WINDOW)
+        assert (lang, score) == ("und", 0.0) if want is None else lang == want[0] and abs(score - want[1]) < 1e-4
+
+
+def test_kneser_ney_against_a_recount(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 12))) for _ in range(60)]
+    texts = [(" ".join(rng.choice(words, 30)), int(c)) for c in (0, 1) * 20]
+    rows = spark.createDataFrame([(i, t, c, 0) for i, (t, c) in enumerate(texts)], "doc_id long, text string, toxic int, part int")
+    pairs, rest = toxicity.modelled(toxicity.counted(rows))
+    counts = (Counter(), Counter())
+    for t, c in texts:
+        for w in t.split():
+            counts[c].update(toxicity.grams(w))
+    p, letters = brute.kneser_ney(counts, toxicity.ORDER, toxicity.DISCOUNT)
+    got = {(r["history"], r["next"]): (r.p0, r.p1) for r in pairs.collect()}
+    assert got.keys() == counts[0].keys() | counts[1].keys()
+    assert all(abs(got[g][c] - p(c, *g)) < 1e-9 for g in got for c in (0, 1))
+    for h in ("\x02", "\x02" + words[0][:1]):  # what a model says of all characters and one unseen is 1
+        assert abs(sum(p(0, h, x) for x in [*letters, None]) - 1) < 1e-9
+    table = lambda df: toxicity._table(df)
+    model = toxicity.Model("m", table(pairs.select(F.concat("history", "next"), F.log(F.col("p1") / F.col("p0")))), table(rest.select("history", F.log(F.col("rest1") / F.col("rest0")))), np.zeros(5))
+    known = toxicity.Differences(model)
+    asked = [*words[:20], "zz", "abz", "é", "abcdeabcdeabcde"]
+    known.learn(asked)
+    for w in asked:
+        assert abs(known[w] - sum(log(p(1, *g) / p(0, *g)) for g in toxicity.grams(w))) < 1e-3
+
+
+def test_hashes_of_grams_agree():
+    words = ["a", "word", "longer-than-the-order", "naïve", "😀x"]
+    place, gram, less = toxicity.spelled([toxicity.START + w + toxicity.END for w in words])
+    want = [g for w in words for g in toxicity.grams(w)]
+    at = np.flatnonzero(place)
+    assert (gram[at] == toxicity.hashed([h + x for h, x in want])).all()
+    assert (less[at - 1] == toxicity.hashed([h for h, _ in want])).all()
+
+
+def test_sample_is_bounded_in_documents_and_characters(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 20) AS text").union(spark.createDataFrame([(5000, "x" * 5000)], "doc_id long, text string"))
+    labels = docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 2 AS int) AS toxic")
+    few, sizes = toxicity.labelled(docs, labels, max_docs=200)
+    assert 200 < few.count() < 600 and sum(sizes.values()) > 2000
+    short = toxicity.labelled(docs, labels, max_chars=20_000)[0]
+    assert 200 < short.count() < 600 and short.agg(F.max(F.length("text"))).first()[0] == 100
