@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +12,31 @@ from pyspark.sql import functions as F
 QUERY_OPERATORS = ("AND", "OR", "NOT", "NEAR")
 #: Code point ranges that count one token a character.
 CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FFEF}\x{20000}-\x{2FA1F}]"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case letters that are a letter with diacritics, and the letters; then the diacritics themselves, which stand for nothing."""
+    pairs = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base.isalpha() and all("\u0300" <= m <= "\u036f" for m in marks):
+            pairs[c] = base
+    return "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values())
+
+
+_LETTERS, _BASES = _folding()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics; marks that aren't diacritics, as the vowels of some scripts, stay."""
+    return F.translate(F.lower(text), _LETTERS, _BASES)
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct terms of a search query: letters and digits, operators dropped, lower case."""
+    """Distinct terms of a search query, as the index has them; operators dropped."""
     bare = F.filter(F.split(text, NOT_WORD), lambda w: (w != "") & ~w.isin(*QUERY_OPERATORS))
-    return F.array_distinct(F.transform(bare, F.lower))
+    return F.array_distinct(F.filter(F.split(folded(F.array_join(bare, " ")), " "), lambda w: w != ""))
 
 
 def sanitized_query(text: Column) -> Column:
@@ -27,8 +46,8 @@ def sanitized_query(text: Column) -> Column:
 
 
 def index_terms(text: Column) -> Column:
-    """Terms of indexed text, in order."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
+    """Terms of indexed text, in order: runs of letters, marks and digits, in lower case without diacritics."""
+    return F.filter(F.split(folded(text), NOT_WORD), lambda w: w != "")
 
 
 def words(text: Column) -> Column:
@@ -70,7 +89,8 @@ def normalized_name(name: Column) -> Column:
 
 
 def pair_key(kind: Column, a: Column, b: Column) -> Column:
-    return F.concat_ws("|", kind.cast("string"), F.least(a, b), F.greatest(a, b))
+    """What a verdict on two names of a kind is kept under, whichever comes first."""
+    return F.sha2(F.concat_ws(chr(0), kind.cast("string"), F.least(a, b), F.greatest(a, b)), 256)
 
 
 def blended_weight(relation: Column, weight: Column, confidence: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import index_terms
+from stratum.operators.lexical import EXACT
 
 RANK_OFFSET, OVERFETCH, MOST = 60, 50, 500
 
@@ -29,8 +30,8 @@ def rrf(lists: dict[str, DataFrame], k: int) -> DataFrame:
     has = lambda n: F.max(F.col("list") == names.index(n)) if n in names else F.lit(False)
     fused = reduce(DataFrame.unionByName, ranked).groupBy("query_id", "chunk_id").agg(F.sum(1 / (RANK_OFFSET + F.col("rank0"))).alias("raw"), has("dense").alias("d"), has("bm25").alias("b"), F.min(F.col("list") * 1_000_000 + F.col("rank0")).alias("seen"))
     label = F.when(F.col("d") & F.col("b"), "Both").when(F.col("d"), "Dense").when(F.col("b"), "Bm25").otherwise("Graph")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
-    out = fused.select("query_id", "chunk_id", F.round("raw", 6).alias("score"), label.alias("label"), "seen")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", EXACT)), "seen")
+    out = fused.select("query_id", "chunk_id", F.col("raw").alias("score"), label.alias("label"), "seen")
     return out.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k).drop("seen")
 
 
@@ -43,8 +44,8 @@ def overlap_score(query: Column, text: Column) -> Column:
 def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Fused hits in the order of ``overlap_score``; ties, and hits without text, keep the fused order."""
     scored = fused.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id", "left")
-    scored = scored.withColumn("rerank_score", F.round(F.coalesce(overlap_score(F.col("query"), F.col("text")), F.lit(0.0)), 6))
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "place")
+    scored = scored.withColumn("rerank_score", F.coalesce(overlap_score(F.col("query"), F.col("text")), F.lit(0.0)))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("rerank_score", EXACT)), "place")
     return scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k).select("query_id", "chunk_id", "rerank_score", "score", "label", "rank0")
 
 

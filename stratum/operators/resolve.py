@@ -20,14 +20,9 @@ def exact_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def near_pairs(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """query_id, chunk_id, score, verdict of the k nearest of the same kind, the node itself left out."""
-    out = None
-    kinds = [r[0] for r in vectors.select("kind").distinct().orderBy("kind").collect()]
-    for kind in kinds:  # a small fixed vocabulary
-        got = knn(vectors.where(F.col("kind") == kind), queries.where(F.col("kind") == kind), k)
-        out = got if out is None else out.unionByName(got)
+    """query_id, chunk_id, score, verdict of the k nearest of the same kind, the node itself left out; nodes without a kind have none."""
     verdict = F.when(F.col("score") >= MERGE, "merge").when(F.col("score") < SEPARATE, "separate").otherwise("ask")
-    return out.where("query_id != chunk_id").select("query_id", "chunk_id", "score", verdict.alias("verdict"))
+    return knn(vectors, queries, k, by="kind").where("query_id != chunk_id").select("query_id", "chunk_id", "score", verdict.alias("verdict"))
 
 
 def components(pairs: DataFrame, most: int = 64) -> DataFrame:

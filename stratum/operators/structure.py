@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stratum.functions.text import words
 
 PARENT, CHILD, OVERLAP = 512, 128, 16
+#: Levels of headings.
+LEVELS = 6
 
 
 def parents(docs: DataFrame, size: int = PARENT) -> DataFrame:
@@ -45,27 +47,37 @@ def line_blocks(docs: DataFrame) -> DataFrame:
 
 
 def outline(heads: DataFrame) -> DataFrame:
-    """source_id, pos, level, title, start, doc_end -> adds ordinal among siblings and the section's end.
+    """source_id, pos, level (1 to LEVELS), title, start, doc_end -> adds ordinal among siblings and the section's end.
 
     A section ends where a heading of its level or a shallower one starts.
-    Ordinals start anew below each shallower heading.
+    Ordinals start anew below each shallower heading. Every level is one running
+    value over the headings, forwards for ordinals and backwards for ends, so a
+    document costs as much as it has headings.
     """
-    order = Window.partitionBy("source_id").orderBy("pos")
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
-    frames = heads.withColumn("ends", F.collect_list(F.struct("level", "start")).over(ahead))
-    ended = frames.withColumn("end", F.coalesce(F.get(F.transform(F.filter("ends", lambda x: x["level"] <= F.col("level")), lambda x: x["start"]), 0), F.col("doc_end"))).drop("ends")
-    back = order.rowsBetween(Window.unboundedPreceding, -1)
-    seen = ended.withColumn("before", F.collect_list("level").over(back))
-    # siblings before: those of the level after the last shallower one
-    since = F.aggregate("before", F.lit(0), lambda n, x: F.when(x < F.col("level"), F.lit(0)).when(x == F.col("level"), n + 1).otherwise(n))
-    return seen.withColumn("ordinal", since + 1).drop("before")
+    level = F.col("level")
+    upto, ahead = (Window.partitionBy("source_id").orderBy(o).rowsBetween(Window.unboundedPreceding, till) for o, till in (("pos", 0), (F.desc("pos"), -1)))
+    of = lambda values: F.get(F.array(*values), (level - 1).cast("int"))
+    x = heads.withColumn("end", F.coalesce(of([F.last(F.when(level <= n, F.col("start")), ignorenulls=True).over(ahead) for n in range(1, LEVELS + 1)]), F.col("doc_end")))
+    for n in range(1, LEVELS + 1):
+        x = x.withColumn(f"n{n}", F.count(F.when(level == n, 1)).over(upto))
+    before = [F.coalesce(F.last(F.when(level < n, F.col(f"n{n}")), ignorenulls=True).over(upto), F.lit(0)) for n in range(1, LEVELS + 1)]
+    return x.withColumn("ordinal", of([F.col(f"n{n}") for n in range(1, LEVELS + 1)]) - of(before)).drop(*(f"n{n}" for n in range(1, LEVELS + 1)))
 
 
 def section_of_midpoint(sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks (source_id, chunk_id, start, end) in the sections (source_id, section_id, start, end) that their midpoints lie in."""
-    c = chunks.select("source_id", "chunk_id", F.expr("(start + end) div 2").alias("mid"))
-    s = sections.select("source_id", "section_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    return c.join(s, "source_id").where((F.col("mid") >= F.col("s")) & (F.col("mid") < F.col("e"))).select("source_id", "section_id", "chunk_id", "mid")
+    """Chunks (source_id, chunk_id, start, end) in the sections (source_id, section_id, start, end) that their midpoints lie in.
+
+    Sections of one level don't overlap; where there are several levels, a column
+    of that name tells them apart and a chunk lies in a section of each. Both sides
+    go through one sorted pass of their source, so nothing multiplies.
+    """
+    levels = range(1, LEVELS + 1) if "level" in sections.columns else [None]
+    c = chunks.select("source_id", "chunk_id", F.expr("(start + end) div 2").alias("at"), F.lit(None).alias("s"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("side"))
+    s = sections.select("source_id", F.lit(None).alias("chunk_id"), F.col("start").alias("at"), F.struct("section_id", "end").alias("s"), (F.col("level") if levels[0] else F.lit(None)).cast("int").alias("level"), F.lit(0).alias("side"))
+    w = Window.partitionBy("source_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.array(*(F.last(F.when(F.lit(n is None) | (F.col("level") == n), F.col("s")), ignorenulls=True).over(w) for n in levels))
+    met = s.unionByName(c.withColumn("s", F.lit(None).cast(s.schema["s"].dataType))).withColumn("last", last).where("side = 1")
+    return met.select("source_id", "chunk_id", F.col("at").alias("mid"), F.explode("last").alias("s")).where(F.col("mid") < F.col("s.end")).select("source_id", "s.section_id", "chunk_id", "mid")
 
 
 def last_block_before(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -79,7 +91,16 @@ def last_block_before(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def blocks_within(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """For each chunk, first and last time of the blocks (start, start_second, end_second) that begin inside it."""
-    b = blocks.select("source_id", F.col("start").alias("b"), "start_second", "end_second")
-    met = chunks.join(b, "source_id").where((F.col("b") >= F.col("start")) & (F.col("b") < F.col("end")))
-    return met.groupBy("source_id", "chunk_id").agg(F.min("start_second").alias("start_second"), F.max("end_second").alias("end_second"))
+    """For each chunk, first and last time of the blocks (start, start_second, end_second) that begin inside it; times rise with the start.
+
+    The first block at or after the chunk's start and the last before its end
+    come from two running values over both sides in order, whatever chunks overlap.
+    """
+    none = F.lit(None).cast("struct<b:bigint,t:bigint>")
+    time = lambda c: F.struct(F.col("start").cast("long").alias("b"), F.col(c).cast("long").alias("t"))
+    b = blocks.select("source_id", F.col("start").alias("at"), F.lit(None).cast("long").alias("chunk_id"), F.lit(None).cast("string").alias("edge"), F.lit(1).alias("side"), time("start_second").alias("first"), time("end_second").alias("last"))
+    edges = [chunks.select("source_id", F.col(c).alias("at"), F.col("chunk_id").cast("long").alias("chunk_id"), F.lit(c).alias("edge"), F.lit(0).alias("side"), none.alias("first"), none.alias("last")) for c in ("start", "end")]
+    ahead, back = (Window.partitionBy("source_id").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ((F.desc("at"), F.desc("side")), ("at", "side")))
+    both = b.unionByName(edges[0]).unionByName(edges[1]).withColumn("first", F.last("first", ignorenulls=True).over(ahead)).withColumn("last", F.last("last", ignorenulls=True).over(back))
+    of = both.where("side = 0").groupBy("source_id", "chunk_id").agg(F.max(F.when(F.col("edge") == "start", F.col("first"))).alias("f"), F.max(F.when(F.col("edge") == "end", F.col("last"))).alias("l"), F.max("at").alias("end"))
+    return of.where(F.col("f.b") < F.col("end")).select("source_id", "chunk_id", F.col("f.t").alias("start_second"), F.col("l.t").alias("end_second"))

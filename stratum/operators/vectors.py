@@ -4,29 +4,54 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.lexical import top
+from stratum.operators.lexical import EXACT, top
 
 #: Vectors of a block; queries and rows meet block by block.
 BLOCK = 1024
 #: Share of the true neighbours that an approximate search aims at (0.9 is asked for), and queries it is measured on.
 RECALL, MEASURED = 0.95, 512
+#: Cells of an index at most; beyond that cells grow with the table, and the same share of it is searched.
+MOST_CELLS = 4096
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int | None = None) -> DataFrame:
+def blocks(rows: DataFrame, key: str, ids: str, vectors: str, by: str | None = None) -> DataFrame:
+    """Vectors of (key, vector[, by]) packed where they lie into rows of up to BLOCK: ids, vectors[, by]; nothing shuffles."""
+    held = rows.where("vector is not null").select(*([by] if by else []), F.col(key).cast("long").alias("k"), F.col("vector").cast("array<double>").alias("vector"))
+    if by:
+        held = held.where(F.col(by).isNotNull())
+
+    def pack(batches):
+        for batch in batches:
+            groups = batch.column(0).unique() if by else [None]
+            for g in groups:
+                part = batch if g is None else batch.filter(pc.equal(batch.column(0), g))
+                for at in range(0, part.num_rows, BLOCK):
+                    x = part.slice(at, BLOCK)
+                    k, v = x.column(x.num_columns - 2), x.column(x.num_columns - 1)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (k, v)]
+                    yield pa.RecordBatch.from_arrays([*([pa.array([g.as_py()], g.type)] if by else []), *lists], names=[*([by] if by else []), ids, vectors])
+
+    kind = f"{by} {rows.schema[by].dataType.simpleString()}, " if by else ""
+    return held.mapInArrow(pack, f"{kind}{ids} array<bigint>, {vectors} array<array<double>>")
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, by: str | None = None) -> DataFrame:
     """query_id, chunk_id, score (cosine), rank0: the k nearest of every query.
 
-    ``vectors``: chunk_id, vector; ``queries``: query_id, vector. Queries are
-    packed into blocks, every partition of vectors meets each block once, and
-    leaves k rows a query; only those shuffle for the final ranking. Any filter
-    on ``vectors`` comes before the top k.
+    ``vectors``: chunk_id, vector; ``queries``: query_id, vector. Both are packed
+    into blocks where they lie, every block of vectors meets each of queries once,
+    and leaves k rows a query; only those shuffle for the final ranking. Any
+    filter on ``vectors`` comes before the top k. ``by`` names a column of both
+    that has to be equal, and not null; blocks then meet by it.
     """
-    packed = queries.where("vector is not null").groupBy(F.floor(F.pmod(F.xxhash64("query_id"), 1_000_003) % F.lit(_query_blocks(queries))).alias("qb")).agg(F.collect_list("query_id").alias("qids"), F.collect_list("vector").alias("qs"))
-    rows = vectors.where("vector is not null").select("chunk_id", "vector")
-    packed_rows = rows.groupBy(F.spark_partition_id().alias("part"), F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / BLOCK).alias("at")).agg(F.collect_list("chunk_id").alias("ids"), F.collect_list("vector").alias("xs"))
-    return top(packed_rows.join(packed).mapInPandas(_best(k), "query_id bigint, chunk_id bigint, score double"), k)
+    rows, asked = blocks(vectors, "chunk_id", "ids", "xs", by), blocks(queries, "query_id", "qids", "qs", by)
+    met = rows.join(asked, by) if by else rows.crossJoin(asked)
+    return top(met.select("ids", "xs", "qids", "qs").mapInPandas(_best(k), "query_id bigint, chunk_id bigint, score double"), k)
 
 
 def _best(k: int):
@@ -34,14 +59,12 @@ def _best(k: int):
 
     def best(frames):
         for f in frames:
-            out = []
             for ids, xs, qids, qs in zip(f["ids"], f["xs"], f["qids"], f["qs"]):
                 x, q = (unit(np.vstack(v).astype(np.float64)) for v in (xs, qs))
-                s = np.round(q @ x.T, 6)
+                s = q @ x.T
                 ids = np.asarray(ids)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                out.append(pd.DataFrame({"query_id": np.repeat(np.asarray(qids), order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, EXACT)), axis=1)[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(qids), order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
     return best
 
@@ -63,7 +86,7 @@ def ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None =
     are searched as ``recall`` takes, measured against ``knn`` over all vectors.
     """
     rows, queries = vectors.where("vector is not null"), queries.where("vector is not null")
-    cells = cells or max(1, int(rows.count() ** 0.5))
+    cells = cells or min(MOST_CELLS, max(1, int(rows.count() ** 0.5)))
     drawn = rows.orderBy(F.xxhash64("chunk_id")).limit(sample).select("vector").toPandas()
     if drawn.empty:
         return knn(vectors, queries, k)
@@ -107,7 +130,7 @@ def _spherical_means(x: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(0)
     c = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(rounds):
-        at = (x @ c.T).argmax(axis=1)
+        at = np.concatenate([(x[i : i + BLOCK] @ c.T).argmax(axis=1) for i in range(0, len(x), BLOCK)])
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         c = np.where(np.bincount(at, minlength=cells)[:, None] > 0, unit(sums), c)

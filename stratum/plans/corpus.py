@@ -215,7 +215,7 @@ p AS (SELECT page_id, raw, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*
 SELECT page_id, CASE WHEN scheme = '' THEN raw ELSE scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END || CASE WHEN path = '' THEN '/' WHEN length(path) > 1 THEN regexp_replace(path, '/$', '') ELSE path END || query END AS url FROM p""",
     "needs_js": """WITH t AS (SELECT page_id, html, trim(regexp_replace(html, '<[^>]*>', ' ', 'g'), ' ') AS t FROM pages)
 SELECT page_id, strlen(t) < 200 OR (strlen(t) < 1000 AND strlen(t) / nullif(strlen(html), 0) < 0.01) AS needs_js, strlen(t) AS text_bytes FROM t""",
-    "query_sanitize": r"SELECT item_id, nullif(array_to_string(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '' AND x NOT IN ('AND', 'OR', 'NOT', 'NEAR')), ' '), '') AS query FROM benchmark",
+    "query_sanitize": r"SELECT item_id, nullif(array_to_string(list_filter(string_split_regex(text, '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '' AND x NOT IN ('AND', 'OR', 'NOT', 'NEAR')), ' '), '') AS query FROM benchmark",
     "node_ids": r"SELECT s_suppkey, sha256(CAST(s_nationkey AS VARCHAR) || chr(0) || lower(s_name) || chr(0) || 'concept') AS node_id, trim(lower(regexp_replace(s_name || ' . ', '\s+', ' ', 'g')), ' .') || ' ' AS name, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM supplier",
     "embedding_text": f"WITH {SOURCES} SELECT source_id, sha256(CASE WHEN notebook_id <> '' THEN '[Document: ' || notebook_id || '] ' ELSE '' END || CASE WHEN selected AND language <> '' THEN '[Section: ' || language || '] ' ELSE '' END || text) AS embedded_sha256 FROM src",
 }

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators import fusion, lexical, vectors
-from stratum.plans.common import PARENTS, SOURCES, VECTORS, bm25, knn
+from stratum.plans.common import PARENTS, SOURCES, VECTORS, bm25, knn, terms
+from stratum.sources.staging import stage
 from stratum.sources.tables import live, load, sources
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """Scores as they are reported and compared with SQL; operators rank by the whole ones."""
+    return df.withColumns({c: F.round(c, 6) for c in ("score", "rerank_score") if c in df.columns})
+
+
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -38,25 +44,26 @@ def live_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    live_parents = parent_chunks(spark, d).join(live(sources(spark, d)).select("source_id"), "source_id", "left_semi")
-    return lexical.bm25(parent_chunks(spark, d), benchmark_queries(spark, d), scope=live_parents.select("chunk_id"), k=10)
+    chunks = stage(parent_chunks(spark, d))
+    live_parents = chunks.select("chunk_id", "source_id").join(live(sources(spark, d)).select("source_id"), "source_id", "left_semi")
+    return shown(lexical.bm25(chunks, benchmark_queries(spark, d), scope=live_parents.select("chunk_id"), k=10))
 
 
 def bm25_any_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(document_chunks(spark, d), benchmark_queries(spark, d), scope=live_ids(spark, d), k=10, every=False)
+    return shown(lexical.bm25(document_chunks(spark, d), benchmark_queries(spark, d), scope=live_ids(spark, d), k=10, every=False))
 
 
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.knn(vector_rows(spark, d), vector_queries(spark, d), 10)
+    return shown(vectors.knn(vector_rows(spark, d), vector_queries(spark, d), 10))
 
 
 def knn_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     scope = vector_rows(spark, d).join(live_ids(spark, d), "chunk_id", "left_semi")
-    return vectors.knn(scope, vector_queries(spark, d), 10)
+    return shown(vectors.knn(scope, vector_queries(spark, d), 10))
 
 
 def knn_ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.ivf(vector_rows(spark, d), vector_queries(spark, d), 10)
+    return shown(vectors.ivf(vector_rows(spark, d), vector_queries(spark, d), 10))
 
 
 def item_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -71,11 +78,11 @@ def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.rrf(_lists(spark, d), 10)
+    return shown(fusion.rrf(_lists(spark, d), 10))
 
 
 def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.rerank(fusion.rrf(_lists(spark, d), 20), benchmark_queries(spark, d), document_chunks(spark, d), 10)
+    return shown(fusion.rerank(fusion.rrf(_lists(spark, d), 20), benchmark_queries(spark, d), document_chunks(spark, d), 10))
 
 
 def rrf_fuse3(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +91,7 @@ def rrf_fuse3(spark: SparkSession, d: str) -> DataFrame:
 
     o = load(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), "o_totalprice", "o_orderdate", "o_orderpriority")
     ranked = lambda *by: o.withColumn("rank0", F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "chunk_id")) - 1).where("rank0 < 50")
-    return fusion.rrf({"dense": ranked(F.desc("o_totalprice")), "bm25": ranked(F.desc("o_orderdate")), "graph": ranked("o_orderpriority")}, 5)
+    return shown(fusion.rrf({"dense": ranked(F.desc("o_totalprice")), "bm25": ranked(F.desc("o_orderdate")), "graph": ranked("o_orderpriority")}, 5))
 
 
 def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -102,9 +109,9 @@ live_vecs AS (SELECT * FROM vecs WHERE chunk_id IN (SELECT chunk_id FROM scope))
 {knn("live_vecs", "item_vecs", 50)}, ranked AS (
     SELECT query_id, chunk_id, rank0, 0 AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank0, 1 AS list FROM lexical
 ), fused AS (
-    SELECT query_id, chunk_id, round(sum(1 / (60 + rank0)), 6) AS score, CASE WHEN count(DISTINCT list) = 2 THEN 'Both' WHEN max(list) = 0 THEN 'Dense' ELSE 'Bm25' END AS label, min(list * 1000000 + rank0) AS seen
+    SELECT query_id, chunk_id, sum(1 / (60 + rank0)) AS exact, CASE WHEN count(DISTINCT list) = 2 THEN 'Both' WHEN max(list) = 0 THEN 'Dense' ELSE 'Bm25' END AS label, min(list * 1000000 + rank0) AS seen
     FROM ranked GROUP BY query_id, chunk_id
-), placed AS (SELECT query_id, chunk_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1 AS place FROM fused)"""
+), placed AS (SELECT query_id, chunk_id, round(exact, 6) AS score, label, row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, seen) - 1 AS place FROM fused)"""
 
 ORACLES = {
     "bm25_topk": f"""WITH {SOURCES}, {PARENTS}, chunks AS (SELECT source_id * 10000 + parent_no AS chunk_id, source_id, text FROM parents),
@@ -114,20 +121,20 @@ asks AS (SELECT item_id AS query_id, text FROM benchmark), scope AS (SELECT chun
     "knn_filtered_topk": f"WITH {SOURCES}, {VECTORS}, live_vecs AS (SELECT * FROM vecs WHERE chunk_id IN (SELECT source_id FROM alive)), {knn('live_vecs', 'asked_vecs', 10)} SELECT * FROM dense",
     "hybrid_retrieval": _HYBRID + " SELECT * FROM placed WHERE place < 10",
     "hybrid_reranked": _HYBRID
-    + r""", scored20 AS (
-    SELECT p.query_id, p.chunk_id, p.score, p.label, p.place, round(len(list_intersect(q.t, c.t)) / len(q.t), 6) AS rerank_score
+    + f""", scored20 AS (
+    SELECT p.query_id, p.chunk_id, p.score, p.label, p.place, len(list_intersect(q.t, c.t)) / len(q.t) AS exact
     FROM (SELECT * FROM placed WHERE place < 20) p
-    JOIN (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM asks) q USING (query_id)
-    JOIN (SELECT chunk_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM chunk_docs) c USING (chunk_id)
-) SELECT query_id, chunk_id, rerank_score, score, label, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) - 1 AS rank0 FROM scored20 QUALIFY rank0 < 10""",
+    JOIN (SELECT query_id, list_distinct({terms("text")}) AS t FROM asks) q USING (query_id)
+    JOIN (SELECT chunk_id, list_distinct({terms("text")}) AS t FROM chunk_docs) c USING (chunk_id)
+) SELECT query_id, chunk_id, round(exact, 6) AS rerank_score, score, label, row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, place) - 1 AS rank0 FROM scored20 QUALIFY rank0 < 10""",
     "rrf_fuse3": """WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, * FROM orders), ranked AS (
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY o_totalprice DESC, chunk_id) - 1 AS rank0, 0 AS list FROM o
     UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY o_orderdate DESC, chunk_id) - 1, 1 FROM o
     UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY o_orderpriority, chunk_id) - 1, 2 FROM o
 ), fused AS (
-    SELECT query_id, chunk_id, round(sum(1 / (60 + rank0)), 6) AS score, CASE WHEN bool_or(list = 0) AND bool_or(list = 1) THEN 'Both' WHEN bool_or(list = 0) THEN 'Dense' WHEN bool_or(list = 1) THEN 'Bm25' ELSE 'Graph' END AS label, min(list * 1000000 + rank0) AS seen
+    SELECT query_id, chunk_id, sum(1 / (60 + rank0)) AS exact, CASE WHEN bool_or(list = 0) AND bool_or(list = 1) THEN 'Both' WHEN bool_or(list = 0) THEN 'Dense' WHEN bool_or(list = 1) THEN 'Bm25' ELSE 'Graph' END AS label, min(list * 1000000 + rank0) AS seen
     FROM ranked WHERE rank0 < 50 GROUP BY query_id, chunk_id
-) SELECT query_id, chunk_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1 AS place FROM fused QUALIFY place < 5""",
+) SELECT query_id, chunk_id, round(exact, 6) AS score, label, row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, seen) - 1 AS place FROM fused QUALIFY place < 5""",
     "evidence_merge": """WITH r AS (
     SELECT l_suppkey AS query_id, l_orderkey AS chunk_id, 1.0::DOUBLE AS conf, l_linenumber AS seen FROM lineitem WHERE l_returnflag = 'R'
     UNION ALL SELECT l_suppkey, l_orderkey, l_discount, 1000000 + l_linenumber FROM lineitem

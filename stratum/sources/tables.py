@@ -16,9 +16,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table dealt over all cores where its files make fewer tasks than there are; large tables stay as they lie."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, notebook_id, selected, trashed, raw_content_hash, language, text."""
-    d = load(spark, sf_dir, "documents")
+    d = spread(load(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").alias("source_id"),
         F.col("source").alias("notebook_id"),
