@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,51 @@ def parents(docs: DataFrame, size: int = PARENT) -> DataFrame:
     return rows.select("source_id", "parent_no", F.array_join(piece, " ").alias("text"), F.size(piece).alias("n_tokens"), (F.col("parent_no") * size).alias("token_start"), F.least(F.col("n"), (F.col("parent_no") + 1) * size).alias("token_end"))
 
 
+def packed(docs: DataFrame, size: int = PARENT, tolerance: int = 1) -> DataFrame:
+    """source_id, parent_no, text, n_tokens, token_start, byte_start, byte_end: non-blank lines packed greedily into parents.
+
+    A parent takes lines while their words stay within ``size`` and the tolerance,
+    and is the slice of the source from its first line to its last, separators
+    included. A longer line closes the parent before it and is split into runs of
+    that many words, each a parent. Each text is one pass of one row.
+    """
+    most = size + tolerance
+
+    def cut(text: str):
+        """(first character, last, words) of each parent."""
+        held = None
+        for m in re.finditer(r"[^\n]+", text):
+            spots = [w.span() for w in re.finditer(r"[^ \t\n\x0b\f\r]+", m[0])]
+            if not spots:
+                continue
+            a, b, n = m.start() + spots[0][0], m.start() + spots[-1][1], len(spots)
+            if held and (n > most or held[2] + n > most):
+                yield held
+                held = None
+            if n > most:
+                for i in range(0, n, most):
+                    part = spots[i : i + most]
+                    yield m.start() + part[0][0], m.start() + part[-1][1], len(part)
+            else:
+                held = (held[0], b, held[2] + n) if held else (a, b, n)
+        if held:
+            yield held
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at = byte = words_ = 0
+                for no, (a, b, n) in enumerate(cut(text or "")):
+                    byte += len(text[at:a].encode())
+                    data = text[a:b].encode()
+                    out.append((source, no, text[a:b], n, words_, byte, byte + len(data)))
+                    at, byte, words_ = b, byte + len(data), words_ + n
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 3))], names=["source_id", "parent_no", "text", "n_tokens", "token_start", "byte_start", "byte_end"])
+
+    return docs.select(F.col("source_id").cast("long").alias("source_id"), "text").mapInArrow(run, "source_id bigint, parent_no int, text string, n_tokens int, token_start bigint, byte_start bigint, byte_end bigint")
+
+
 def children(parent: DataFrame, size: int = CHILD, overlap: int = OVERLAP) -> DataFrame:
     """source_id, parent_no, child_no, text, n_tokens: windows within a parent that share ``overlap`` words."""
     step = size - overlap
