@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 
 from stratum.functions.text import index_terms
 
-#: Words of the longest name that is looked for; seeds of a question and its tokens.
+#: Words of the longest seed of a question, and tokens of a question.
 WIDEST, MOST_TOKENS = 5, 64
 WINDOW, LONGEST = 240, 1200
 
 
-def spans(rows: DataFrame, key: str, widest: int = WIDEST, most: int | None = None) -> DataFrame:
-    """key, start, width, gram: runs of up to ``widest`` terms of (key, text)."""
+def spans(rows: DataFrame, key: str, widths: list[int], most: int | None = None) -> DataFrame:
+    """key, start, width, gram: runs of so many terms of (key, text)."""
     terms = index_terms(F.col("text"))
     t = rows.select(key, (F.slice(terms, 1, most) if most else terms).alias("t")).select(key, "t", F.posexplode("t").alias("start", "first"))
-    return t.select(key, "t", "start", F.explode(F.sequence(F.lit(1), F.lit(widest))).alias("width")).where(F.col("start") + F.col("width") <= F.size("t")).select(key, "start", "width", F.array_join(F.slice("t", F.col("start") + 1, F.col("width")), " ").alias("gram"))
+    every = F.array(*map(F.lit, widths)).cast("array<int>")
+    return t.select(key, "t", "start", F.explode(every).alias("width")).where(F.col("start") + F.col("width") <= F.size("t")).select(key, "start", "width", F.array_join(F.slice("t", F.col("start") + 1, F.col("width")), " ").alias("gram"))
 
 
-def detect(names: DataFrame, chunks: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """node_id, chunk_id, start, width: where names (node_id, name) stand in chunks, as an equi-join on runs of words."""
-    n = names.select("node_id", F.array_join(index_terms(F.col("name")), " ").alias("gram")).where("gram != ''")
-    return spans(chunks, "chunk_id", widest).join(n, "gram").select("node_id", "chunk_id", "start", "width")
+def detect(names: DataFrame, chunks: DataFrame) -> DataFrame:
+    """node_id, chunk_id, start, width: where names (node_id, name) stand in chunks, as an equi-join on runs of words.
+
+    Runs are as long as names are: the different numbers of words, a handful, are what is collected.
+    """
+    n = names.select("node_id", index_terms(F.col("name")).alias("t")).where(F.size("t") > 0)
+    widths = sorted(r[0] for r in n.select(F.size("t")).distinct().collect())
+    grams = n.select("node_id", F.array_join("t", " ").alias("gram"))
+    return spans(chunks, "chunk_id", widths).join(grams, "gram").select("node_id", "chunk_id", "start", "width")
 
 
 def seeds(names: DataFrame, questions: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def seeds(names: DataFrame, questions: DataFrame) -> DataFrame:
     At most 64 tokens of a question count, so what is folded for it is bounded.
     """
     n = names.select("node_id", F.array_join(index_terms(F.col("name")), " ").alias("gram")).where("gram != ''")
-    hits = spans(questions, "query_id", WIDEST, MOST_TOKENS).join(n, "gram").groupBy("query_id", "start", "width").agg(F.min("node_id").alias("node_id"))
+    hits = spans(questions, "query_id", [*range(1, WIDEST + 1)], MOST_TOKENS).join(n, "gram").groupBy("query_id", "start", "width").agg(F.min("node_id").alias("node_id"))
     ordered = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("width")).alias("w"), "start", "node_id"))).alias("hits"))
     none = F.array().cast("array<struct<w:int,start:int,node_id:bigint>>")
     clash = lambda x, y: (x["start"] < y["start"] - y["w"]) & (y["start"] < x["start"] - x["w"])
@@ -107,5 +113,14 @@ def first_json(text: Column) -> Column:
     return find(text)
 
 
-def last_version(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("n = 1").drop("n")
+#: Words that tell nothing of a relation.
+STOP_WORDS = "a an and are as at be by for from how in is it of on or that the this to was what when where which who with".split()
+LEAST_SIGNAL = 2
+
+
+def relational(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, n_seeds, residual, walk: whether a question (query_id, text) has seeds and says enough besides to be worth a walk of the graph."""
+    claimed = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("width") - 1))).alias("claimed"), F.count(F.lit(1)).alias("seeds"))
+    x = questions.select("query_id", F.slice(index_terms(F.col("text")), 1, MOST_TOKENS).alias("t")).join(claimed, "query_id", "left").withColumn("c", F.coalesce("claimed", F.array().cast("array<int>")))
+    left = F.size(F.filter("t", lambda w, i: ~F.array_contains(F.col("c"), i) & ~w.isin(*STOP_WORDS)))
+    return x.select("query_id", F.coalesce("seeds", F.lit(0)).alias("n_seeds"), left.alias("residual")).withColumn("walk", (F.col("n_seeds") > 0) & (F.col("residual") >= LEAST_SIGNAL))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.functions.text import normalized_name
+from stratum.functions.text import normalized_name, pair_key
 from stratum.operators.vectors import knn
 from stratum.sources.staging import stage
 
@@ -46,16 +46,41 @@ def canonical_names(groups: DataFrame) -> DataFrame:
     return best.where("n >= 2").select("component", F.col("b.name").alias("canonical"), "n")
 
 
-def decided(pairs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pairs to unite: near ones, and those to be asked whose cached verdict says the same surely enough."""
-    key = ["a", "b"]
-    return pairs.where("verdict = 'merge'").select(*key).unionByName(pairs.where("verdict = 'ask'").join(cache.where(F.col("same") & (F.col("confidence") >= WRITE)), key, "left_semi").select(*key))
-
-
 def current_cache(cache: DataFrame, version: str) -> DataFrame:
+    """Verdicts of the present version; others are gone."""
     return cache.where(F.col("prompt_version") == version)
 
 
-def last_of_group(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+def decided(pairs: DataFrame, cache: DataFrame) -> DataFrame:
+    """u, v, confidence of the pairs (query_id, chunk_id, key, score, verdict) to unite: near ones by their score, and those to be asked whose cached verdict (key, same, confidence) says the same surely enough."""
+    sure = cache.where(F.col("same") & (F.col("confidence") >= WRITE)).groupBy("key").agg(F.max("confidence").alias("confidence"))
+    ends = [F.col("query_id").alias("u"), F.col("chunk_id").alias("v")]
+    near = pairs.where("verdict = 'merge'").select(*ends, F.col("score").alias("confidence"))
+    return near.unionByName(pairs.where("verdict = 'ask'").join(sure, "key").select(*ends, "confidence"))
+
+
+def resolved(nodes: DataFrame, vectors: DataFrame, cache: DataFrame, version: str, coreferences: DataFrame | None = None) -> DataFrame:
+    """node_id, canonical, confidence of the nodes (node_id, name, kind) that are one with others.
+
+    Equal normalised names of a kind and coreferences (u, v) are one for certain,
+    near vectors of a kind by their cosine, those in between as the cache has it.
+    A group's confidence is the least of what unites it, a lower bound of every
+    path into it; groups under WRITE are left alone.
+    """
+    sure = exact_pairs(nodes)
+    sure = sure if coreferences is None else sure.unionByName(coreferences.select("u", "v"))
+    of = vectors.join(nodes.select(F.col("node_id").alias("chunk_id"), "kind"), "chunk_id").select("chunk_id", "vector", "kind")
+    near = near_pairs(of, of.withColumnRenamed("chunk_id", "query_id"))
+    name = lambda c, n: nodes.select(F.col("node_id").alias(c), F.lower("name").alias(n), F.col("kind").cast("string").alias(f"kind_{n}"))
+    keyed = near.join(name("query_id", "a"), "query_id").join(name("chunk_id", "b"), "chunk_id").withColumn("key", pair_key(F.col("kind_a"), F.col("a"), F.col("b")))
+    edges = stage(sure.withColumn("confidence", F.lit(1.0)).unionByName(decided(keyed, current_cache(cache, version))))
+    groups = components(edges)
+    least = edges.join(groups, F.col("u") == F.col("node")).groupBy("component").agg(F.min("confidence").alias("confidence")).where(F.col("confidence") >= WRITE)
+    named = canonical_names(groups.join(nodes, F.col("node") == F.col("node_id")).select("component", "name"))
+    return groups.join(least, "component").join(named, "component").select(F.col("node").alias("node_id"), "canonical", "confidence")
+
+
+def applied(nodes: DataFrame, updates: DataFrame, version: str) -> DataFrame:
+    """Nodes with earlier names taken back and the updates' in their place, all stamped with the version."""
+    kept = nodes.drop("canonical", "confidence", "prompt_version")
+    return kept.join(updates, "node_id", "left").withColumn("prompt_version", F.lit(version))
