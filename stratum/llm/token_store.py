@@ -20,8 +20,9 @@ documents' roots; its first row also has the dictionary, trained on at most
 fails if a digest, a root or the manifest doesn't agree.
 
 Which chunks are shared is found without moving most of them: an aggregate over
-the digests alone gives the repeated ones, and only what passes a Bloom filter of
-those shuffles again, so texts that share nothing move once, to their range.
+half of every digest tells which may be repeated, and only what passes a Bloom
+filter of those shuffles again, by its whole digest, so texts that share nothing
+move once, to their range.
 
 Null texts count as empty: such a document has the end id alone. Rows that
 repeat a doc_id are stored one after the other; null ids come first. An empty
@@ -205,15 +206,13 @@ def _halves(digests: list[bytes]) -> np.ndarray:
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """doc_id, row_id, seq, a, b (the digest's halves) of the chunks whose digest occurs more than once, and of few others."""
+    """doc_id, row_id, seq, a, b (the digest's halves) of the chunks that may be repeated: all whose digest occurs more than once, and few others."""
 
     def every(batches):
         for batch in batches:
-            x = _halves(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(_halves(batch.column(0).to_pylist())[:, 0])], names=["a"])
 
-    counts = rows.select("hashes").mapInArrow(every, "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stage(counts.where("n > 1").select("a"))
+    repeated = stage(rows.select("hashes").mapInArrow(every, "a bigint").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     bits = bloom.size(repeated.count())
     shared = rows.sparkSession.sparkContext.broadcast(bloom.maps(repeated, bits)[0])
 
@@ -226,7 +225,7 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
             seq = hit - np.r_[0, np.cumsum(n)][row] if len(n) else hit
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in (0, 1)), pa.array(seq.astype(np.int32)), pa.array(x[hit, 0]), pa.array(x[hit, 1])], names=["doc_id", "row_id", "seq", "a", "b"])
 
-    return stage(rows.select("doc_id", "row_id", "hashes").mapInArrow(some, "doc_id bigint, row_id bigint, seq int, a bigint, b bigint"))
+    return rows.select("doc_id", "row_id", "hashes").mapInArrow(some, "doc_id bigint, row_id bigint, seq int, a bigint, b bigint")
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
