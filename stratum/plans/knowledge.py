@@ -101,7 +101,7 @@ def relation_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def map_merge(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "conversations")
-    parts = c.select(F.col("conv_id").alias("source_id"), F.col("turn").alias("part"), F.regexp_extract_all("text", F.lit(r"(\b[A-Z][a-z]+\b)"), F.lit(1)).alias("entities"), F.element_at(F.split("text", r"\."), 1).alias("summary"))
+    parts = c.select(F.col("conv_id").alias("source_id"), F.col("turn").alias("part"), F.regexp_extract_all("text", F.lit(r"(?:^| )([A-Z][a-z]+)"), F.lit(1)).alias("entities"), F.element_at(F.split("text", r"\."), 1).alias("summary"))
     return enrich.merged_map(parts).select("source_id", F.array_join("entities", ",").alias("entities"), "summary")
 
 
@@ -235,6 +235,8 @@ SELECT chunk_id, f.node_id AS from_node, relation, g.node_id AS to_node, round(c
 WHERE confidence BETWEEN 0.5 AND 1 AND relation IN ('supplies', 'returns') AND f.node_id <> g.node_id AND chunk_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""",
     "relation_sample": """WITH c AS (SELECT l_orderkey AS chunk_id, CAST(sum(l_linenumber) AS BIGINT) AS n_entities FROM lineitem GROUP BY 1), x AS (SELECT o_custkey AS source_id, chunk_id, n_entities FROM c JOIN orders ON chunk_id = o_orderkey WHERE n_entities >= 8),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n_entities DESC, chunk_id) AS place, count(*) OVER (PARTITION BY source_id) AS of FROM x) SELECT source_id, chunk_id, n_entities, place FROM r WHERE place <= least(ceil(of * 0.1), 24)""",
+    "map_merge": r"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(text, '(?:^| )([A-Z][a-z]+)', 1) AS e, split_part(text, '.', 1) AS s FROM conversations), a AS (SELECT conv_id, flatten(list(e ORDER BY turn)) AS e, list_filter(list(s ORDER BY turn), lambda x: x <> '') AS s FROM c GROUP BY conv_id)
+SELECT conv_id AS source_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ',') AS entities, array_to_string(s, ' ') AS summary FROM a""",
     "p95_latency": "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "promotion_gate": """WITH a AS (SELECT CASE left(o_orderpriority, 1) WHEN '1' THEN 'bridging' WHEN '2' THEN 'rollup' ELSE 'single_hop' END AS kind, CASE WHEN o_orderkey % 3 > 0 THEN 1.0 ELSE 0.0 END AS graph, CAST(o_orderkey % 2 AS DOUBLE) AS hybrid, o_totalprice / 1000 AS ms FROM orders),
 m AS (SELECT coalesce(avg(graph) FILTER (kind <> 'single_hop'), 0) AS g, coalesce(avg(hybrid) FILTER (kind <> 'single_hop'), 0) AS h, quantile_disc(ms, 0.95) AS p95_ms, count(*) AS sample_n FROM a),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratum.functions.text import pair_key
 from stratum.operators import catalog, graph, mentions, resolve, upkeep
 from stratum.plans.common import SOURCES, terms
-from stratum.plans.extras import _names
+from stratum.plans.extras import SEEDED, _names
 from stratum.plans.knowledge import _EDGES, _edges
 from stratum.sources import sinks
 from stratum.sources.staging import shared_dir, stage
@@ -259,6 +259,11 @@ SELECT query_id, name, kind, relation, round(w, 6) AS w, round(w / max(w) OVER (
     "ppr_topk": _ranks(10),
     "graph_compose": """WITH r AS (SELECT l_suppkey AS query_id, l_orderkey AS chunk_id, 1.0::DOUBLE AS conf, l_linenumber AS seen FROM lineitem WHERE l_orderkey % 7 = 0 UNION ALL SELECT (l_suppkey + 1) % 50, l_orderkey, l_discount, 1000000 + l_linenumber FROM lineitem),
 b AS (SELECT query_id, chunk_id, max(conf) AS conf, min(seen) AS seen FROM r GROUP BY ALL) SELECT query_id, chunk_id, conf, row_number() OVER (PARTITION BY query_id ORDER BY conf DESC, seen, chunk_id) - 1 AS rank0 FROM b QUALIFY rank0 < 20""",
+    "relational_signal": rf"""WITH RECURSIVE n AS (SELECT item_id AS node_id, array_to_string({terms("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")}, ' ') AS gram FROM benchmark WHERE item_id % 3 > 0),
+q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text ELSE array_to_string(string_split(text, ' ')[1:3], ' ') END AS text FROM benchmark), {SEEDED},
+c AS (SELECT query_id, count(*) AS seeds, flatten(list(range(start, start + width))) AS claimed FROM seeded GROUP BY query_id),
+w AS (SELECT query_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM qt), r AS (SELECT query_id, count(*) FILTER (NOT list_contains(coalesce(claimed, []), i) AND w NOT IN ({", ".join(f"'{x}'" for x in mentions.STOP_WORDS)})) AS residual FROM w LEFT JOIN c USING (query_id) GROUP BY query_id)
+SELECT query_id, coalesce(seeds, 0) AS n_seeds, coalesce(residual, 0) AS residual, coalesce(seeds, 0) > 0 AND coalesce(residual, 0) >= 2 AS walk FROM q LEFT JOIN c USING (query_id) LEFT JOIN r USING (query_id)""",
     "resolve_notebook": """WITH RECURSIVE n AS (SELECT vec_id AS node_id, p_type AS name, lower(p_type) AS low, CAST(label AS VARCHAR) AS kind, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN part ON vec_id = p_partkey),
 sure AS (SELECT node_id AS u, min(node_id) OVER (PARTITION BY low, kind) AS v, 1.0::DOUBLE AS c FROM n),
 near AS (SELECT q.node_id AS u, n.node_id AS v, q.low AS a, n.low AS b, list_inner_product(q.v, n.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(n.v, n.v)) AS c FROM n q JOIN n ON q.kind = n.kind),
