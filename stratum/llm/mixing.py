@@ -8,7 +8,9 @@ Null or empty texts have size 0 and are taken with 0 words. A null source is a
 source of its own, last in order. Rows that repeat an id share its draw, so
 reruns and any partitioning agree. A source without words has target 0 and an
 empty table gives an empty table. Columns of the input pass through
-``mix``; the names it adds are chosen so that none is overwritten.
+``mix``; the names it adds are chosen so that none is overwritten. A text of any
+length is counted in its row. The windows over sources are one task with a row a
+source, which fits millions of sources, not one a page.
 """
 
 from __future__ import annotations
