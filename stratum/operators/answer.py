@@ -30,6 +30,12 @@ def speaker_runs(messages: DataFrame) -> DataFrame:
     return x.groupBy("conv_id", "run_no", "role").agg(F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"))
 
 
+def cited_unknown(messages: DataFrame, live: DataFrame) -> DataFrame:
+    """conv_id of the dialogues with a turn (conv_id, source_ids) that cites what isn't live (source_id)."""
+    cited = messages.select("conv_id", F.explode("source_ids").alias("source_id"))
+    return cited.join(live.select("source_id"), "source_id", "left_anti").select("conv_id").distinct()
+
+
 def dialogue_valid(messages: DataFrame, least: int = 2, longest_run: int = 2) -> DataFrame:
     """conv_id, n_turns, n_speakers, longest, valid: enough turns, two speakers, no long runs."""
     longest = speaker_runs(messages).groupBy("conv_id").agg(F.max("n_turns").alias("longest"), F.sum("n_turns").alias("n_turns"), F.count_distinct("role").alias("n_speakers"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,28 +86,28 @@ def snippet(text: Column, start: Column, stop: Column) -> Column:
     return cut(text, start, stop)
 
 
-def first_json(text: Column) -> Column:
-    """The first balanced JSON object in a text, aware of strings; null if there is none."""
+#: What changes how deep JSON is, or whether it is in a string.
+_MARKS = re.compile(r'\\.|["{}\[\]]', re.S)
+
+
+def first_json(text: Column, opening: str = "{") -> Column:
+    """The first balanced JSON object in a text, or array where ``opening`` is a bracket, aware of strings; null if there is none."""
 
     @F.pandas_udf("string")
     def find(t: pd.Series) -> pd.Series:
         def one(s: str | None) -> str | None:
-            at = -1 if s is None else s.find("{")
+            at = -1 if s is None else s.find(opening)
             if at < 0:
                 return None
-            depth, quoted, skip = 0, False, False
-            for i in range(at, len(s)):
-                c = s[i]
-                if skip:
-                    skip = False
-                elif quoted:
-                    skip, quoted = c == "\\", c != '"'
-                elif c == '"':
-                    quoted = True
-                elif c in "{}":
-                    depth += 1 if c == "{" else -1
+            depth, quoted = 0, False
+            for m in _MARKS.finditer(s, at):
+                c = m[0]
+                if c == '"':
+                    quoted = not quoted
+                elif not quoted and len(c) == 1:
+                    depth += 1 if c in "{[" else -1
                     if not depth:
-                        return s[at : i + 1]
+                        return s[at : m.end()]
             return None
 
         return t.map(one)
@@ -113,6 +115,21 @@ def first_json(text: Column) -> Column:
     return find(text)
 
 
+def notes_document(notes: DataFrame) -> DataFrame:
+    """notebook_id, markdown over (notebook_id, title, note_id, pinned, content, source_id, source_title): notes that cite by the source they cite first, then one's own.
+
+    Sources stand in the order of their first note, own notes pinned first; a
+    section without notes is left out.
+    """
+    body = F.concat(F.trim("content"), F.when(F.coalesce("source_title", F.lit("")) != "", F.concat(F.lit("\n\n*Source: "), "source_title", F.lit("*"))).otherwise(""))
+    cited = F.col("source_id").isNotNull()
+    first = F.when(cited, F.min("note_id").over(Window.partitionBy("notebook_id", "source_id")))
+    x = notes.select("notebook_id", "title", cited.alias("cited"), F.struct(first.alias("first"), (~cited & ~F.col("pinned")).alias("later"), "note_id", body.alias("body")).alias("n"))
+    per = x.groupBy("notebook_id").agg(F.min("title").alias("title"), *(F.array_sort(F.collect_list(F.when(c, F.col("n")))).alias(k) for k, c in (("insights", F.col("cited")), ("own", ~F.col("cited")))))
+    part = lambda head, k: F.when(F.size(k) > 0, F.concat(F.lit(f"## {head}\n\n"), F.array_join(F.transform(k, lambda x: x["body"]), "\n\n")))
+    return per.select("notebook_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("Notes"))), part("KEY INSIGHTS", "insights"), part("PERSONAL NOTES", "own")).alias("markdown"))
+
+
 #: Words that tell nothing of a relation.
 STOP_WORDS = "a an and are as at be by for from how in is it of on or that the this to was what when where which who with".split()
 LEAST_SIGNAL = 2

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 #: Bounds of nested values and arrays, and extensions by kind.
 DEPTH, ELEMENTS, COLLAPSED = 64, 10_000, 8192
-KINDS = {"txt": "text", "md": "markdown", "markdown": "markdown", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "yaml": "yaml", "yml": "yaml", "xml": "xml", "csv": "csv", "html": "html", "htm": "html", "rtf": "rtf"}
+KINDS = {
+    "pdf": "pdf", "docx": "docx", "txt": "text", "md": "markdown", "markdown": "markdown", "mdx": "markdown", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "yaml": "yaml", "yml": "yaml", "xml": "xml", "rtf": "rtf",
+    "odt": "odt", "epub": "epub", "xlsx": "xlsx", "xls": "xls", "csv": "csv", "html": "html", "htm": "html", "mp3": "audio", "m4a": "audio", "aac": "audio", "wav": "audio", "flac": "audio",
+}
 
 Block = tuple[str, str, str, str]  # type, section path, text, anchor
 
@@ -23,6 +26,20 @@ def kind_of(extension):
     return F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.lower(extension)]
 
 
+def kind_error(extension):
+    """What is wrong with an extension; null where its kind is known."""
+    return F.when(kind_of(extension).isNull(), F.concat(F.lit("unsupported file extension "), F.coalesce(extension, F.lit("(none)"))))
+
+
+def table_markdown(headers, rows):
+    """A Markdown table of (array of names, array of arrays of cells): rows as long as the header, cells that can't break the grid."""
+    names = F.transform(headers, lambda h, i: F.when(F.forall(headers, lambda x: F.trim(x) == ""), F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(h))
+    safe = lambda c: F.translate(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("`"), F.lit("\\`")), "\n\r", "  ")
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
+    body = F.transform(rows, lambda r: line(F.transform(headers, lambda _, i: safe(F.get(r, i)))))
+    return F.concat(line(F.transform(names, safe)), line(F.transform(headers, lambda _: F.lit("---"))), F.array_join(body, ""))
+
+
 def leaves(value, path: str = "", depth: int = 0) -> Iterator[str]:
     """One line a scalar, keys sorted, with its pointer."""
     if depth > DEPTH:
