@@ -17,6 +17,15 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
     return x.where("role = 'user' and next_role = 'assistant' and trim(answer) != ''").select("conv_id", F.col("turn").alias("turn_id"), F.col("text").alias("question"), "answer")
 
 
+def complete_turns(messages: DataFrame) -> DataFrame:
+    """conv_id, turn_id, question, answer over (conv_id, turn_id, pos, role, text, state): the last question of a turn and its last answer that is finished and not blank; turns with both, in the order in which they began."""
+    done = (F.col("role") == "assistant") & F.col("state").isNull() & (F.trim("text") != "")
+    last = lambda c: F.max(F.when(c, F.struct("pos", "text")))
+    t = messages.groupBy("conv_id", "turn_id").agg(F.min("pos").alias("began"), last(F.col("role") == "user").alias("q"), last(done).alias("a")).where("q is not null and a is not null")
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("began"))
+    return t.select("conv_id", order.alias("turn_id"), F.col("q.text").alias("question"), F.col("a.text").alias("answer"))
+
+
 def recent(pairs: DataFrame, messages: int = HISTORY) -> DataFrame:
     """The last pairs of each conversation, two messages each."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn_id"))

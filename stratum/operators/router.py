@@ -32,6 +32,15 @@ def budget_cut(units: DataFrame, cap: int, group: str, order: list, cost: str =
     return run.where((F.col("running") <= cap) | (F.col("place") == 0))
 
 
+def excerpts(chunks: DataFrame, each: int = 1200, total: int = 7000, most: int = 2) -> DataFrame:
+    """notebook_id, source_id, parent_no, n_chars, place: what of a source's first chunks (notebook_id, source_id, parent_no, text) fits its share, up to the total of the notebook."""
+    of = Window.partitionBy("source_id").orderBy("parent_no")
+    x = chunks.select("notebook_id", "source_id", "parent_no", F.length("text").alias("n")).withColumn("nth", F.row_number().over(of)).where(F.col("nth") <= most)
+    before = F.coalesce(F.sum("n").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("n_chars", F.least(F.col("n"), F.lit(each) - before)).where("n_chars > 0")
+    return budget_cut(x, total, "notebook_id", ["source_id", "parent_no"], "n_chars").select("notebook_id", "source_id", "parent_no", "n_chars", "place")
+
+
 def auto_merge(hits: DataFrame, children: DataFrame) -> DataFrame:
     """query_id, unit_id, merged, score: parents with half of their children among the hits, else the children.
 

@@ -119,10 +119,9 @@ def parent_automerge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def excerpt_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Up to two parents of each live source, in a total budget a notebook."""
-    p = structure.parents(live(sources(spark, d))).where("parent_no < 2").join(sources(spark, d).select("source_id", "notebook_id"), "source_id")
-    cut = p.withColumn("tokens", F.least(F.length("text"), F.lit(1200)))
-    return router.budget_cut(cut, 7000, "notebook_id", ["source_id", "parent_no"]).select("notebook_id", "source_id", "parent_no", "tokens", "place")
+    """Up to two parents of each live source, in a share of it and a total of its notebook."""
+    src = live(sources(spark, d))
+    return router.excerpts(structure.parents(src).join(src.select("source_id", "notebook_id"), "source_id"))
 
 
 def source_text_concat(spark: SparkSession, d: str) -> DataFrame:
@@ -206,9 +205,10 @@ h AS (SELECT l_suppkey % 5 AS query_id, l_orderkey * 10 + l_linenumber AS chunk_
 t AS (SELECT parent_id, count(*) AS total FROM c GROUP BY parent_id), g AS (SELECT query_id, parent_id, count(*) AS got, max(score) AS best FROM h GROUP BY ALL),
 m AS (SELECT query_id, parent_id, best FROM g JOIN t USING (parent_id) WHERE got * 2 >= total)
 SELECT query_id, parent_id AS unit_id, true AS merged, best AS score FROM m UNION ALL SELECT query_id, chunk_id, false, score FROM h ANTI JOIN m USING (query_id, parent_id)""",
-    "excerpt_sample": f"""WITH {SOURCES}, {PARENTS}, p AS (SELECT notebook_id, source_id, parent_no, CAST(least(length(parents.text), 1200) AS INTEGER) AS tokens FROM parents JOIN alive USING (source_id) WHERE parent_no < 2),
-r AS (SELECT *, sum(tokens) OVER w AS running, row_number() OVER w - 1 AS place FROM p WINDOW w AS (PARTITION BY notebook_id ORDER BY source_id, parent_no ROWS UNBOUNDED PRECEDING))
-SELECT notebook_id, source_id, parent_no, tokens, place FROM r WHERE running <= 7000 OR place = 0""",
+    "excerpt_sample": f"""WITH {SOURCES}, {PARENTS}, q AS (SELECT notebook_id, source_id, parent_no, length(parents.text) AS n, coalesce(sum(length(parents.text)) OVER (PARTITION BY source_id ORDER BY parent_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM parents JOIN alive USING (source_id) WHERE parent_no < 2),
+p AS (SELECT notebook_id, source_id, parent_no, CAST(least(n, 1200 - before) AS BIGINT) AS n_chars FROM q WHERE before < 1200),
+r AS (SELECT *, sum(n_chars) OVER w AS running, row_number() OVER w - 1 AS place FROM p WINDOW w AS (PARTITION BY notebook_id ORDER BY source_id, parent_no ROWS UNBOUNDED PRECEDING))
+SELECT notebook_id, source_id, parent_no, n_chars, place FROM r WHERE running <= 7000 OR place = 0""",
     "source_text_concat": f"WITH {SOURCES}, {PARENTS} SELECT source_id, sha256(string_agg(text, '' ORDER BY parent_no)) AS text_sha256 FROM parents GROUP BY source_id",
     "url_normalize": r"""WITH u AS (SELECT page_id, trim(url) AS raw, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
 p AS (SELECT page_id, raw, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS host, regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '(\?.*)$', 1) AS query FROM u)

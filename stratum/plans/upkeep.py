@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.text import pair_key
-from stratum.operators import catalog, graph, mentions, resolve, upkeep
+from stratum.operators import answer, catalog, graph, mentions, resolve, upkeep
 from stratum.plans.common import SOURCES, terms
 from stratum.plans.extras import SEEDED, _names
 from stratum.plans.knowledge import _EDGES, _edges
 from stratum.sources import sinks
 from stratum.sources.staging import shared_dir, stage
-from stratum.sources.tables import entity_nodes, load, sources
+from stratum.sources.tables import entity_mentions, entity_nodes, load, sources
 
 
 def jsonl_sniff(spark: SparkSession, d: str) -> DataFrame:
@@ -184,6 +184,31 @@ def graph_compose(spark: SparkSession, d: str) -> DataFrame:
     return graph.composed(sure, walk, 20)
 
 
+def _live_nations(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("source_id"))
+
+
+def entity_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers by region, their nations as sources."""
+    s, n, r = load(spark, d, "supplier"), load(spark, d, "nation"), load(spark, d, "region")
+    nodes = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 > 0, F.col("r_name")).alias("canonical"), (F.col("s_suppkey") % 2).alias("kind"), F.col("s_nationkey").alias("source_id"), F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("of "), "n_name")).alias("definition"))
+    out = graph.rollup(nodes, entity_mentions(spark, d), _live_nations(spark, d))
+    return out.withColumn("definition", F.coalesce("definition", F.lit("")))
+
+
+def entity_evidence_live(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as chunks of customers' nations."""
+    o, c = load(spark, d, "orders"), load(spark, d, "customer")
+    chunks = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("chunk_id"), F.col("c_nationkey").alias("source_id"), (F.col("o_orderkey") % 2).alias("level"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 7).alias("token_start"))
+    return graph.live_evidence(entity_nodes(spark, d), entity_mentions(spark, d), chunks, _live_nations(spark, d))
+
+
+def chat_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of four messages, of which some answers are unfinished."""
+    c = load(spark, d, "conversations")
+    return answer.complete_turns(c.select("conv_id", F.expr("turn div 4").alias("turn_id"), F.col("turn").alias("pos"), "role", "text", F.when(F.col("turn") % 8 == 3, "cut").alias("state")))
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """Vectors with a part's type as their name, of kinds by their label."""
     v, p = load(spark, d, "embeddings"), load(spark, d, "part")
@@ -204,7 +229,7 @@ def resolve_notebook(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (jsonl_sniff, transcript_blocks, prose_chunks, scanned_sources, graph_write, summary_replace, overview_freshness, active_indexes, generation_reseed, dense_chunks, question_context, valid_questions, latest_eval, notes_by_source, listing_orders, node_texts, bounded_maps, anchor_pages, worth_enriching, graph_nodes, relational_signal, expand_neighbors_full, ppr_topk, graph_compose, resolve_notebook)
+    for f in (jsonl_sniff, transcript_blocks, prose_chunks, scanned_sources, graph_write, summary_replace, overview_freshness, active_indexes, generation_reseed, dense_chunks, question_context, valid_questions, latest_eval, notes_by_source, listing_orders, node_texts, bounded_maps, anchor_pages, worth_enriching, graph_nodes, relational_signal, entity_rollup, entity_evidence_live, chat_turns, expand_neighbors_full, ppr_topk, graph_compose, resolve_notebook)
 }
 
 _DENSE = """chunks AS (SELECT c_mktsegment AS notebook_id, o_orderkey AS chunk_id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT l_orderkey AS chunk_id, count(*) AS m FROM lineitem WHERE l_discount < 0.05 GROUP BY 1),
@@ -250,6 +275,13 @@ u AS (SELECT * FROM r WHERE NOT (kind = 'summary' AND s IN (SELECT s FROM n)) UN
 w AS (SELECT source_id, lower(name) AS key, name, class FROM f QUALIFY row_number() OVER (PARTITION BY source_id, lower(name) ORDER BY class, pos) = 1),
 t AS (SELECT source_id, lower(name) AS key, definition FROM f WHERE class = 2 AND definition IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, lower(name) ORDER BY pos) = 1)
 SELECT source_id, key, name, CASE WHEN class = 1 THEN 'date' ELSE 'concept' END AS kind, coalesce(definition, '') AS definition FROM w LEFT JOIN t USING (source_id, key)""",
+    "entity_rollup": """WITH m AS (SELECT l_suppkey AS id, count(*) AS m FROM lineitem GROUP BY 1), n AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN r_name ELSE s_name END AS name, s_suppkey % 2 AS kind, s_nationkey AS src, CASE WHEN s_suppkey % 4 = 1 THEN 'of ' || n_name END AS definition
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_nationkey % 4 > 0) SELECT min(name) AS name, kind, count(DISTINCT src) AS n_sources, CAST(sum(coalesce(m, 0)) AS BIGINT) AS n_mentions, coalesce(min(definition), '') AS definition FROM n LEFT JOIN m USING (id) GROUP BY lower(name), kind""",
+    "entity_evidence_live": """WITH c AS (SELECT o_orderkey AS chunk_id, o_orderkey % 2 AS level, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS token_start FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 4 > 0),
+n AS (SELECT lower(n_name) AS name, n_regionkey AS kind, l_orderkey AS chunk_id, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT name, kind, chunk_id, n, row_number() OVER (PARTITION BY name, kind ORDER BY n DESC, level, token_start NULLS LAST, chunk_id) - 1 AS rank0 FROM n JOIN c USING (chunk_id) QUALIFY rank0 < 10""",
+    "chat_turns": """WITH c AS (SELECT *, turn // 4 AS t FROM conversations), g AS (SELECT conv_id, t, arg_max(text, turn) FILTER (role = 'user') AS question, arg_max(text, turn) FILTER (role = 'assistant' AND turn % 8 <> 3 AND trim(text, ' ') <> '') AS answer FROM c GROUP BY conv_id, t)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS turn_id, question, answer FROM g WHERE question IS NOT NULL AND answer IS NOT NULL""",
     "expand_neighbors_full": f"""WITH {_EDGES}, {_LOGICAL}, u AS (SELECT from_node AS a, to_node AS b, w, relation FROM edges WHERE from_node <> to_node UNION ALL SELECT to_node, from_node, w, relation FROM edges WHERE from_node <> to_node), s AS (SELECT DISTINCT a, b FROM u),
 st AS (SELECT n_nationkey AS query_id, node_id, logical_id FROM nation JOIN logic ON key = lower(n_name) AND kind = n_regionkey), h AS (SELECT query_id, b AS node_id FROM st JOIN s ON a = node_id UNION SELECT query_id, y.b FROM st JOIN s x ON x.a = node_id JOIN s y ON x.b = y.a),
 best AS (SELECT a AS node_id, w, relation FROM u QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, relation) = 1),
