@@ -67,9 +67,10 @@ def resolve_knn_band(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders")
-    edges = o.where("o_totalprice > 200000").select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") % 997 * 2 + 1).alias("v"))
-    return resolve.components(edges)
+    """Over all orders, each linked with its customer's next one: a chain for every customer."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = load(spark, d, "orders").select(F.col("o_orderkey").alias("u"), F.lead("o_orderkey").over(w).alias("v"))
+    return resolve.components(edges.where("v is not null"))
 
 
 def connected_components_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -226,8 +227,9 @@ SELECT seed, node_id, round(w, 6) AS w, round(w / max(w) OVER (PARTITION BY seed
     "resolve_knn_band": f"""WITH {VECTORS}, s AS (SELECT q.query_id, v.chunk_id, list_inner_product(q.vector, v.vector) / sqrt(list_inner_product(q.vector, q.vector) * list_inner_product(v.vector, v.vector)) AS exact FROM asked_vecs q JOIN vecs v ON q.kind = v.kind),
 r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, chunk_id) <= 8)
 SELECT query_id, chunk_id, round(exact, 6) AS score, CASE WHEN exact >= 0.9 THEN 'merge' WHEN exact < 0.72 THEN 'separate' ELSE 'ask' END AS verdict FROM r WHERE query_id <> chunk_id""",
-    "connected_components": """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT o_custkey * 2 AS u, o_orderkey % 997 * 2 + 1 AS v FROM orders WHERE o_totalprice > 200000), b AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
-r AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON r.node = b.u) SELECT node, min(c) AS component FROM r GROUP BY node""",
+    "connected_components": "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1",
+    "connected_components_orders": """WITH c AS (SELECT o_custkey, o_orderkey, least(o_custkey * 2, min(o_orderkey) OVER (PARTITION BY o_custkey) * 2 + 1) AS component FROM orders)
+SELECT DISTINCT o_custkey * 2 AS node, component FROM c UNION ALL SELECT o_orderkey * 2 + 1, component FROM c""",
     "canonical_names": "WITH n AS (SELECT p_brand AS component, p_name AS name, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_name) AS k FROM part) SELECT component, name AS canonical, n FROM n WHERE k = 1 AND n >= 2",
     "triple_validate": """WITH nodes AS (SELECT lower(s_name) AS name, s_suppkey AS node_id FROM supplier UNION ALL SELECT lower(p_brand), min(p_partkey) + 1000000 FROM part GROUP BY p_brand),
 t AS (SELECT l_orderkey AS chunk_id, lower(s_name) AS s, lower(p_brand) AS o, CASE l_returnflag WHEN 'N' THEN 'supplies' WHEN 'R' THEN 'returns' ELSE 'ships' END AS relation, l_discount * 10 AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
