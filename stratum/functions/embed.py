@@ -1,11 +1,9 @@
-"""The offline embedder: terms hashed to signed dimensions, normalised; and checks of addresses."""
+"""The offline embedder: terms hashed to signed dimensions, normalised."""
 
 from __future__ import annotations
 
-import ipaddress
 import re
 import zlib
-from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
@@ -33,28 +31,3 @@ def embedded(text: Column, dim: int = DIM, prefix: str = "") -> Column:
         return t.map(one)
 
     return embed(text)
-
-
-def is_public(url: Column) -> Column:
-    """Whether an address is http(s) and doesn't name a private, reserved or local host; null is not."""
-
-    @F.pandas_udf("boolean")
-    def check(u: pd.Series) -> pd.Series:
-        def one(s: str | None) -> bool:
-            try:
-                parts = urlsplit(s or "")
-                host = (parts.hostname or "").rstrip(".").lower()
-            except ValueError:
-                return False
-            if parts.scheme.lower() not in ("http", "https") or not host or host == "localhost" or host.endswith((".localhost", ".local", ".internal")):
-                return False
-            try:
-                ip = ipaddress.ip_address(host)
-            except ValueError:
-                return True
-            inner = getattr(ip, "ipv4_mapped", None) or getattr(ip, "sixtofour", None) or ip
-            return bool(inner.is_global and not inner.is_multicast)
-
-        return u.map(one)
-
-    return check(url)

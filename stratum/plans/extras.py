@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.functions.embed import embedded, is_public
+from stratum.functions.address import is_public
+from stratum.functions.embed import embedded
 from stratum.operators import mentions, router, structure
 from stratum.plans.common import SOURCES, terms
 from stratum.plans.corpus import _BLOCKS
@@ -74,6 +75,8 @@ qo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY width DESC, s
 _SEED_NAMES = f"n AS (SELECT item_id AS node_id, array_to_string({terms("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")}, ' ') AS gram FROM benchmark)"
 
 ORACLES = {
+    "public_pages": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '\.+$', '') AS host FROM pages)
+SELECT page_id, scheme IN ('http', 'https') AND host NOT IN ('', 'localhost') AND NOT regexp_matches(host, '\.(localhost|local|internal)$') AND NOT regexp_matches(host, '^(10|127|0|192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))\.[0-9.]+$') AS public FROM h""",
     "question_seeds": f"WITH RECURSIVE {_SEED_NAMES}, q AS (SELECT item_id AS query_id, text FROM benchmark), {SEEDED} SELECT * FROM seeded",
     "mention_detection": rf"""WITH {SOURCES}, n AS (SELECT item_id AS node_id, array_to_string({terms("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")}, ' ') AS gram FROM benchmark),
 t AS (SELECT source_id AS chunk_id, {terms("text")} AS t FROM src), w AS (SELECT chunk_id, t, unnest(range(len(t))) AS start FROM t),

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.operators import mentions
-from stratum.functions.embed import embedded, is_public
+from stratum.functions.address import is_public
+from stratum.functions.embed import embedded
 from stratum.operators import answer
 from stratum.sources import archives, sinks
 from stratum.streaming import redact

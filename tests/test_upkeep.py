@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratum.functions import address
 from stratum.functions import text as T
 from stratum.functions.embed import embedded
 from stratum.operators import evaluate, graph, lexical, mentions, resolve, upkeep
@@ -114,6 +115,11 @@ def test_public_pages_against_plain_python(spark):
         assert r.public == (not inner and urls[r.page_id].lower().startswith("http"))
 
 
+@pytest.mark.parametrize("url,want", [("http://user@10.1.2.3:80/x", False), ("http://8.8.8.8", True), ("https://[2606:4700::1111]/", True), ("http://[::1]/", False), ("http://[fe80::1]", False), ("http://[::ffff:127.0.0.1]", False), ("http://[::ffff:8.8.4.4]", True), ("http://[2002:7f00:1::]", False), ("http://[2002:808:808::]", True), ("http://[2001:db8::1]", False), ("http://2130706433/", False), ("http://0x7f.1/", False), ("http://999.1.1.1/", False), ("http://100.100.0.1", False), ("http://224.0.0.1", False), ("ftp://a.com", False), ("http://a.com.", True), ("http://x.internal.", False), ("nothing", False), ("http:///p", False)])
+def test_addresses(spark, url, want):
+    assert one(spark, address.is_public(F.col("u")), u=url) is want
+
+
 def test_snippets_and_text_blocks_against_the_texts(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in catalog.QUERIES["citation_snippet"](spark, SMALL).collect():
