@@ -165,8 +165,9 @@ def dictionary(docs: DataFrame, path: str) -> bytes:
         except zstandard.ZstdError:  # too few or too short
             return
 
-    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE).coalesce(1)
-    row = sample.mapInArrow(run, "d binary").first()
+    # take() reads as few partitions as it needs; what it brings is bounded by SAMPLE and SAMPLE_CHARS
+    held = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").take(SAMPLE)
+    row = docs.sparkSession.createDataFrame(held, "text string").coalesce(1).mapInArrow(run, "d binary").first()
     return bytes(row["d"]) if row else b""
 
 
