@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import bpe, chat, embed_dedup, exact_dedup, langid, line_dedup, mixing, ngram_join, token_store, toxicity
+from stratum.llm import bpe, chat, embed_dedup, exact_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, token_store, toxicity
 from stratum.llm._common import table
 
 
@@ -59,8 +59,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_toxicity, op3_ngram_join, op4_embed_dedup, op5_chat, op6_line_dedup, op7_mixing, op8_exact_dedup, op9_langid, op10_bpe)
+    f.__name__: f for f in (op1_token_store, op2_toxicity, op3_ngram_join, op4_embed_dedup, op5_chat, op6_line_dedup, op7_mixing, op8_exact_dedup, op9_langid, op10_bpe, op13_filter_audit)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,4 +167,28 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN d
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents), k AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k""",
+    "op13_filter_audit": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), said AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+    FROM d LEFT JOIN said ON d.doc_id = said.doc_id
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a JOIN letters b ON a.x != b.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+    JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS filter, left(filter_order, step - 1) AS earlier FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)
+), met AS (
+    SELECT part, good, toxic, filter_order, step, filter, fails = filter AS alone, contains(fails, filter) AS fails, length(translate(earlier, fails, '')) < step - 1 AS gone FROM judged, steps
+), counted AS (
+    SELECT part, filter_order, step, filter, count(*) FILTER (NOT fails AND NOT gone) AS kept, count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+        count(*) FILTER (alone) AS unique_fails, CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+    FROM met GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM counted""",
 }
