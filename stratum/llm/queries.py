@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import bpe, chat, embed_dedup, exact_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, ranked_search, token_store, toxicity
+from stratum.llm import bpe, chat, embed_dedup, exact_dedup, filter_audit, langid, line_dedup, mixing, ngram_join, pii, ranked_search, token_store, toxicity
 from stratum.llm._common import table
 
 
@@ -59,6 +59,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -68,7 +72,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_toxicity, op3_ngram_join, op4_embed_dedup, op5_chat, op6_line_dedup, op7_mixing, op8_exact_dedup, op9_langid, op10_bpe, op12_ranked_search, op13_filter_audit)
+    f.__name__: f for f in (op1_token_store, op2_toxicity, op3_ngram_join, op4_embed_dedup, op5_chat, op6_line_dedup, op7_mixing, op8_exact_dedup, op9_langid, op10_bpe, op11_pii, op12_ranked_search, op13_filter_audit)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
