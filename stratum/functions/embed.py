@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratum.sources.batches import by_row
+
 DIM = 64
 term = re.compile(r"[^\W_]+").findall
 
@@ -17,8 +19,8 @@ term = re.compile(r"[^\W_]+").findall
 def embedded(text: Column, dim: int = DIM, prefix: str = "") -> Column:
     """Unit vector of a text's terms: each adds one, of a hashed sign, at a hashed place. Texts without terms give zeros."""
 
-    @F.pandas_udf("array<double>")
-    def embed(t: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def embed(t: pa.Array) -> pa.Array:
         def one(s: str | None) -> np.ndarray:
             v = np.zeros(dim)
             terms = term(((prefix + s) if s else prefix).lower())
@@ -28,6 +30,6 @@ def embedded(text: Column, dim: int = DIM, prefix: str = "") -> Column:
                 v /= max(np.sqrt((v * v).sum()), 1e-12)
             return v
 
-        return t.map(one)
+        return by_row((t,), one, pa.list_(pa.float64()))
 
     return embed(text)

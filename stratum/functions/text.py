@@ -61,15 +61,17 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def normalized_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, no fragment, no single slash at the end unless it is the root."""
+    """Lower-case scheme and host, no default port, no fragment, no single slash at the end unless it is the root. User and password stay as they are."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    whole = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)
+    user = F.regexp_extract(whole, r"^(.*@)?", 1)
+    host = F.lower(F.regexp_extract(whole, r"([^@]*)$", 1))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     rest = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$", 1)
     path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*(\?.*)?$", 1)
     path = F.when(path == "", F.lit("/")).when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.when(scheme == "", F.trim(url)).otherwise(F.concat(scheme, F.lit("://"), host, path, query))
+    return F.when(scheme == "", F.trim(url)).otherwise(F.concat(scheme, F.lit("://"), user, host, path, query))
 
 
 def needs_js(text: Column, raw: Column, force: Column | None = None) -> Column:
@@ -110,8 +112,9 @@ def marker_lists(answer: Column) -> Column:
 
 
 def markers(answer: Column) -> Column:
-    """Cited numbers in order of appearance."""
-    return F.flatten(F.transform(marker_lists(answer), lambda m: F.transform(F.split(m, ","), lambda x: F.trim(x).cast("int"))))
+    """Cited numbers in order of appearance. A list with a number that is too large for one cites nothing."""
+    lists = F.transform(marker_lists(answer), lambda m: F.transform(F.split(m, ","), lambda x: F.regexp_replace(x, r"\s+", "").try_cast("int")))
+    return F.flatten(F.filter(lists, lambda ns: F.forall(ns, lambda n: n.isNotNull())))
 
 
 def slug(name: Column) -> Column:
@@ -127,12 +130,12 @@ ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
 def _number(token: str) -> int | None:
-    if m := re.fullmatch(r"(\d+)(?:st|nd|rd|th)?", token):
+    if m := re.fullmatch(r"0*([0-9]{1,9})(?:st|nd|rd|th)?", token):  # nothing has a billion parts
         return int(m[1])
     for names in (CARDINALS, ORDINALS):
         if token in names:
             return names.index(token) + 1
-    if token and set(token) <= set(ROMAN):
+    if token and len(token) < 100 and set(token) <= set(ROMAN):
         values = [ROMAN[c] for c in token]
         return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
     return None

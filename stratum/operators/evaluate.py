@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.operators.lexical import EXACT
+
 GATE_PP, GATE_MS, LEAST_SOURCES, LEAST_CHUNKS = 5.0, 500.0, 3, 50
 
 
@@ -26,8 +28,8 @@ def gate(arms: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     told = F.col("kind").isin("bridging", "rollup")
     m = arms.agg(F.coalesce(F.avg(F.when(told, F.col("graph"))), F.lit(0.0)).alias("graph_recall"), F.coalesce(F.avg(F.when(told, F.col("hybrid"))), F.lit(0.0)).alias("hybrid_recall"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95_ms"), F.count(F.lit(1)).alias("sample_n"))
-    m = m.withColumn("delta_pp", F.round(100 * (F.col("graph_recall") - F.col("hybrid_recall")), 6))
+    m = m.withColumn("delta_pp", 100 * (F.col("graph_recall") - F.col("hybrid_recall")))
     # one row each
     m = m.crossJoin(F.broadcast(corpus.agg(F.count_distinct("source_id").alias("n_sources"), F.count_distinct("source_id", "chunk_id").alias("n_chunks"))))
     enough = (F.col("n_sources") >= LEAST_SOURCES) & (F.col("n_chunks") >= LEAST_CHUNKS)
-    return m.select(F.round("graph_recall", 6).alias("graph_recall"), F.round("hybrid_recall", 6).alias("hybrid_recall"), "delta_pp", "p95_ms", "sample_n", "n_sources", "n_chunks", (enough & (F.col("delta_pp") >= GATE_PP) & (F.col("p95_ms") < GATE_MS)).alias("passed"))
+    return m.select("graph_recall", "hybrid_recall", "delta_pp", "p95_ms", "sample_n", "n_sources", "n_chunks", (enough & (F.round("delta_pp", EXACT) >= GATE_PP) & (F.col("p95_ms") < GATE_MS)).alias("passed"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import index_terms
+from stratum.sources.batches import by_row
 
 #: Words of the longest seed of a question, and tokens of a question.
 WIDEST, MOST_TOKENS = 5, 64
@@ -64,13 +65,13 @@ def notes_markdown(notes: DataFrame) -> DataFrame:
 def snippet(text: Column, start: Column, stop: Column) -> Column:
     """The bytes around a span, widened to whole sentences where near, and where the span stands in it."""
 
-    @F.pandas_udf("text string, mark_start int, mark_stop int")
-    def cut(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, i, j in zip(t, a, b):
-            if s is None or i is None or j is None or pd.isna(i) or pd.isna(j):
-                out.append((None, None, None))
-                continue
+    kind = pa.struct([("text", pa.string()), ("mark_start", pa.int32()), ("mark_stop", pa.int32())])
+
+    @F.arrow_udf("struct<text:string,mark_start:int,mark_stop:int>")
+    def cut(t: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        def one(s: str | None, i: int | None, j: int | None) -> tuple:
+            if s is None or i is None or j is None:
+                return None, None, None
             data = s.encode()
             edge = lambda k: next((x for x in range(min(max(0, int(k)), len(data)), -1, -1) if x == len(data) or data[x] & 0xC0 != 0x80), 0)
             i, j = edge(i), edge(max(i, j))
@@ -80,8 +81,9 @@ def snippet(text: Column, start: Column, stop: Column) -> Column:
             if hi < len(data) and (dot := data.find(b". ", j, hi)) >= 0:
                 hi = dot + 1
             hi = edge(min(hi, lo + LONGEST))
-            out.append((data[lo:hi].decode(), len(data[lo:i].decode()), len(data[lo : min(j, hi)].decode())))
-        return pd.DataFrame(out, columns=["text", "mark_start", "mark_stop"])
+            return data[lo:hi].decode(), len(data[lo:i].decode()), len(data[lo : min(j, hi)].decode())
+
+        return by_row((t, a, b), one, kind)
 
     return cut(text, start, stop)
 
@@ -93,8 +95,8 @@ _MARKS = re.compile(r'\\.|["{}\[\]]', re.S)
 def first_json(text: Column, opening: str = "{") -> Column:
     """The first balanced JSON object in a text, or array where ``opening`` is a bracket, aware of strings; null if there is none."""
 
-    @F.pandas_udf("string")
-    def find(t: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def find(t: pa.Array) -> pa.Array:
         def one(s: str | None) -> str | None:
             at = -1 if s is None else s.find(opening)
             if at < 0:
@@ -110,7 +112,7 @@ def first_json(text: Column, opening: str = "{") -> Column:
                         return s[at : m.end()]
             return None
 
-        return t.map(one)
+        return by_row((t,), one, pa.string())
 
     return find(text)
 

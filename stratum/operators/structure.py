@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import words
+from stratum.sources.batches import sliced
 
 PARENT, CHILD, OVERLAP = 512, 128, 16
 #: Levels of headings.
@@ -54,7 +55,7 @@ def packed(docs: DataFrame, size: int = PARENT, tolerance: int = 1) -> DataFrame
             yield held
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 at = byte = words_ = 0

@@ -52,8 +52,9 @@ def anchor_page(locator: Column) -> Column:
 def transcript_blocks(segments: DataFrame) -> DataFrame:
     """source_id, seg_no, text, byte_start, byte_end, start, end over (source_id, seg_no, start, end, text): where segments stand in the text that joins them by blank lines.
 
-    A source with a segment that has no times, or ends before it starts, gives none.
+    A source with a segment that has no times, or ends before it starts, gives none. A null text counts as empty.
     """
+    segments = segments.withColumn("text", F.coalesce("text", F.lit("")))
     ok = F.coalesce((F.col("start") >= 0) & (F.col("end") >= F.col("start")) & ~F.isnan("start") & ~F.isnan("end") & (F.col("end") < float("inf")), F.lit(False))
     of = Window.partitionBy("source_id")
     x = segments.withColumn("bad", F.max((~ok).cast("int")).over(of)).where("bad = 0").drop("bad")

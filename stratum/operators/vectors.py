@@ -20,8 +20,8 @@ MOST_CELLS = 4096
 
 
 def blocks(rows: DataFrame, key: str, ids: str, vectors: str, by: str | None = None) -> DataFrame:
-    """Vectors of (key, vector[, by]) packed where they lie into rows of up to BLOCK: ids, vectors[, by]; nothing shuffles."""
-    held = rows.where("vector is not null").select(*([by] if by else []), F.col(key).cast("long").alias("k"), F.col("vector").cast("array<double>").alias("vector"))
+    """Vectors of (key, vector[, by]) packed where they lie into rows of up to BLOCK: ids, vectors[, by]; nothing shuffles. Null and empty vectors, and those with null components, are left out."""
+    held = usable(rows).select(*([by] if by else []), F.col(key).cast("long").alias("k"), F.col("vector").cast("array<double>").alias("vector"))
     if by:
         held = held.where(F.col(by).isNotNull())
 
@@ -40,6 +40,17 @@ def blocks(rows: DataFrame, key: str, ids: str, vectors: str, by: str | None = N
     return held.mapInArrow(pack, f"{kind}{ids} array<bigint>, {vectors} array<array<double>>")
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows whose vector has components, none of them null."""
+    return rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull()))
+
+
+def _stacked(of: str, vectors) -> np.ndarray:
+    if len({len(v) for v in vectors}) > 1:
+        raise ValueError(f"{of} have different numbers of components: {sorted({len(v) for v in vectors})[:5]}")
+    return np.vstack(vectors).astype(np.float64)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, by: str | None = None) -> DataFrame:
     """query_id, chunk_id, score (cosine), rank0: the k nearest of every query.
 
@@ -47,7 +58,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, by: str | None = No
     into blocks where they lie, every block of vectors meets each of queries once,
     and leaves k rows a query; only those shuffle for the final ranking. Any
     filter on ``vectors`` comes before the top k. ``by`` names a column of both
-    that has to be equal, and not null; blocks then meet by it.
+    that has to be equal, and not null; blocks then meet by it. Null and empty vectors
+    and those with null components are nobody's neighbour and have none; vectors of
+    different lengths are an error.
     """
     rows, asked = blocks(vectors, "chunk_id", "ids", "xs", by), blocks(queries, "query_id", "qids", "qs", by)
     met = rows.join(asked, by) if by else rows.crossJoin(asked)
@@ -60,7 +73,9 @@ def _best(k: int):
     def best(frames):
         for f in frames:
             for ids, xs, qids, qs in zip(f["ids"], f["xs"], f["qids"], f["qs"]):
-                x, q = (unit(np.vstack(v).astype(np.float64)) for v in (xs, qs))
+                x, q = unit(_stacked("vectors", xs)), unit(_stacked("queries", qs))
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError(f"vectors have {x.shape[1]} components and queries {q.shape[1]}")
                 s = q @ x.T
                 ids = np.asarray(ids)
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, EXACT)), axis=1)[:, :k]
@@ -85,7 +100,7 @@ def ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None =
     vectors and queries meet by an equi-join on the cell. Without ``probe`` as many cells
     are searched as ``recall`` takes, measured against ``knn`` over all vectors.
     """
-    rows, queries = vectors.where("vector is not null"), queries.where("vector is not null")
+    rows, queries = usable(vectors), usable(queries)
     cells = cells or min(MOST_CELLS, max(1, int(rows.count() ** 0.5)))
     drawn = rows.orderBy(F.xxhash64("chunk_id")).limit(sample).select("vector").toPandas()
     if drawn.empty:

@@ -48,7 +48,7 @@ def edge_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def expand_neighbors_2hop(spark: SparkSession, d: str) -> DataFrame:
     seeds = load(spark, d, "supplier").select(F.col("s_suppkey").alias("seed"))
-    return graph.neighbours(_edges(spark, d), seeds)
+    return graph.neighbours(_edges(spark, d), seeds).withColumns({c: F.round(c, 6) for c in ("w", "conf")})
 
 
 def ppr_10iter(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,8 @@ def p95_latency(spark: SparkSession, d: str) -> DataFrame:
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
     kind = F.when(F.col("o_orderpriority").startswith("1"), "bridging").when(F.col("o_orderpriority").startswith("2"), "rollup").otherwise("single_hop")
-    return evaluate.gate(o.select(kind.alias("kind"), (F.col("o_orderkey") % 3 > 0).cast("double").alias("graph"), (F.col("o_orderkey") % 2).cast("double").alias("hybrid"), (F.col("o_totalprice") / 1000).alias("ms")), o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("chunk_id")))
+    told = evaluate.gate(o.select(kind.alias("kind"), (F.col("o_orderkey") % 3 > 0).cast("double").alias("graph"), (F.col("o_orderkey") % 2).cast("double").alias("hybrid"), (F.col("o_totalprice") / 1000).alias("ms")), o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("chunk_id")))
+    return told.withColumns({c: F.round(c, 6) for c in ("graph_recall", "hybrid_recall", "delta_pp")})
 
 
 def chat_history_pairs(spark: SparkSession, d: str) -> DataFrame:

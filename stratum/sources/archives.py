@@ -8,11 +8,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bounds of an archive's entries and inflated bytes.
-ENTRIES, INFLATED = 10_000, 256 << 20
+from stratum.sources.extract import rows
+
+#: Bounds of an archive's entries and inflated bytes, and columns of a sheet.
+ENTRIES, INFLATED, COLUMNS = 10_000, 256 << 20, 16_384
 
 Block = tuple[str, str, str, str]
 
@@ -115,22 +117,25 @@ def xlsx(data: bytes) -> Iterator[Block]:
     target = {_attr(e, "Id"): _attr(e, "Target") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     for sheet in (e for e in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"):
         name, path = _attr(sheet, "name"), target[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
-        rows = []
+        lines = []
         for r in (e for e in ET.fromstring(z.read(posixpath.normpath(posixpath.join("xl", path)).lstrip("/"))).iter() if local(e) == "row"):
             cells: dict[int, str] = {}
-            for c in r:
+            for c in (x for x in r if local(x) == "c"):
                 value = "".join(x.text or "" for x in c.iter() if local(x) in ("v", "t"))
                 if _attr(c, "t") == "s" and value:
                     value = strings[int(value)]
                 elif value.endswith(".0"):
                     value = value[:-2]
                 column = 0
-                for ch in "".join(x for x in _attr(c, "r") if x.isalpha()):
+                for ch in "".join(x for x in _attr(c, "r") if x.isalpha())[:4].upper():
                     column = column * 26 + ord(ch) - 64
+                column = column or max(cells, default=-1) + 2  # a cell may leave out its reference: it follows the one before
+                if column > COLUMNS:
+                    raise ValueError(f"sheet {name} has a cell beyond column {COLUMNS}")
                 cells[column - 1] = value
-            rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-        head = [h.strip() or f"Column {i + 1}" for i, h in enumerate(rows[0])] if rows else []
-        for n, row in enumerate(rows[1:], 1):
+            lines.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+        head = [h.strip() or f"Column {i + 1}" for i, h in enumerate(lines[0])] if lines else []
+        for n, row in enumerate(lines[1:], 1):
             yield "table", name, "; ".join(f"{h}: {c}" for h, c in zip(head, [*row, *[""] * len(head)])), f"/{name}/row[{n}]"
 
 
@@ -143,14 +148,10 @@ def blocks(files: DataFrame) -> DataFrame:
     ``content`` is what the binaryFile source reads. A file that can't be read gives one row with the error.
     """
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for source, kind, content in zip(f["source"], f["kind"], f["content"]):
-                try:
-                    out += [(source, kind, n, *b, None) for n, b in enumerate(READERS[kind](bytes(content)))]
-                except Exception as e:  # noqa: BLE001  one bad file must not stop the others
-                    out.append((source, kind, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=["source", "kind", "block_no", "block_type", "section_path", "text", "anchor", "error"])
-
-    return files.select("source", "kind", "content").mapInPandas(run, "source string, kind string, block_no int, block_type string, section_path string, text string, anchor string, error string")
+    def read(source: str, kind: str, content: bytes) -> list[tuple]:
+        try:
+            return [(source, kind, n, *b, None) for n, b in enumerate(READERS[kind](bytes(content)))]
+        except Exception as e:  # noqa: BLE001  one bad file must not stop the others
+            return [(source, kind, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+
+    return files.select("source", "kind", "content").mapInArrow(lambda batches: rows(batches, read, "source", pa.string()), "source string, kind string, block_no int, block_type string, section_path string, text string, anchor string, error string")

@@ -5,20 +5,24 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.sources.batches import sliced
+
 #: Bounds of nested values and arrays, and extensions by kind.
-DEPTH, ELEMENTS, COLLAPSED = 64, 10_000, 8192
+DEPTH, ELEMENTS, COLLAPSED, XML_DEPTH = 64, 10_000, 8192, 256
 KINDS = {
     "pdf": "pdf", "docx": "docx", "txt": "text", "md": "markdown", "markdown": "markdown", "mdx": "markdown", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "yaml": "yaml", "yml": "yaml", "xml": "xml", "rtf": "rtf",
     "odt": "odt", "epub": "epub", "xlsx": "xlsx", "xls": "xls", "csv": "csv", "html": "html", "htm": "html", "mp3": "audio", "m4a": "audio", "aac": "audio", "wav": "audio", "flac": "audio",
 }
 
-Block = tuple[str, str, str, str]  # type, section path, text, anchor
+Block = tuple[str, str, str, str]  # type, section path, text, anchor; a fifth value is what was left out there
 
 
 def kind_of(extension):
@@ -94,42 +98,72 @@ def _csv(raw: str) -> Iterator[Block]:
         yield "table", "", "; ".join(f"{h}: {c}" for h, c in zip(head, cells)), f"/row[{n}]"
 
 
-def _xml(raw: str) -> Iterator[Block]:
-    import xml.etree.ElementTree as ET
-
-    def walk(e, path: str, depth: int) -> Iterator[Block]:
-        if depth > DEPTH:
-            return
-        own = (e.text or "").strip()
-        if own or e.attrib:
-            yield "xml", path, "".join(f"@{k}={v} " for k, v in e.attrib.items()) + own, path
-        for c in e:
-            yield from walk(c, f"{path}/{c.tag}", depth + 1)
+def _xml(raw: str) -> Iterator[tuple]:
+    """One block an element with text or attributes, in document order, with all text that stands directly in it.
 
-    root = ET.fromstring(raw)
-    yield from walk(root, f"/{root.tag}", 0)
+    What is deeper than DEPTH is left out and named in an error row; a document
+    deeper than XML_DEPTH, or with a document type (whose entities could grow
+    without bound), is refused.
+    """
+    out: list[tuple | None] = []
+    open_: list[tuple[int, str, str, list[str]]] = []
+
+    def start(tag: str, attrs: dict[str, str]) -> None:
+        path = f"{open_[-1][1]}/{tag}" if open_ else f"/{tag}"
+        if len(open_) >= XML_DEPTH:
+            raise ValueError(f"nested deeper than {XML_DEPTH} elements")
+        if len(open_) == DEPTH + 1:
+            out.append(("xml", None, None, path, f"nested deeper than {DEPTH} elements, left out"))
+        open_.append((len(out), path, "".join(f"@{k}={v} " for k, v in attrs.items()), []))
+        out.append(None)
+
+    def end(_: str) -> None:
+        at, path, attrs, texts = open_.pop()
+        own = "".join(texts).strip()
+        if len(open_) <= DEPTH and (own or attrs):
+            out[at] = ("xml", path, attrs + own, path)
+
+    def refuse(*_) -> None:
+        raise ValueError("a document type is not read")
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = start, end, refuse
+    parser.CharacterDataHandler = lambda text: open_[-1][3].append(text) if len(open_) <= DEPTH + 1 else None
+    parser.Parse(re.sub(r"^\ufeff?\s*<\?xml[^>]*\?>", "", raw), True)  # the text is decoded already
+    yield from (x for x in out if x is not None)
 
 
 def _text(raw: str) -> Iterator[Block]:
-    at = 0
-    import re
-
     for m in re.finditer(r"(?:[^\n]*\S[^\n]*(?:\n|$))+", raw):
         text = m[0].strip()
         at = len(raw[: m.start()].encode()) + len(m[0][: m[0].index(text)].encode())
         yield "paragraph", "", text, f"{at}:{at + len(text.encode())}"
 
 
+_QUOTE, _RULE = re.compile(r"^(?: {0,3}> ?)+"), re.compile(r" {0,3}(?:(?:\* *){3,}|(?:- *){3,}|(?:_ *){3,})$")
+#: What ends a paragraph or list item, at the start of a line.
+_BREAK = r" {0,3}(?:#{1,6}\s|```|~~~|</?[A-Za-z])"
+
+
 def _markdown(raw: str) -> Iterator[Block]:
-    """Headings, paragraphs, fenced code, list items, tables and html blocks, with the trail of headings."""
-    import re
+    """Headings, paragraphs, fenced code, list items, tables and html blocks, with the trail of headings.
 
+    Quote marks are taken off, rules between sections are no blocks, and lines that
+    go on with a list item belong to it.
+    """
     trail: list[str | None] = [None] * 6
     path = lambda: " > ".join(t for t in trail if t)
     lines, i = raw.split("\n"), 0
+    fence = None
+    for n, line in enumerate(lines):  # code keeps what looks like a quote
+        if fence is None:
+            lines[n] = line = _QUOTE.sub("", line)
+        if m := re.match(r" {0,3}(```+|~~~+)", line):
+            fence = m[1] if fence is None else None if line.strip().startswith(fence) else fence
     while i < len(lines):
         line = lines[i]
-        if not line.strip():
+        if not line.strip() or _RULE.match(line):
             i += 1
         elif m := re.match(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line):
             level = len(m[1])
@@ -145,16 +179,19 @@ def _markdown(raw: str) -> Iterator[Block]:
             yield "table", path(), "\n".join(lines[i:stop]), str(i)
             i = stop
         elif m := re.match(r"\s*(?:[-*+]|\d+[.)])[ \t]+(.*)$", line):
-            if m[1].strip():
-                yield "list_item", path(), m[1].strip(), str(i)
-            i += 1
+            stop = i + 1
+            while stop < len(lines) and lines[stop].strip() and not _RULE.match(lines[stop]) and not re.match(r"\s*(?:[-*+]|\d+[.)])[ \t]|" + _BREAK, lines[stop]):
+                stop += 1
+            if item := "\n".join(x for x in (m[1].strip(), *(y.strip() for y in lines[i + 1 : stop])) if x):
+                yield "list_item", path(), item, str(i)
+            i = stop
         elif re.match(r" {0,3}<(?:[A-Za-z/!?])", line):
             stop = next((j for j in range(i, len(lines)) if not lines[j].strip()), len(lines))
             yield "html", path(), "\n".join(lines[i:stop]), str(i)
             i = stop
         else:
             stop, under = i + 1, None
-            while stop < len(lines) and lines[stop].strip() and not re.match(r" {0,3}(?:#{1,6}\s|```|~~~|[-*+]\s|\d+[.)]\s|</?[A-Za-z])", lines[stop]):
+            while stop < len(lines) and lines[stop].strip() and not re.match(r" {0,3}(?:[-*+]|\d+[.)])\s|" + _BREAK, lines[stop]) and not (_RULE.match(lines[stop]) and not re.match(r" {0,3}-+\s*$", lines[stop])):
                 under = re.match(r" {0,3}(=+|-+)\s*$", lines[stop])
                 stop += 1
                 if under:
@@ -212,18 +249,75 @@ def _html(raw: str) -> Iterator[Block]:
     yield from page.blocks
 
 
-def _rtf(raw: str) -> Iterator[Block]:
-    import re
+#: Groups that hold no text of the document, and code pages by the number that a file gives.
+_RTF_SKIP = frozenset("fonttbl colortbl stylesheet info pict object themedata datastore generator listtable listoverridetable rsidtbl xmlnstbl latentstyles fldinst header footer headerl headerr footerl footerr".split())
+_RTF_SIGNS = {"par": "\n", "line": "\n", "row": "\n", "sect": "\n", "page": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "~": " ", "_": "-", "-": "", "\\": "\\", "{": "{", "}": "}", "\n": "\n", "\r": "\n"}
+_RTF = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z'])|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.I)
 
-    text = re.sub(r"\\u(-?\d+) ?\??", lambda m: chr(int(m[1]) % 65536), raw)
-    text = re.sub(r"\{\\(?:fonttbl|colortbl|stylesheet|info)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", text)
-    text = re.sub(r"\\par(?![a-z])", "\n", text)
-    text = re.sub(r"\\[a-z]+-?\d* ?|[{}]", "", text)
-    for n, line in enumerate(x.strip() for x in text.split("\n")):
+
+def _rtf(raw: str) -> Iterator[Block]:
+    """Paragraphs of the text: escapes by the code page of the file, characters by number with surrogates joined, no groups of settings."""
+    page, out, stack, skip, after, hexes = "cp1252", [], [], False, 1, bytearray()
+    units: list[int] = []
+    drop = 0
+
+    def flush() -> None:
+        if hexes:
+            out.append(hexes.decode(page, "replace"))
+            hexes.clear()
+        if units:
+            out.append(b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "replace"))
+            units.clear()
+
+    for m in _RTF.finditer(raw):
+        word, number, byte, sign, brace, plain = m.groups()
+        if not byte and hexes or not (word == "u" and number) and units and not drop:
+            flush()
+        if brace == "{":
+            stack.append((skip, after))
+        elif brace == "}":
+            flush()
+            skip, after = stack.pop() if stack else (False, 1)
+            drop = 0
+        elif word and word in _RTF_SKIP or sign == "*":
+            skip = True
+        elif word == "ansicpg" and number:
+            page = f"cp{number}" if _known(f"cp{number}") else page
+        elif word == "uc" and number:
+            after = max(0, int(number[:4]))
+        elif skip:
+            continue
+        elif word == "u" and number:
+            units.append(int(number[:7]) % 65536)
+            drop = after  # what stands in for the character where a reader doesn't know it
+        elif byte:
+            if drop:
+                drop -= 1
+            else:
+                hexes.append(int(byte, 16))
+        elif word or sign:
+            out.append(_RTF_SIGNS.get(word or sign, ""))
+            drop = 0
+        elif plain:
+            out_plain, drop = plain[drop:], max(0, drop - len(plain))
+            if out_plain:
+                flush()
+                out.append(out_plain)
+    flush()
+    for n, line in enumerate(x.strip() for x in "".join(out).split("\n")):
         if line:
             yield "paragraph", "", line, str(n)
 
 
+def _known(page: str) -> bool:
+    import codecs
+
+    try:
+        return bool(codecs.lookup(page))
+    except LookupError:
+        return False
+
+
 EXTRACTORS: dict[str, Callable[[str], Iterator[Block]]] = {"text": _text, "markdown": _markdown, "json": _json, "jsonl": _jsonl, "yaml": _yaml, "csv": _csv, "xml": _xml, "html": _html, "rtf": _rtf}
 
 
@@ -234,20 +328,23 @@ def blocks(raw: DataFrame) -> DataFrame:
     error; null counts as empty and gives none.
     """
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for sid, kind, text in zip(f["source_id"], f["kind"], f["raw"]):
-                try:
-                    if text is None:
-                        continue
-                    for n, b in enumerate(EXTRACTORS[kind](text)):
-                        out.append((sid, kind, n, *b, None))
-                except Exception as e:  # noqa: BLE001  one bad source must not stop the others
-                    out.append((sid, kind, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=["source_id", "kind", "block_no", "block_type", "section_path", "text", "anchor", "error"])
-
-    return raw.select("source_id", "kind", "raw").mapInPandas(run, "source_id bigint, kind string, block_no int, block_type string, section_path string, text string, anchor string, error string")
+    def read(source: int, kind: str, text: str | None) -> list[tuple]:
+        try:
+            found = [] if text is None else EXTRACTORS[kind](text)
+            return [(source, kind, n, *b[:4], b[4] if len(b) > 4 else None) for n, b in enumerate(found)]
+        except Exception as e:  # noqa: BLE001  one bad source must not stop the others
+            return [(source, kind, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+
+    return raw.select(F.col("source_id").cast("long").alias("source_id"), "kind", "raw").mapInArrow(lambda batches: rows(batches, read, "source_id", pa.int64()), "source_id bigint, kind string, block_no int, block_type string, section_path string, text string, anchor string, error string")
+
+
+def rows(batches: Iterator[pa.RecordBatch], read: Callable, key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The blocks that ``read`` makes of each source, a bounded slice of sources at a time."""
+    shape = [(key, kind), ("kind", pa.string()), ("block_no", pa.int32()), *((c, pa.string()) for c in ("block_type", "section_path", "text", "anchor", "error"))]
+    for part in sliced(batches):
+        found = [b for row in zip(*(c.to_pylist() for c in part.columns)) for b in read(*row)]
+        columns = list(zip(*found)) if found else [()] * len(shape)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, shape)], names=[n for n, _ in shape])
 
 
 def json_leaves(raw: DataFrame) -> DataFrame:
