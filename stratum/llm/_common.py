@@ -2,60 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.sources.staging import shared_dir, stage  # noqa: F401  for the operators here
+from stratum.sources.batches import map_batches, sliced, slices  # noqa: F401  for the operators here
+from stratum.sources.staging import shared_dir, stage  # noqa: F401
 from stratum.sources.tables import spread
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows and bytes of strings that a worker turns into Python objects at a time; one longer text goes alone.
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of bounded rows and bytes, without copying; the session's own bounds on batches stay as they are."""
-    lengths = np.zeros(batch.num_rows, np.int64)
-    for c in batch.columns:
-        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
-            lengths += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
-    ends, at = np.cumsum(lengths), 0
-    while at < batch.num_rows:
-        before = int(ends[at - 1]) if at else 0
-        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
-        yield batch.slice(at, stop - at)
-        at = stop
-    if not batch.num_rows:
-        yield batch
-
-
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from slices(batch)
-
-
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function that ``make`` builds once in each task, over batches of bounded rows and bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for batch in sliced(batches):
-            yield f(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def fold(key: Column) -> Column:
     """crc32 of the id as text, modulo 4; remainder 2 is held out from learning."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 4
