@@ -53,5 +53,5 @@ def merged_evidence(lists: dict[str, DataFrame]) -> DataFrame:
     """chunk_id, conf, place over (query_id, chunk_id, conf, ord) lists: best confidence first, then first seen."""
     rows = reduce(DataFrame.unionByName, [r.select("query_id", "chunk_id", "conf", (F.lit(i * 1_000_000) + F.col("ord")).alias("seen")) for i, r in enumerate(lists.values())])
     best = rows.groupBy("query_id", "chunk_id").agg(F.max("conf").alias("conf"), F.min("seen").alias("seen"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("conf"), "seen", "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("conf", EXACT)), "seen", "chunk_id")
     return best.withColumn("place", F.row_number().over(w) - 1).drop("seen")

@@ -35,13 +35,17 @@ def detect(names: DataFrame, chunks: DataFrame) -> DataFrame:
     return spans(chunks, "chunk_id", widths).join(grams, "gram").select("node_id", "chunk_id", "start", "width")
 
 
-def seeds(names: DataFrame, questions: DataFrame) -> DataFrame:
+def seeds(names: DataFrame, questions: DataFrame, by: str | None = None) -> DataFrame:
     """query_id, node_id, start, width: names in a question, longest first; a word belongs to one of them.
 
     At most 64 tokens of a question count, so what is folded for it is bounded.
+    ``by`` names a column of both: a question's names are then those of its own.
     """
-    n = names.select("node_id", F.array_join(index_terms(F.col("name")), " ").alias("gram")).where("gram != ''")
-    hits = spans(questions, "query_id", [*range(1, WIDEST + 1)], MOST_TOKENS).join(n, "gram").groupBy("query_id", "start", "width").agg(F.min("node_id").alias("node_id"))
+    own = [by] if by else []
+    n = names.select("node_id", *own, F.array_join(index_terms(F.col("name")), " ").alias("gram")).where("gram != ''")
+    said = spans(questions, "query_id", [*range(1, WIDEST + 1)], MOST_TOKENS)
+    said = said.join(questions.select("query_id", by), "query_id") if by else said
+    hits = said.join(n, ["gram", *own]).groupBy("query_id", "start", "width").agg(F.min("node_id").alias("node_id"))
     ordered = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("width")).alias("w"), "start", "node_id"))).alias("hits"))
     none = F.array().cast("array<struct<w:int,start:int,node_id:bigint>>")
     clash = lambda x, y: (x["start"] < y["start"] - y["w"]) & (y["start"] < x["start"] - x["w"])

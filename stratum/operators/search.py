@@ -3,16 +3,20 @@
 Everything is keyed by the query, so one job answers many. A corpus is given as
 
 * ``sources``: notebook_id, source_id, tokens (null where not counted) of the live ones,
-* ``chunks``: notebook_id, source_id, chunk_id, parent_id (null for parents), level, token_start, n_tokens, byte_start, byte_end, text of their parents and children,
+* ``chunks``: notebook_id, source_id, chunk_id, parent_id (null for parents), level, token_start, n_tokens, byte_start, byte_end, text of their parents and children, and tokens, estimated where the column isn't there,
 * ``sections``: source_id, level, title, start, end,
 * ``vectors``: chunk_id, vector,
+* ``index``: a kept index of the chunks, where there is one,
 
 and queries as query_id, notebook_id, text, vector. Null texts name no part and
 match nothing; queries of notebooks without live sources get no units.
+
+Units are chosen over ids, places and tokens; texts are fetched for what was chosen.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,13 +25,14 @@ from pyspark.sql import functions as F
 
 from stratum.functions.text import NOT_WORD, estimated_tokens, structural_target
 from stratum.operators import fusion, lexical, router, vectors
+from stratum.operators.kept import KeptIndex
 from stratum.sources.staging import stage
 
 #: Confidence that a chunk of the graph needs.
 LEAST_CONFIDENCE = 0.1
 #: Words of a title that a named part goes by.
 TITLES = {"chapter": ["chapter"], "ch": ["chapter"], "section": ["section"], "part": ["part"], "introduction": ["introduction", "intro"], "intro": ["introduction", "intro"], "conclusion": ["conclusion"]}
-UNIT = ("query_id", "tier", "chunk_id", "source_id", "parent_id", "label", "graph_confidence", "level", "token_start", "tokens", "text")
+UNIT = ("query_id", "tier", "chunk_id", "source_id", "parent_id", "label", "graph_confidence", "level", "token_start", "tokens")
 
 
 @dataclass(frozen=True)
@@ -36,6 +41,7 @@ class Corpus:
     chunks: DataFrame
     sections: DataFrame
     vectors: DataFrame
+    index: KeptIndex | None = None
 
 
 def live_order(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -70,8 +76,14 @@ def picked_sections(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     return x.withColumn("nth", F.row_number().over(of.orderBy("start"))).where(F.col("nth") == F.coalesce("n", F.lit(1))).select("query_id", "source_id", "start", "end")
 
 
-def _parents(chunks: DataFrame) -> DataFrame:
-    return chunks.where("level = 0").withColumn("tokens", estimated_tokens(F.col("text")))
+def measured(chunks: DataFrame) -> DataFrame:
+    """Chunks without their texts, with their tokens."""
+    return (chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", estimated_tokens(F.col("text")))).drop("text")
+
+
+def with_text(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Units with the texts of their chunks."""
+    return units.join(chunks.select("chunk_id", "text"), "chunk_id")
 
 
 def _unit(rows: DataFrame, tier: int) -> DataFrame:
@@ -80,33 +92,45 @@ def _unit(rows: DataFrame, tier: int) -> DataFrame:
     return rows.withColumns(new).select(*UNIT)
 
 
+def _named_units(queries: DataFrame, corpus: Corpus, meta: DataFrame, cap: int) -> DataFrame:
+    wanted = stage(targets(queries))
+    owned = corpus.sections.join(corpus.sources.join(wanted.select("notebook_id").distinct(), "notebook_id", "left_semi").select("notebook_id", "source_id"), "source_id")
+    spans = picked_sections(wanted, owned)
+    inside = meta.where("level = 0").join(spans, "source_id").where("(byte_start + byte_end) div 2 >= start and (byte_start + byte_end) div 2 < end")
+    return _unit(router.budget_cut(inside, cap, "query_id", ["source_id", "byte_start"]), 0)
+
+
 def tier0_units(queries: DataFrame, corpus: Corpus, cap: int) -> DataFrame:
     """Parents whose midpoint lies in the part that a query names, in document order, up to the cap."""
-    owned = corpus.sections.join(corpus.sources.select("notebook_id", "source_id"), "source_id")
-    spans = picked_sections(targets(queries), owned)
-    inside = _parents(corpus.chunks).join(spans, "source_id").where("(byte_start + byte_end) div 2 >= start and (byte_start + byte_end) div 2 < end")
-    return _unit(router.budget_cut(inside, cap, "query_id", ["source_id", "byte_start"]), 0)
+    return with_text(_named_units(queries, corpus, measured(corpus.chunks), cap), corpus.chunks)
 
 
-def whole_corpora(corpus: Corpus, cap: int) -> DataFrame:
+def whole_corpora(corpus: Corpus, cap: int, meta: DataFrame | None = None) -> DataFrame:
     """notebook_id, total_tokens, fits: whether all live sources go in whole.
 
     Sources without a count are estimated from their parents. A sum near the cap is
     counted again, by the parents' own words.
     """
-    parents = _parents(corpus.chunks).groupBy("source_id").agg(F.sum("tokens").alias("estimate"), F.sum("n_tokens").alias("exact"))
+    meta = measured(corpus.chunks) if meta is None else meta
+    parents = meta.where("level = 0").groupBy("source_id").agg(F.sum("tokens").alias("estimate"), F.sum("n_tokens").alias("exact"))
     s = corpus.sources.join(parents, "source_id", "left").withColumn("count", F.coalesce(F.when(F.col("tokens") >= 0, F.col("tokens")), "estimate", F.lit(0)))
     totals = s.groupBy("notebook_id").agg(F.sum("count").alias("total_tokens"), F.sum(F.coalesce("exact", F.lit(0))).alias("exact"), F.max(F.coalesce((F.col("tokens") > cap).cast("int"), F.lit(0))).alias("oversized"))
     near = F.abs(F.col("total_tokens") - cap) <= router.MARGIN
     return totals.select("notebook_id", "total_tokens", ((F.col("total_tokens") <= cap) & (F.col("oversized") == 0) & (~near | (F.col("exact") <= cap))).alias("fits"))
 
 
-def tier1_units(queries: DataFrame, corpus: Corpus, cap: int) -> DataFrame:
-    """All parents of the queries' notebooks, in document order, up to the cap. Notebooks are cut before queries multiply them."""
-    kept = router.budget_cut(_parents(corpus.chunks), cap, "notebook_id", ["source_id", "level", "token_start"])
+def _whole_units(queries: DataFrame, meta: DataFrame, cap: int) -> DataFrame:
+    """Notebooks are cut before queries multiply them, and only those that a query is for."""
+    own = meta.where("level = 0").join(queries.select("notebook_id").distinct(), "notebook_id", "left_semi")
+    kept = router.budget_cut(own, cap, "notebook_id", ["source_id", "level", "token_start"])
     return _unit(kept.join(queries.select("query_id", "notebook_id"), "notebook_id"), 1)
 
 
+def tier1_units(queries: DataFrame, corpus: Corpus, cap: int) -> DataFrame:
+    """All parents of the queries' notebooks, in document order, up to the cap."""
+    return with_text(_whole_units(queries, measured(corpus.chunks), cap), corpus.chunks)
+
+
 def merged_label(of: str = "label") -> list:
     """Aggregates of the children's labels: the label of what they merge into, and its confidence."""
     has = lambda *names: F.max(F.col(of).isin(*names).cast("int")) == 1
@@ -115,22 +139,25 @@ def merged_label(of: str = "label") -> list:
     return [F.when(graph.isNotNull(), "Graph").when(dense & words, "Both").when(words, "Bm25").otherwise("Dense").alias("label"), graph.alias("graph_confidence")]
 
 
+def _merged_units(hits: DataFrame, meta: DataFrame, cap: int) -> DataFrame:
+    found = stage(hits.join(meta, "chunk_id"))
+    fed = found.where("parent_id is not null").groupBy("query_id", "parent_id").agg(F.count(F.lit(1)).alias("got"), F.max("score").alias("score"), *merged_label())
+    total = meta.join(fed.select("parent_id").distinct(), "parent_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("total"))
+    merging = stage(fed.join(total, "parent_id").where("got * 2 >= total").select("query_id", "parent_id", "score", "label", "graph_confidence"))
+    parents = meta.select("chunk_id", "source_id", "level", "token_start", "tokens")
+    merged = merging.join(parents, F.col("parent_id") == F.col("chunk_id"))
+    rest = found.join(merging.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
+    units = rest.withColumn("tier", F.lit(2)).select(*UNIT, "score").unionByName(merged.withColumn("tier", F.lit(2)).select(*UNIT, "score"))
+    return router.budget_cut(units, cap, "query_id", [F.desc(F.round("score", lexical.EXACT)), "source_id", "level", "token_start", "chunk_id", "parent_id"]).select(*UNIT)
+
+
 def tier2_units(hits: DataFrame, chunks: DataFrame, cap: int) -> DataFrame:
     """Units from fused hits (query_id, chunk_id, score, label, graph_confidence).
 
     Hits without a chunk are gone. Half of a parent's children or more make way for
     the parent, at the best child's score; the best units within the cap stay.
     """
-    meta = chunks.withColumn("tokens", estimated_tokens(F.col("text")))
-    found = stage(hits.join(meta, "chunk_id"))
-    total = chunks.where("parent_id is not null").groupBy("parent_id").agg(F.count(F.lit(1)).alias("total"))
-    merging = found.where("parent_id is not null").groupBy("query_id", "parent_id").agg(F.count(F.lit(1)).alias("got"), F.max("score").alias("score"), *merged_label()).join(total, "parent_id").where("got * 2 >= total")
-    merging = stage(merging.select("query_id", "parent_id", "score", "label", "graph_confidence"))
-    parents = meta.select("chunk_id", "source_id", "level", "token_start", "tokens", "text")
-    merged = merging.join(parents, F.col("parent_id") == F.col("chunk_id"))
-    rest = found.join(merging.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
-    units = rest.withColumn("tier", F.lit(2)).select(*UNIT, "score").unionByName(merged.withColumn("tier", F.lit(2)).select(*UNIT, "score"))
-    return router.budget_cut(units, cap, "query_id", [F.desc(F.round("score", lexical.EXACT)), "source_id", "level", "token_start", "chunk_id", "parent_id"]).select(*UNIT)
+    return with_text(_merged_units(hits, measured(chunks), cap), chunks)
 
 
 def fused_hits(queries: DataFrame, corpus: Corpus, k: int, graph: DataFrame | None = None) -> DataFrame:
@@ -140,7 +167,7 @@ def fused_hits(queries: DataFrame, corpus: Corpus, k: int, graph: DataFrame | No
     """
     n, own = fusion.pool(k), corpus.chunks.select("chunk_id", "notebook_id")
     dense = vectors.knn(corpus.vectors.join(own, "chunk_id"), queries, n, by="notebook_id")
-    lists = {"dense": live_order(dense, own), "bm25": lexical.bm25(corpus.chunks, queries, scope=own, k=n, every=False)}
+    lists = {"dense": live_order(dense, own), "bm25": lexical.bm25(corpus.chunks, queries, scope=own, k=n, every=False, lists=corpus.index)}
     if graph is not None:
         graph = graph.where(F.col("conf") >= LEAST_CONFIDENCE)
         lists["graph"] = live_order(graph, own)
@@ -152,19 +179,23 @@ def fused_hits(queries: DataFrame, corpus: Corpus, k: int, graph: DataFrame | No
     return fused.select("query_id", "chunk_id", "score", "label", conf.alias("graph_confidence"))
 
 
-def tiered_search(queries: DataFrame, corpus: Corpus, context: int, k: int = 20, reserved: int = 0, graph: DataFrame | None = None) -> DataFrame:
+def tiered_search(queries: DataFrame, corpus: Corpus, context: int, k: int = 20, reserved: int = 0, graph: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, tier, order_index, chunk_id, source_id, parent_id, label, graph_confidence, tokens, text: what goes into each query's context.
 
     Tier 0 where the query names a part that some source has, tier 1 where the
-    notebook fits, else tier 2. Only queries that come to it pay for the search.
+    notebook fits, else tier 2. Only queries that come to it pay for the search:
+    ``graph``, the list of ``fused_hits``, may be a function that makes it for those.
     """
     cap1, cap2 = router.tier_caps(context, reserved)
-    first = stage(tier0_units(queries, corpus, cap2))
+    meta = stage(measured(corpus.chunks))
+    first = stage(_named_units(queries, corpus, meta, cap2))
     left = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    fits = whole_corpora(corpus, cap1)
+    fits = whole_corpora(corpus, cap1, meta)
     left = stage(left.join(fits.select("notebook_id", "fits"), "notebook_id"))
-    second = tier1_units(left.where("fits"), corpus, cap1)
-    third = tier2_units(fused_hits(left.where("not fits"), corpus, k, graph), corpus.chunks, cap2)
+    second = _whole_units(left.where("fits"), meta, cap1)
+    last = left.where("not fits")
+    third = _merged_units(fused_hits(last, corpus, k, graph(last) if callable(graph) else graph), meta, cap2)
     units = first.unionByName(second).unionByName(third)
     order = Window.partitionBy("query_id").orderBy("source_id", "level", "token_start", "chunk_id", "parent_id")
-    return units.withColumn("order_index", F.row_number().over(order) - 1).select("query_id", "tier", "order_index", "chunk_id", "source_id", "parent_id", "label", "graph_confidence", "tokens", "text")
+    units = units.withColumn("order_index", F.row_number().over(order) - 1)
+    return with_text(units, corpus.chunks).select("query_id", "tier", "order_index", "chunk_id", "source_id", "parent_id", "label", "graph_confidence", "tokens", "text")

@@ -64,14 +64,18 @@ def public_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (mention_detection, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
 
-#: CTEs that end in ``seeded`` (query_id, node_id, start, width) over ``n`` (node_id, gram) and ``q`` (query_id, text).
-SEEDED = rf"""qt AS (SELECT query_id, ({terms("text")})[1:64] AS t FROM q), qs AS (SELECT query_id, t, unnest(range(len(t))) AS start FROM qt), qg AS (SELECT query_id, start, unnest([1, 2, 3, 4, 5]) AS width, t FROM qs),
-qh AS (SELECT query_id, start, width, min(node_id) AS node_id FROM qg JOIN n ON gram = array_to_string(t[start + 1:start + width], ' ') WHERE start + width <= len(t) AND gram <> '' GROUP BY ALL),
+def seeded(own: str = "") -> str:
+    """CTEs that end in ``seeded`` (query_id, node_id, start, width) over ``n`` (node_id, gram) and ``q`` (query_id, text), which may have to agree on a column."""
+    return rf"""qt AS (SELECT query_id, ({terms("text")})[1:64] AS t FROM q), qs AS (SELECT query_id, t, unnest(range(len(t))) AS start FROM qt), qg AS (SELECT query_id, start, unnest([1, 2, 3, 4, 5]) AS width, t FROM qs),
+qh AS (SELECT qg.query_id, start, width, min(node_id) AS node_id FROM qg {f"JOIN q USING (query_id)" if own else ""} JOIN n ON gram = array_to_string(t[start + 1:start + width], ' ') {f"AND n.{own} = q.{own}" if own else ""} WHERE start + width <= len(t) AND gram <> '' GROUP BY ALL),
 qo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY width DESC, start) AS k FROM qh), fold AS (
     SELECT query_id, k, [{{'start': start, 'width': width, 'node_id': node_id}}] AS taken FROM qo WHERE k = 1
     UNION ALL SELECT o.query_id, o.k, CASE WHEN len(list_filter(taken, lambda y: o.start < y.start + y.width AND y.start < o.start + o.width)) > 0 THEN taken ELSE list_append(taken, {{'start': o.start, 'width': o.width, 'node_id': o.node_id}}) END
     FROM fold f JOIN qo o ON o.query_id = f.query_id AND o.k = f.k + 1
 ), seeded AS (SELECT query_id, x.node_id, CAST(x.start AS INTEGER) AS start, x.width FROM (SELECT query_id, unnest(taken) AS x FROM fold WHERE (query_id, k) IN (SELECT query_id, max(k) FROM fold GROUP BY query_id)))"""
+
+
+SEEDED = seeded()
 _SEED_NAMES = f"n AS (SELECT item_id AS node_id, array_to_string({terms("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")}, ' ') AS gram FROM benchmark)"
 
 ORACLES = {

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.operators import fusion, lexical, vectors
+from stratum.operators import fusion, kept, lexical, vectors
 from stratum.plans.common import PARENTS, SOURCES, VECTORS, bm25, knn, terms
-from stratum.sources.staging import stage
+from stratum.sources.staging import shared_dir, stage
 from stratum.sources.tables import live, load, sources
 
 
+#: What the queries of an application keep between them: indexes and tables in the shared folder.
+_KEPT: dict[tuple, object] = {}
+
+
+def remembered(spark: SparkSession, d: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds over the tables in ``d``, once an application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def shown(df: DataFrame) -> DataFrame:
     """Scores as they are reported and compared with SQL; operators rank by the whole ones."""
     return df.withColumns({c: F.round(c, 6) for c in ("score", "rerank_score") if c in df.columns})
@@ -30,6 +44,20 @@ def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
     return parents(sources(spark, d)).select((F.col("source_id") * 10_000 + F.col("parent_no")).alias("chunk_id"), "source_id", "text", "n_tokens", "token_start")
 
 
+def document_index(spark: SparkSession, d: str) -> kept.KeptIndex:
+    return remembered(spark, d, "documents", lambda: kept.create(spark, shared_dir(spark), document_chunks(spark, d)))
+
+
+def parent_index(spark: SparkSession, d: str) -> tuple[kept.KeptIndex, DataFrame]:
+    """The index of the parents, and their ids by source."""
+
+    def make() -> tuple[kept.KeptIndex, DataFrame]:
+        chunks = stage(parent_chunks(spark, d))
+        return kept.create(spark, shared_dir(spark), chunks), chunks.select("chunk_id", "source_id")
+
+    return remembered(spark, d, "parents", make)
+
+
 def vector_rows(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("kind"))
 
@@ -44,13 +72,24 @@ def live_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = stage(parent_chunks(spark, d))
-    live_parents = chunks.select("chunk_id", "source_id").join(live(sources(spark, d)).select("source_id"), "source_id", "left_semi")
-    return shown(lexical.bm25(chunks, benchmark_queries(spark, d), scope=live_parents.select("chunk_id"), k=10))
+    index, chunks = parent_index(spark, d)
+    live_parents = chunks.join(live(sources(spark, d)).select("source_id"), "source_id", "left_semi")
+    return shown(lexical.bm25(chunks, benchmark_queries(spark, d), scope=live_parents.select("chunk_id"), k=10, lists=index))
 
 
 def bm25_any_topk(spark: SparkSession, d: str) -> DataFrame:
-    return shown(lexical.bm25(document_chunks(spark, d), benchmark_queries(spark, d), scope=live_ids(spark, d), k=10, every=False))
+    return shown(lexical.bm25(document_chunks(spark, d), benchmark_queries(spark, d), scope=live_ids(spark, d), k=10, every=False, lists=document_index(spark, d)))
+
+
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """An index of two thirds of the documents; then the others come in, every fifth changes to its second half, every seventh goes; and the search over what there is."""
+    chunks = document_chunks(spark, d)
+    n = F.col("chunk_id")
+    index = kept.create(spark, shared_dir(spark), chunks.where(n % 3 > 0))
+    index.change(chunks.where(n % 3 == 0), chunks.where(n % 7 == 0).select("chunk_id"))
+    half = F.expr("substring(text, length(text) div 2 + 1)")
+    index.change(chunks.where((n % 5 == 0) & (n % 7 > 0)).withColumn("text", half), chunks.where(n % 7 == 0).select("chunk_id"))
+    return shown(lexical.bm25(chunks, benchmark_queries(spark, d), k=10, every=False, lists=index))
 
 
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +113,7 @@ def item_vectors(spark: SparkSession, d: str) -> DataFrame:
 def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     scope, n = live_ids(spark, d), fusion.pool(10)
     dense = vectors.knn(vector_rows(spark, d).join(scope, "chunk_id", "left_semi"), item_vectors(spark, d), n)
-    return {"dense": dense, "bm25": lexical.bm25(document_chunks(spark, d), benchmark_queries(spark, d), scope=scope, k=n, every=False)}
+    return {"dense": dense, "bm25": lexical.bm25(document_chunks(spark, d), benchmark_queries(spark, d), scope=scope, k=n, every=False, lists=document_index(spark, d))}
 
 
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +140,7 @@ def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
     return fusion.merged_evidence({"evidence": a, "walk": b}).where("place < 20")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieval, bm25_topk, bm25_any_topk, knn_cosine_topk, knn_filtered_topk, knn_ivf_topk, hybrid_reranked, rrf_fuse3, evidence_merge)}
+QUERIES = {f.__name__: f for f in (hybrid_retrieval, bm25_topk, bm25_any_topk, index_upsert, knn_cosine_topk, knn_filtered_topk, knn_ivf_topk, hybrid_reranked, rrf_fuse3, evidence_merge)}
 
 _DOCS = "chunk_docs AS (SELECT source_id AS chunk_id, text FROM src), asks AS (SELECT item_id AS query_id, text FROM benchmark), scope AS (SELECT source_id AS chunk_id FROM alive)"
 _HYBRID = f"""WITH {SOURCES}, {_DOCS}, {bm25("chunk_docs", "asks", False, "scope", 50)}, {VECTORS},
@@ -117,6 +156,8 @@ ORACLES = {
     "bm25_topk": f"""WITH {SOURCES}, {PARENTS}, chunks AS (SELECT source_id * 10000 + parent_no AS chunk_id, source_id, text FROM parents),
 asks AS (SELECT item_id AS query_id, text FROM benchmark), scope AS (SELECT chunk_id FROM chunks JOIN alive USING (source_id)), {bm25("chunks", "asks", True, "scope", 10)} SELECT * FROM lexical""",
     "bm25_any_topk": f"""WITH {SOURCES}, {_DOCS}, {bm25("chunk_docs", "asks", False, "scope", 10)} SELECT * FROM lexical""",
+    "index_upsert": f"""WITH {SOURCES}, final AS (SELECT source_id AS chunk_id, CASE WHEN source_id % 5 = 0 THEN substr(text, length(text) // 2 + 1) ELSE text END AS text FROM src WHERE source_id % 7 > 0),
+asks AS (SELECT item_id AS query_id, text FROM benchmark), {bm25("final", "asks", False, None, 10)} SELECT * FROM lexical""",
     "knn_cosine_topk": f"WITH {VECTORS}, {knn('vecs', 'asked_vecs', 10)} SELECT * FROM dense",
     "knn_filtered_topk": f"WITH {SOURCES}, {VECTORS}, live_vecs AS (SELECT * FROM vecs WHERE chunk_id IN (SELECT source_id FROM alive)), {knn('live_vecs', 'asked_vecs', 10)} SELECT * FROM dense",
     "hybrid_retrieval": _HYBRID + " SELECT * FROM placed WHERE place < 10",

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import estimated_tokens
-from stratum.operators import router, search, structure
+from stratum.operators import kept, router, search, structure
 from stratum.plans.common import SOURCES, bm25, knn
 from stratum.plans.corpus import _BLOCKS, _TOKENS
-from stratum.sources.staging import stage
+from stratum.plans.retrieval import remembered
+from stratum.sources.staging import shared_dir, stage
 from stratum.sources.tables import live, load, sources
 
 #: A model's context in tokens, with which some notebooks of the tables go in whole and others don't.
@@ -21,6 +22,11 @@ def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> search.Corpus:
+    """The corpus of the documents and its index, kept between the queries of an application."""
+    return remembered(spark, d, "corpus", lambda: _corpus(spark, d))
+
+
+def _corpus(spark: SparkSession, d: str) -> search.Corpus:
     """Notebooks of documents; every third source has no token count; lines are headings of a level by their length, and a vector stands for a source's first child."""
     src = live(sources(spark, d))
     parents = stage(structure.packed(src))
@@ -30,13 +36,14 @@ def corpus(spark: SparkSession, d: str) -> search.Corpus:
     top = parents.select("source_id", parent_id.alias("chunk_id"), none.alias("parent_id"), F.lit(0).alias("level"), "token_start", "byte_start", "byte_end", "n_tokens", "text")
     kids = structure.children(parents).join(parents.select("source_id", "parent_no", F.col("token_start").alias("start")), ["source_id", "parent_no"])
     low = kids.select("source_id", (parent_id + F.col("child_no") + 1).alias("chunk_id"), parent_id.alias("parent_id"), F.lit(1).alias("level"), (F.col("start") + F.col("child_no") * (structure.CHILD - structure.OVERLAP)).alias("token_start"), none.alias("byte_start"), none.alias("byte_end"), "n_tokens", "text")
-    chunks = stage(top.unionByName(low).join(ids, "source_id"))
+    chunks = stage(top.unionByName(low).join(ids, "source_id").withColumn("tokens", estimated_tokens(F.col("text"))))
     blocks = structure.line_blocks(src)
     heads = blocks.select("source_id", F.col("block_no").alias("pos"), (F.length("text") % 3 + 1).cast("int").alias("level"), F.col("text").alias("title"), F.col("byte_start").alias("start"), F.max("byte_end").over(Window.partitionBy("source_id")).alias("doc_end"))
-    sections = structure.outline(heads).select("source_id", "level", "title", "start", "end")
+    sections = stage(structure.outline(heads).select("source_id", "level", "title", "start", "end"))
     counted = src.select("notebook_id", "source_id", F.when(F.col("source_id") % 3 > 0, estimated_tokens(F.col("text"))).alias("tokens"))
+    counted = stage(counted)
     vectors = load(spark, d, "embeddings").select((F.col("vec_id") * 1_000_000_000 + 1).alias("chunk_id"), F.col("embedding").alias("vector"))
-    return search.Corpus(counted, chunks, sections, vectors)
+    return search.Corpus(counted, chunks, sections, vectors, kept.create(spark, shared_dir(spark), chunks.select("chunk_id", "text")))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -148,21 +155,22 @@ def _tier1(cap: int, queries: str) -> str:
 )"""
 
 
-def _tier2(cap: int, queries: str) -> str:
-    """CTEs that end in ``tier2``."""
+def _tier2(cap: int, queries: str, graph: str = "") -> str:
+    """CTEs that end in ``tier2``; ``graph`` (query_id, chunk_id, conf, rank0) is a third list."""
+    third = f"UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank0) - 1, 2 FROM {graph} JOIN (SELECT query_id FROM {queries}) USING (query_id) WHERE conf >= 0.1" if graph else ""
     return f"""{bm25("chunks", queries, False, None, 50, own=True)}, vecs AS (
     SELECT chunk_id, notebook_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings JOIN chunks ON chunk_id = vec_id * 1000000000 + 1
 ), ask_vecs AS (
     SELECT query_id, notebook_id, CAST(embedding AS DOUBLE[]) AS vector FROM {queries} JOIN embeddings ON vec_id = query_id
 ), {knn("vecs", "ask_vecs", 50, own=True)}, ranked AS (
-    SELECT query_id, chunk_id, rank0, 0 AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank0, 1 AS list FROM lexical
+    SELECT query_id, chunk_id, rank0, 0 AS list FROM dense UNION ALL SELECT query_id, chunk_id, rank0, 1 AS list FROM lexical {third}
 ), fused AS (
-    SELECT query_id, chunk_id, sum(1 / (60 + rank0)) AS score, CASE WHEN count(DISTINCT list) = 2 THEN 'Both' WHEN max(list) = 0 THEN 'Dense' ELSE 'Bm25' END AS label, min(list * 1000000 + rank0) AS seen FROM ranked GROUP BY query_id, chunk_id
+    SELECT query_id, chunk_id, sum(1 / (60 + rank0)) AS score, CASE WHEN bool_or(list = 0) AND bool_or(list = 1) THEN 'Both' WHEN bool_or(list = 0) THEN 'Dense' WHEN bool_or(list = 1) THEN 'Bm25' ELSE 'Graph' END AS label, min(list * 1000000 + rank0) AS seen FROM ranked GROUP BY query_id, chunk_id
 ), hits AS (
     SELECT query_id, score, label, c.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS place FROM fused) f JOIN costed c USING (chunk_id) WHERE place <= 20
 ), totals_ AS (SELECT parent_id, count(*) AS total FROM chunks WHERE parent_id IS NOT NULL GROUP BY parent_id
 ), merging AS (
-    SELECT query_id, parent_id, max(score) AS score, CASE WHEN bool_or(label IN ('Dense', 'Both')) AND bool_or(label IN ('Bm25', 'Both')) THEN 'Both' WHEN bool_or(label IN ('Bm25', 'Both')) THEN 'Bm25' ELSE 'Dense' END AS label
+    SELECT query_id, parent_id, max(score) AS score, CASE WHEN bool_or(label = 'Graph') THEN 'Graph' WHEN bool_or(label IN ('Dense', 'Both')) AND bool_or(label IN ('Bm25', 'Both')) THEN 'Both' WHEN bool_or(label IN ('Bm25', 'Both')) THEN 'Bm25' ELSE 'Dense' END AS label
     FROM hits JOIN totals_ USING (parent_id) GROUP BY query_id, parent_id HAVING count(*) * 2 >= any_value(total)
 ), units AS (
     SELECT query_id, chunk_id, source_id, h.parent_id, h.label, level, token_start, tokens, text, h.score FROM hits h LEFT JOIN merging m USING (query_id, parent_id) WHERE m.query_id IS NULL
