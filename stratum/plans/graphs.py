@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratum.operators import fusion, graph, mentions, search
 from stratum.operators.graph_list import LEAST_COSINE, NEAREST, Graph, graph_list as listed
 from stratum.plans.common import terms
-from stratum.plans.extras import _names, seeded
+from stratum.plans.extras import seeded
 from stratum.plans.knowledge import _EDGES, _edges
 from stratum.plans.retrieval import remembered
 from stratum.plans.search import _CORPUS, _FITS, _UNITS, _shown, _tier0, _tier1, _tier2, CONTEXT, POOL, corpus, questions
@@ -20,7 +20,7 @@ ROUNDS = 10
 
 
 def entities(spark: SparkSession, d: str) -> Graph:
-    """Names of passages as entities of the notebooks whose chunks mention them.
+    """The second words of passages as names of entities, in the notebooks whose chunks mention them.
 
     Entities of a chunk are linked, and each with the next of its notebook by
     a relation of some confidence; an entity's vector is its passage's.
@@ -29,7 +29,7 @@ def entities(spark: SparkSession, d: str) -> Graph:
     def make() -> Graph:
         c = corpus(spark, d)
         chunks = c.chunks.where("level = 1").select("chunk_id", "notebook_id", "level", "token_start")
-        names = _names(spark, d).where("node_id % 3 > 0")
+        names = load(spark, d, "benchmark").where("item_id % 3 > 0").select(F.col("item_id").alias("node_id"), F.get(F.split("text", " "), F.lit(1)).alias("name"))
         found = mentions.detect(names, c.chunks.where("level = 1").select("chunk_id", "text")).select(F.col("node_id").alias("item_id"), "chunk_id").join(chunks.select("chunk_id", "notebook_id"), "chunk_id")
         said = stage(found.select("item_id", "notebook_id", "chunk_id", (F.col("item_id") * 100 + F.substring("notebook_id", 4, 9).cast("int")).alias("node_id")))
         nodes = said.select("notebook_id", "node_id", "item_id").distinct().join(names.withColumnRenamed("node_id", "item_id"), "item_id")
@@ -77,7 +77,7 @@ r0 AS MATERIALIZED (SELECT query_id, node_id, home AS score FROM home), {", ".jo
 
 
 _STOP = ", ".join(f"'{x}'" for x in mentions.STOP_WORDS)
-_NAME = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"
+_NAME = "split_part(text, ' ', 2)"
 #: CTEs that end in ``listed`` (query_id, chunk_id, conf, rank0), after the corpus.
 _LISTED = rf"""names AS (SELECT item_id, {_NAME} AS name, {terms(_NAME)} AS t FROM benchmark WHERE item_id % 3 > 0
 ), kt AS (SELECT chunk_id, notebook_id, {terms("text")} AS t FROM chunks WHERE level = 1), ks AS (SELECT chunk_id, notebook_id, t, unnest(range(len(t))) AS start FROM kt
@@ -105,9 +105,9 @@ claims AS (SELECT query_id, count(*) AS n_seeds, flatten(list(range(start, start
     SELECT query_id, logical_id, score / max(score) OVER (PARTITION BY query_id) AS conf, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, called, kind, logical_id) - 1 AS rank0
     FROM (SELECT r.* FROM r{ROUNDS} r ANTI JOIN chosen USING (query_id, node_id)) JOIN (SELECT DISTINCT logical_id, called, kind FROM logic) ON node_id = logical_id WHERE score > 0 QUALIFY rank0 < 50
 ), held AS (
-    SELECT logical_id, chunk_id, row_number() OVER (PARTITION BY logical_id ORDER BY count(*) DESC, any_value(token_start), chunk_id) - 1 AS at FROM said JOIN logic USING (node_id) JOIN chunks c USING (chunk_id) GROUP BY logical_id, chunk_id QUALIFY at < 50
+    SELECT logical_id, chunk_id, row_number() OVER (PARTITION BY logical_id ORDER BY count(*) DESC, any_value(token_start), chunk_id) - 1 AS spot FROM said JOIN logic USING (node_id) JOIN chunks c USING (chunk_id) GROUP BY logical_id, chunk_id QUALIFY spot < 50
 ), every_ AS (
-    SELECT query_id, chunk_id, 1.0::DOUBLE AS conf, nth * 50 + at AS seen FROM chosen JOIN held ON node_id = logical_id UNION ALL SELECT query_id, chunk_id, conf, 1000000 + rank0 * 50 + at FROM walked JOIN held USING (logical_id)
+    SELECT query_id, chunk_id, 1.0::DOUBLE AS conf, nth * 50 + spot AS seen FROM chosen JOIN held ON node_id = logical_id UNION ALL SELECT query_id, chunk_id, conf, 1000000 + rank0 * 50 + spot FROM walked JOIN held USING (logical_id)
 ), listed AS (
     SELECT query_id, chunk_id, max(conf) AS conf, row_number() OVER (PARTITION BY query_id ORDER BY round(max(conf), 12) DESC, min(seen), chunk_id) - 1 AS rank0 FROM every_ GROUP BY query_id, chunk_id QUALIFY rank0 < 50
 )"""
