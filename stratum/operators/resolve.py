@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions.text import normalized_name, pair_key
+from stratum.operators.components import components as stars
 from stratum.operators.vectors import knn
 from stratum.sources.staging import stage
 
 NEAREST, MERGE, SEPARATE, WRITE = 8, 0.90, 0.72, 0.88
+#: Edges of a group that a task spans whole, and of the groups that it takes at a time.
+MOST_EDGES, BUNDLE = 1_000_000, 200_000
 
 
 def exact_pairs(nodes: DataFrame) -> DataFrame:
@@ -25,19 +30,76 @@ def near_pairs(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> Data
     return knn(vectors, queries, k, by="kind").where("query_id != chunk_id").select("query_id", "chunk_id", "score", verdict.alias("verdict"))
 
 
-def components(pairs: DataFrame, most: int = 64) -> DataFrame:
-    """node, component: the least node reachable, by spreading least labels and jumping to the label of the label."""
-    both = stage(pairs.select("u", "v").union(pairs.select("v", "u")).where("u != v").distinct())
-    label = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")))
-    for _ in range(most):
-        near = both.join(label, both["v"] == label["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("other"))
-        least = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("other", "label")).alias("new"), F.col("label").alias("old"))
-        jump = least.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        now = stage(least.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("further", "new")).alias("label")))
-        label = now.select("node", "label")
-        if now.where("old != label").isEmpty():
-            return label.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components didn't settle")
+def components(pairs: DataFrame) -> DataFrame:
+    """node, component: the least node reachable, for every node of a pair (u, v)."""
+    found = stage(stars(pairs.select("u", "v")))
+    least = found.select(F.col("component").alias("node"), "component").distinct()
+    return found.unionByName(least)
+
+
+def _widest(edges: pd.DataFrame) -> pd.DataFrame:
+    """Over whole groups (component, u, v, confidence): the best edges that span them, then the least edge on the way from a group's least node to each other."""
+    ids, at = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    u, v = np.split(at, 2)
+    up, near = list(range(len(ids))), [[] for _ in ids]
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    conf = edges["confidence"].to_numpy(float)
+    for i in np.argsort(-conf, kind="stable"):
+        a, b = root(u[i]), root(v[i])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            near[u[i]].append((v[i], conf[i]))
+            near[v[i]].append((u[i], conf[i]))
+    out = np.full(len(ids), np.inf)
+    for start in range(len(ids)):
+        if root(start) == start:
+            found, todo = [], [(start, -1, np.inf)]
+            while todo:
+                node, before, least = todo.pop()
+                out[node] = least
+                found.append(least)
+                todo += [(n, node, min(least, c)) for n, c in near[node] if n != before]
+            out[start] = min(found)
+    of = dict(zip(edges["u"], edges["component"])) | dict(zip(edges["v"], edges["component"]))
+    return pd.DataFrame({"node": ids, "component": [of[n] for n in ids], "confidence": out})
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """As ``_widest`` by rounds of joins: each round what changed is passed on, until nothing does."""
+    both = stage(edges.select("component", "u", "v", "confidence").unionByName(edges.select("component", F.col("v").alias("u"), F.col("u").alias("v"), "confidence")))
+    known = stage(both.select("component").distinct().select(F.col("component").alias("node"), "component", F.lit(float("inf")).alias("confidence")))
+    new = known
+    while not new.isEmpty():
+        passed = new.select(F.col("node").alias("u"), F.col("confidence").alias("had")).join(both, "u").groupBy(F.col("v").alias("node"), "component").agg(F.max(F.least("had", "confidence")).alias("confidence"))
+        better = passed.join(known.select("node", F.col("confidence").alias("old")), "node", "left").where(F.col("old").isNull() | (F.col("confidence") > F.col("old")))
+        new = stage(better.select("node", "component", "confidence"))
+        known = stage(known.join(new.select("node"), "node", "left_anti").unionByName(new))
+    least = known.where("node != component").groupBy("component").agg(F.min("confidence").alias("least"))
+    return known.join(least, "component").select("node", "component", F.when(F.col("node") == F.col("component"), F.col("least")).otherwise(F.col("confidence")).alias("confidence"))
+
+
+def path_confidence(edges: DataFrame, groups: DataFrame, most: int = MOST_EDGES, bundle: int = BUNDLE) -> DataFrame:
+    """node, component, confidence over edges (u, v, confidence) and the components of their nodes.
+
+    A node is in its group as surely as the weakest edge on the best way from the
+    group's least node; the least node itself as surely as the least sure other.
+    Groups of up to ``most`` edges are spanned whole in a task, about ``bundle``
+    edges of many groups at a time; in larger ones confidence spreads by joins.
+    """
+    e = edges.where("u != v").groupBy("u", "v").agg(F.max("confidence").alias("confidence")).join(groups.select(F.col("node").alias("u"), "component"), "u")
+    e = stage(e.select("component", "u", "v", "confidence"))
+    large = stage(e.groupBy("component").count().where(F.col("count") > most).select("component"))
+    small = e.join(large, "component", "left_anti")
+    n = max(1, -(-e.count() // bundle))
+    id_ = e.schema["u"].dataType.simpleString()
+    out = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(n))).applyInPandas(_widest, f"node {id_}, component {id_}, confidence double")
+    return out if large.isEmpty() else out.unionByName(_spread(e.join(large, "component", "left_semi")))
 
 
 def canonical_names(groups: DataFrame) -> DataFrame:
@@ -64,8 +126,7 @@ def resolved(nodes: DataFrame, vectors: DataFrame, cache: DataFrame, version: st
 
     Equal normalised names of a kind and coreferences (u, v) are one for certain,
     near vectors of a kind by their cosine, those in between as the cache has it.
-    A group's confidence is the least of what unites it, a lower bound of every
-    path into it; groups under WRITE are left alone.
+    A node's confidence is that of its path into the group; nodes under WRITE are left alone.
     """
     sure = exact_pairs(nodes)
     sure = sure if coreferences is None else sure.unionByName(coreferences.select("u", "v"))
@@ -74,10 +135,10 @@ def resolved(nodes: DataFrame, vectors: DataFrame, cache: DataFrame, version: st
     name = lambda c, n: nodes.select(F.col("node_id").alias(c), F.lower("name").alias(n), F.col("kind").cast("string").alias(f"kind_{n}"))
     keyed = near.join(name("query_id", "a"), "query_id").join(name("chunk_id", "b"), "chunk_id").withColumn("key", pair_key(F.col("kind_a"), F.col("a"), F.col("b")))
     edges = stage(sure.withColumn("confidence", F.lit(1.0)).unionByName(decided(keyed, current_cache(cache, version))))
-    groups = components(edges)
-    least = edges.join(groups, F.col("u") == F.col("node")).groupBy("component").agg(F.min("confidence").alias("confidence")).where(F.col("confidence") >= WRITE)
+    groups = stage(components(edges))
+    sure_of = path_confidence(edges, groups).where(F.col("confidence") >= WRITE)
     named = canonical_names(groups.join(nodes, F.col("node") == F.col("node_id")).select("component", "name"))
-    return groups.join(least, "component").join(named, "component").select(F.col("node").alias("node_id"), "canonical", "confidence")
+    return sure_of.join(named, "component").select(F.col("node").alias("node_id"), "canonical", "confidence")
 
 
 def applied(nodes: DataFrame, updates: DataFrame, version: str) -> DataFrame:

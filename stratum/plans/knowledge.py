@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratum.operators import answer, enrich, evaluate, graph, lexical, resolve, router
 from stratum.plans.common import SOURCES, VECTORS, bm25, knn
 from stratum.plans.retrieval import benchmark_queries, document_chunks, document_index, shown, vector_queries, vector_rows
+from stratum.sources.staging import stage
 from stratum.sources.tables import entity_mentions, entity_nodes, load, sources
 from stratum.streaming import events
 
@@ -73,6 +74,14 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return resolve.components(edges.where("v is not null"))
 
 
+def group_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as a chain in order of time, linked as surely as the earlier one's cents say."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long") % 100 / 100
+    edges = load(spark, d, "orders").select(F.col("o_orderkey").alias("u"), F.lead("o_orderkey").over(w).alias("v"), cents.alias("confidence")).where("v is not null")
+    return resolve.path_confidence(edges, stage(resolve.components(edges)))
+
+
 def connected_components_orders(spark: SparkSession, d: str) -> DataFrame:
     """Over the links of all orders: every customer with its orders, under their own keys."""
     o = load(spark, d, "orders")
@@ -183,7 +192,7 @@ def json_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (entity_lookup_tiered, entity_lookup_prefix_first, entity_evidence, cooccurrence_edges, edge_blend, expand_neighbors_2hop, ppr_10iter, resolve_tier1, resolve_knn_band, connected_components, connected_components_orders, canonical_names, triple_validate, relation_sample, map_merge, recall_at_k, p95_latency, promotion_gate, chat_history_pairs, speaker_runs, dialogue_validate, citation_markers, citation_diag, prompt_assembly, document_order, event_tumbling, event_session, json_leaves)
+    for f in (entity_lookup_tiered, entity_lookup_prefix_first, entity_evidence, cooccurrence_edges, edge_blend, expand_neighbors_2hop, ppr_10iter, resolve_tier1, resolve_knn_band, connected_components, group_confidence, connected_components_orders, canonical_names, triple_validate, relation_sample, map_merge, recall_at_k, p95_latency, promotion_gate, chat_history_pairs, speaker_runs, dialogue_validate, citation_markers, citation_diag, prompt_assembly, document_order, event_tumbling, event_session, json_leaves)
 }
 
 _NODES = "nodes AS (SELECT s_suppkey AS node_id, lower(s_name) AS a, lower(n_name) AS b, n_name AS logical, n_regionkey AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey), counts AS (SELECT l_suppkey AS node_id, count(*) AS m FROM lineitem GROUP BY 1)"
@@ -228,6 +237,10 @@ SELECT seed, node_id, round(w, 6) AS w, round(w / max(w) OVER (PARTITION BY seed
 r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 12) DESC, chunk_id) <= 8)
 SELECT query_id, chunk_id, round(exact, 6) AS score, CASE WHEN exact >= 0.9 THEN 'merge' WHEN exact < 0.72 THEN 'separate' ELSE 'ask' END AS verdict FROM r WHERE query_id <> chunk_id""",
     "connected_components": "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1",
+    "group_confidence": """WITH o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) % 100 / 100 AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+s AS (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component, count(*) OVER (PARTITION BY o_custkey) AS n FROM o), a AS (SELECT s.*, x.k AS at FROM s JOIN o x ON x.o_orderkey = s.component WHERE n > 1),
+p AS (SELECT a.o_orderkey AS node, a.component, min(x.c) AS confidence FROM a JOIN o x ON x.o_custkey = a.o_custkey AND x.k >= least(a.k, a.at) AND x.k < greatest(a.k, a.at) GROUP BY ALL)
+SELECT * FROM p UNION ALL SELECT component, component, min(confidence) FROM p GROUP BY component""",
     "connected_components_orders": """WITH c AS (SELECT o_custkey, o_orderkey, least(o_custkey * 2, min(o_orderkey) OVER (PARTITION BY o_custkey) * 2 + 1) AS component FROM orders)
 SELECT DISTINCT o_custkey * 2 AS node, component FROM c UNION ALL SELECT o_orderkey * 2 + 1, component FROM c""",
     "canonical_names": "WITH n AS (SELECT p_brand AS component, p_name AS name, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_name) AS k FROM part) SELECT component, name AS canonical, n FROM n WHERE k = 1 AND n >= 2",

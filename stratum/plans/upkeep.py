@@ -302,7 +302,9 @@ near AS (SELECT q.node_id AS u, n.node_id AS v, q.low AS a, n.low AS b, list_inn
 top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(c, 12) DESC, v) <= 8),
 edges AS MATERIALIZED (SELECT * FROM sure WHERE u <> v UNION ALL SELECT u, v, c FROM top WHERE u <> v AND c >= 0.9 UNION ALL SELECT u, v, 0.95 FROM top WHERE u <> v AND c < 0.9 AND c >= 0.72 AND a <> b AND abs(length(a) - length(b)) % 4 = 0 AND abs(length(a) - length(b)) <> 8),
 ends AS MATERIALIZED (SELECT u, v FROM edges UNION SELECT v, u FROM edges), reach AS (SELECT u AS node, u AS c FROM ends UNION SELECT e.v, r.c FROM reach r JOIN ends e ON r.node = e.u),
-comp AS (SELECT node, min(c) AS component FROM reach GROUP BY node), conf AS (SELECT component, min(c) AS confidence FROM edges JOIN comp ON u = node GROUP BY component),
+comp AS MATERIALIZED (SELECT node, min(c) AS component FROM reach GROUP BY node), best_ AS MATERIALIZED (SELECT a, b, max(c) AS c FROM (SELECT u AS a, v AS b, c FROM edges UNION ALL SELECT v, u, c FROM edges) GROUP BY ALL),
+wide AS (SELECT DISTINCT component AS node, 2.0::DOUBLE AS c FROM comp UNION SELECT b, least(w.c, e.c) FROM wide w JOIN best_ e ON w.node = e.a),
+path AS (SELECT node, component, max(c) AS c FROM wide JOIN comp USING (node) GROUP BY ALL), conf AS (SELECT node, CASE WHEN node = component THEN min(CASE WHEN node <> component THEN c END) OVER (PARTITION BY component) ELSE c END AS confidence FROM path),
 best AS (SELECT component, name AS canonical FROM comp JOIN n ON node = node_id QUALIFY row_number() OVER (PARTITION BY component ORDER BY length(name) DESC, name) = 1)
-SELECT node_id, coalesce(canonical, '') AS canonical, round(coalesce(confidence, -1), 6) AS confidence, 'v1' AS prompt_version FROM n LEFT JOIN comp ON node = node_id LEFT JOIN conf USING (component) LEFT JOIN best USING (component)""",
+SELECT node_id, coalesce(canonical, '') AS canonical, round(coalesce(confidence, -1), 6) AS confidence, 'v1' AS prompt_version FROM n LEFT JOIN comp ON node = node_id LEFT JOIN conf USING (node) LEFT JOIN best USING (component)""",
 }
