@@ -1,39 +1,3 @@
-"""Connected components by alternating large and small stars.
+"""Connected components, as the library has them."""
 
-Each round every node points its larger, then its smaller neighbours to the
-least node it knows, as aggregates and joins only, until nothing changes. The
-number of rounds grows with the logarithm of the longest path. Rounds are cut
-by tables in the shared folder.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from stratum.llm._common import stage
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v). Large: neighbours over u go to u's least; small: those under u, and u."""
-    sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # as a table, so that the join below is of two plain exchanges, of which Spark can split a hub's
-    least = stage(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    joined = sides.join(least, "u")
-    out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """From (u, v), node and the least node it is linked with, for every node of an edge but the least ones themselves."""
-    now = stage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = None
-    for _ in range(most_rounds):
-        now = stage(_star(_star(now, True), False))
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == sign or not new[0]:
-            break
-        sign = new
-    else:
-        raise RuntimeError("components didn't settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+from stratum.operators.components import components  # noqa: F401  for the operators here

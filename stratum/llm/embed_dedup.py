@@ -174,5 +174,6 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES)
     merged = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(links, "node", "left").join(merged, "node", "left").select("v", (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     out = stage(rows.select("rid", "vec_id", "v").join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", -1 - F.col("rid")).alias("component")))
-    least = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    # as a table, so that the join is of two plain exchanges, of which Spark can split a hot component's
+    least = stage(out.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     return out.join(least, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
