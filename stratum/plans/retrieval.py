@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.operators import fusion, kept, lexical, vectors
+from stratum.operators import fusion, kept, lexical, quantised, vectors
 from stratum.plans.common import PARENTS, SOURCES, VECTORS, bm25, knn, terms
 from stratum.sources.staging import shared_dir, stage
 from stratum.sources.tables import live, load, sources
@@ -105,6 +105,21 @@ def knn_ivf_topk(spark: SparkSession, d: str) -> DataFrame:
     return shown(vectors.ivf(vector_rows(spark, d), vector_queries(spark, d), 10))
 
 
+def vector_index(spark: SparkSession, d: str) -> quantised.Index:
+    """The quantised index of the embeddings, built once an application."""
+
+    def make() -> quantised.Index:
+        root, none = shared_dir(spark), spark.createDataFrame([], "coordinate string, generation int, status string")
+        registry = quantised.build(vector_rows(spark, d), vector_queries(spark, d), root, "embeddings", none)
+        return quantised.opened(spark, registry, root, "embeddings")
+
+    return remembered(spark, d, "vectors", make)
+
+
+def knn_pq_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(quantised.search(vector_index(spark, d), vector_queries(spark, d), 10))
+
+
 def item_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d)
     return benchmark_queries(spark, d).join(v, F.col("query_id") == F.col("chunk_id")).select("query_id", "vector")
@@ -140,7 +155,7 @@ def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
     return fusion.merged_evidence({"evidence": a, "walk": b}).where("place < 20")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieval, bm25_topk, bm25_any_topk, index_upsert, knn_cosine_topk, knn_filtered_topk, knn_ivf_topk, hybrid_reranked, rrf_fuse3, evidence_merge)}
+QUERIES = {f.__name__: f for f in (hybrid_retrieval, bm25_topk, bm25_any_topk, index_upsert, knn_cosine_topk, knn_filtered_topk, knn_ivf_topk, knn_pq_topk, hybrid_reranked, rrf_fuse3, evidence_merge)}
 
 _DOCS = "chunk_docs AS (SELECT source_id AS chunk_id, text FROM src), asks AS (SELECT item_id AS query_id, text FROM benchmark), scope AS (SELECT source_id AS chunk_id FROM alive)"
 _HYBRID = f"""WITH {SOURCES}, {_DOCS}, {bm25("chunk_docs", "asks", False, "scope", 50)}, {VECTORS},
