@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import index_terms
+from stratum.operators.upkeep import is_prose
 from stratum.sources.batches import by_row
 
 #: Words of the longest seed of a question, and tokens of a question.
@@ -35,6 +36,49 @@ def detect(names: DataFrame, chunks: DataFrame) -> DataFrame:
     return spans(chunks, "chunk_id", widths).join(grams, "gram").select("node_id", "chunk_id", "start", "width")
 
 
+#: Runs of letters, marks and digits, and what stands between them.
+RUNS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+"
+
+
+def placed_words(rows: DataFrame, key: str) -> DataFrame:
+    """key, nth, word, start, stop: the words of (key, text) in lower case, and the code points of the text that they take."""
+    runs = rows.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(RUNS), F.lit(0))).alias("at", "run"))
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    x = runs.withColumn("stop", F.sum(F.length("run")).over(w)).where(F.col("run").rlike(r"^[\p{L}\p{M}\p{N}]"))
+    # words and what is between them take turns, so a word's number follows from its place
+    return x.select(key, F.expr("cast(at div 2 as int)").alias("nth"), F.lower("run").alias("word"), (F.col("stop") - F.length("run")).alias("start"), "stop")
+
+
+def mention_spans(names: DataFrame, chunks: DataFrame) -> DataFrame:
+    """node_id, chunk_id, start, stop, said: where names (node_id, name) stand in chunks (chunk_id, text), in code points, the stop left out.
+
+    A name stands where the text says it, signs and blanks between its words
+    included, whatever the case, and no letter or digit goes on before or after it. Occurrences of a name
+    don't overlap. Chunks with columns level and block_type are searched where
+    they are leaves of prose. Names meet chunks by an equi-join on their first word, the chunk's text is
+    cut only where they do. Names without a word are found nowhere.
+    """
+    if {"level", "block_type"} <= set(chunks.columns):
+        chunks = chunks.where(is_prose(F.col("block_type"), F.col("level")))
+    runs = F.regexp_extract_all("name", F.lit(RUNS), F.lit(0))
+    wordy = lambda x: x.rlike(r"^[\p{L}\p{M}\p{N}]")
+    n = names.select("node_id", F.lower("name").alias("lowered"), F.length("name").alias("size"), runs.alias("runs"))
+    n = n.select("node_id", "lowered", "size", F.when(wordy(F.get("runs", F.lit(0))), 0).otherwise(F.length(F.get("runs", F.lit(0)))).alias("before"), F.lower(F.get(F.filter("runs", wordy), F.lit(0))).alias("word")).where("word is not null")
+    met = placed_words(chunks, "chunk_id").join(n, "word").select("node_id", "chunk_id", "lowered", (F.col("start") - F.col("before")).alias("start"), "size").where("start >= 0")
+    cut = met.join(chunks.select("chunk_id", "text"), "chunk_id")
+    at = lambda a, size: F.substring("text", a.cast("int"), size)
+    said = at(F.col("start") + 1, F.col("size").cast("int"))
+    letter = lambda c: c.rlike(r"^[\p{L}\p{N}]$")
+    free = ~(F.when(F.col("start") > 0, letter(at(F.col("start"), F.lit(1)))).otherwise(False)) & ~letter(at(F.col("start") + F.col("size") + 1, F.lit(1)))
+    hits = cut.where((F.lower(said) == F.col("lowered")) & free).select("node_id", "chunk_id", "size", "start", said.alias("said"))
+    per = hits.groupBy("node_id", "chunk_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "said"))).alias("all"))
+    kind = "struct<end:bigint,kept:array<struct<start:bigint,said:string>>>"
+    none = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,said:string>>").alias("kept")).cast(kind)
+    step = lambda s, x: F.when(x["start"] >= s["end"], F.struct((x["start"] + F.col("size")).cast("long").alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s).cast(kind)
+    one = per.select("node_id", "chunk_id", "size", F.explode(F.aggregate("all", none, step)["kept"]).alias("m"))
+    return one.select("node_id", "chunk_id", "m.start", (F.col("m.start") + F.col("size")).alias("stop"), "m.said")
+
+
 def seeds(names: DataFrame, questions: DataFrame, by: str | None = None) -> DataFrame:
     """query_id, node_id, start, width: names in a question, longest first; a word belongs to one of them.
 

@@ -23,6 +23,14 @@ def mention_detection(spark: SparkSession, d: str) -> DataFrame:
     return mentions.detect(_names(spark, d), chunks)
 
 
+def mention_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Openings of passages, and their third words, in documents of which every fifth is code or a table."""
+    b = load(spark, d, "benchmark")
+    names = b.select(F.col("item_id").alias("node_id"), F.substring_index("text", " ", 2).alias("name")).unionByName(b.select((F.col("item_id") + 1_000_000).alias("node_id"), F.get(F.split("text", " "), F.lit(2)).alias("name")))
+    kind = F.when(F.col("source_id") % 10 == 0, "code").when(F.col("source_id") % 10 == 5, "table").otherwise("paragraph")
+    return mentions.mention_spans(names, sources(spark, d).select(F.col("source_id").alias("chunk_id"), "text", kind.alias("block_type"), F.lit(1).alias("level")))
+
+
 def question_seeds(spark: SparkSession, d: str) -> DataFrame:
     return mentions.seeds(_names(spark, d), load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
@@ -62,7 +70,7 @@ def public_pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", is_public(F.col("url")).alias("public"))
 
 
-QUERIES = {f.__name__: f for f in (mention_detection, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
+QUERIES = {f.__name__: f for f in (mention_detection, mention_spans, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
 
 def seeded(own: str = "") -> str:
     """CTEs that end in ``seeded`` (query_id, node_id, start, width) over ``n`` (node_id, gram) and ``q`` (query_id, text), which may have to agree on a column."""
@@ -82,6 +90,15 @@ ORACLES = {
     "public_pages": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '\.+$', '') AS host FROM pages)
 SELECT page_id, scheme IN ('http', 'https') AND host NOT IN ('', 'localhost') AND NOT regexp_matches(host, '\.(localhost|local|internal)$') AND NOT regexp_matches(host, '^(10|127|0|192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))\.[0-9.]+$') AS public FROM h""",
     "question_seeds": f"WITH RECURSIVE {_SEED_NAMES}, q AS (SELECT item_id AS query_id, text FROM benchmark), {SEEDED} SELECT * FROM seeded",
+    "mention_spans": rf"""WITH RECURSIVE {SOURCES}, n AS (SELECT item_id AS node_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name FROM benchmark UNION ALL SELECT item_id + 1000000, split_part(text, ' ', 3) FROM benchmark),
+c AS (SELECT source_id AS chunk_id, text, lower(text) AS low FROM src WHERE source_id % 5 <> 0), found AS (
+    SELECT node_id, lower(name) AS name, length(name) AS size, chunk_id, low, text, CAST(strpos(low, lower(name)) AS BIGINT) AS p, 0::BIGINT AS past FROM n JOIN c ON contains(low, lower(name)) WHERE regexp_matches(name, '[\p{{L}}\p{{M}}\p{{N}}]')
+), walk AS (
+    SELECT *, NOT regexp_matches(CASE WHEN p > 1 THEN substring(low, p - 1, 1) ELSE ' ' END, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substring(low, p + size, 1), '[\p{{L}}\p{{N}}]') AS free FROM found
+    UNION ALL
+    SELECT node_id, name, size, chunk_id, low, text, q AS p, past, NOT regexp_matches(CASE WHEN q > 1 THEN substring(low, q - 1, 1) ELSE ' ' END, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substring(low, q + size, 1), '[\p{{L}}\p{{N}}]')
+    FROM (SELECT node_id, name, size, chunk_id, low, text, past, (CASE WHEN free THEN p + size ELSE p + 1 END) - 1 + nullif(strpos(substring(low, CASE WHEN free THEN p + size ELSE p + 1 END), name), 0) AS q FROM walk) WHERE q IS NOT NULL
+) SELECT node_id, chunk_id, p - 1 AS start, p - 1 + size AS stop, substring(text, p, size) AS said FROM walk WHERE free""",
     "mention_detection": rf"""WITH {SOURCES}, n AS (SELECT item_id AS node_id, array_to_string({terms("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)")}, ' ') AS gram FROM benchmark),
 t AS (SELECT source_id AS chunk_id, {terms("text")} AS t FROM src), w AS (SELECT chunk_id, t, unnest(range(len(t))) AS start FROM t),
 g AS (SELECT chunk_id, start, unnest([1, 2, 3, 4, 5]) AS width, t FROM w), s AS (SELECT chunk_id, start, width, array_to_string(t[start + 1:start + width], ' ') AS gram FROM g WHERE start + width <= len(t))
