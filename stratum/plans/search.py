@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.text import estimated_tokens
-from stratum.operators import kept, router, search, structure
+from stratum.operators import kept, router, search, structure, tokens
 from stratum.plans.common import SOURCES, bm25, knn
 from stratum.plans.corpus import _BLOCKS, _TOKENS
 from stratum.plans.retrieval import remembered
@@ -21,6 +21,14 @@ def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return structure.packed(sources(spark, d))
 
 
+def packed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the documents packed by the tokens of a public vocabulary file."""
+    import public_tokenizers
+
+    s = sources(spark, d)
+    return tokens.packed_tokens(s, structure.line_blocks(s), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def corpus(spark: SparkSession, d: str) -> search.Corpus:
     """The corpus of the documents and its index, kept between the queries of an application."""
     return remembered(spark, d, "corpus", lambda: _corpus(spark, d))
@@ -84,7 +92,7 @@ def tiered_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.tiered_search(questions(spark, d), corpus(spark, d), CONTEXT, POOL))
 
 
-QUERIES = {f.__name__: f for f in (packed_chunks, tier0_units, tier1_units, tier2_units, tier_corpora, tiered_search)}
+QUERIES = {f.__name__: f for f in (packed_chunks, packed_tokens, tier0_units, tier1_units, tier2_units, tier_corpora, tiered_search)}
 
 #: CTEs that end in ``packed``: lines of up to 513 words taken in order, longer ones in runs of 513.
 _PACKED = r"""lines AS (
