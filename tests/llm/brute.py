@@ -80,3 +80,55 @@ def kneser_ney(counts, order, d):
             totals[c][h] += n
             kinds[c][h] += 1
     return lambda c, h, x: mixed(counts[c][h, x], totals[c][h], kinds[c][h], lower(h[1:], x)), letters
+
+
+def lines_kept(docs, near_chars):
+    """doc_id -> text with the lines gone that equal, or are an edit from, an earlier line."""
+    first, order = {}, []
+    for d in sorted(docs):
+        for n, line in enumerate((docs[d] or "").split("\n")):
+            s = line.strip(" ")
+            if s and s not in first:
+                first[s] = (d, n)
+                order.append(s)
+
+    def edit(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        i = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+        return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+    near = {b for j, b in enumerate(order) if len(b) >= near_chars for a in order[:j] if len(a) >= near_chars and edit(a, b)}
+    return {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x.strip(" ")] == (d, n) and x.strip(" ") not in near)) for d, t in docs.items()}
+
+
+def spoken(net, text, size):
+    """Language and probability of a text, by convolutions over all its windows at once."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data = text.encode()
+    n = -(-len(data) // size)
+    e = net.embed[np.frombuffer(data.ljust(n * size, b"\0"), np.uint8).reshape(n, size)]
+    pooled = np.concatenate([np.einsum("nsdw,wdf->nsf", np.lib.stride_tricks.sliding_window_view(e, len(k), axis=1), k).max(axis=1) for k in net.filters], axis=1)
+    z = np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias
+    z -= z.max(axis=1, keepdims=True)
+    weights = np.full(n, size)
+    weights[-1] = len(data) - size * (n - 1)
+    total = weights @ (z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / len(data)
+    p = np.exp(total - total.max())
+    return net.langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """source -> words to take: by weight, none over its limit, the excess shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        rest = share * sum(sizes.values()) - sum(most * sizes[s] for s in full)
+        free = sum(weight[s] for s in weight if s not in full)
+        goal = {s: most * sizes[s] if s in full else rest * weight[s] / free for s in weight}
+        over = {s for s in goal if s not in full and goal[s] > most * sizes[s]}
+        if not over:
+            return goal
+        full |= over

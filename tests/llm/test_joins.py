@@ -56,26 +56,6 @@ def test_jaccard_join_edge_cases(spark, edge):
     assert kept.columns == edge.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 7]
 
 
-def lines_kept(docs, near_chars):
-    """doc_id -> text with the lines gone that equal, or are an edit from, an earlier line."""
-    first, order = {}, []
-    for d in sorted(docs):
-        for n, line in enumerate((docs[d] or "").split("\n")):
-            s = line.strip(" ")
-            if s and s not in first:
-                first[s] = (d, n)
-                order.append(s)
-
-    def edit(a, b):
-        if abs(len(a) - len(b)) > 1:
-            return False
-        i = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
-        return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
-
-    near = {b for j, b in enumerate(order) if len(b) >= near_chars for a in order[:j] if len(a) >= near_chars and edit(a, b)}
-    return {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x.strip(" ")] == (d, n) and x.strip(" ") not in near)) for d, t in docs.items()}
-
-
 @pytest.mark.parametrize("near_chars", [line_dedup.NEAR_CHARS, 1])
 def test_line_dedup_matches_brute_force(spark, near_chars):
     rng = random.Random(5)
@@ -92,7 +72,7 @@ def test_line_dedup_matches_brute_force(spark, near_chars):
         docs[d] = "\n".join(lines)
     docs[60] = None
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame([(i, t, None, None, None) for i, t in docs.items()], COLUMNS).repartition(4), near_chars).collect()}
-    assert got == lines_kept(docs, near_chars)
+    assert got == brute.lines_kept(docs, near_chars)
 
 
 def test_line_dedup_edge_cases(edge):
