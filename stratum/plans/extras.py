@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.address import is_public
 from stratum.functions.embed import embedded
-from stratum.operators import mentions, router, structure
+from stratum.operators import language, mentions, router, structure
 from stratum.plans.common import SOURCES, terms
 from stratum.plans.corpus import _BLOCKS
 from stratum.sources.tables import load, sources
@@ -35,6 +35,12 @@ def question_seeds(spark: SparkSession, d: str) -> DataFrame:
     return mentions.seeds(_names(spark, d), load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+def source_language(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of the labelled documents of even ids, and what they say of every document."""
+    s = sources(spark, d)
+    return language.sure_language(s, language.profiles(s.where("source_id % 2 = 0").select("language", "text")))
+
+
 def page_headings(spark: SparkSession, d: str) -> DataFrame:
     li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seg_no"), F.col("l_quantity").alias("font_size"), F.col("l_returnflag").alias("text"))
     return mentions.page_headings(li)
@@ -70,7 +76,7 @@ def public_pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", is_public(F.col("url")).alias("public"))
 
 
-QUERIES = {f.__name__: f for f in (mention_detection, mention_spans, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
+QUERIES = {f.__name__: f for f in (mention_detection, mention_spans, source_language, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
 
 def seeded(own: str = "") -> str:
     """CTEs that end in ``seeded`` (query_id, node_id, start, width) over ``n`` (node_id, gram) and ``q`` (query_id, text), which may have to agree on a column."""
@@ -90,6 +96,12 @@ ORACLES = {
     "public_pages": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '\.+$', '') AS host FROM pages)
 SELECT page_id, scheme IN ('http', 'https') AND host NOT IN ('', 'localhost') AND NOT regexp_matches(host, '\.(localhost|local|internal)$') AND NOT regexp_matches(host, '^(10|127|0|192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))\.[0-9.]+$') AS public FROM h""",
     "question_seeds": f"WITH RECURSIVE {_SEED_NAMES}, q AS (SELECT item_id AS query_id, text FROM benchmark), {SEEDED} SELECT * FROM seeded",
+    "source_language": rf"""WITH {SOURCES}, words AS (SELECT source_id, language, ' ' || w || ' ' AS w, length(w) AS l FROM (SELECT source_id, language, unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS w FROM src) WHERE w <> ''),
+grams AS (SELECT source_id, language, substring(w, i, 3) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM words) GROUP BY ALL),
+known AS (SELECT language, gram, 301 - row_number() OVER (PARTITION BY language ORDER BY sum(n) DESC, gram) AS weight FROM grams WHERE source_id % 2 = 0 AND language IS NOT NULL GROUP BY language, gram QUALIFY weight > 0),
+scores AS (SELECT source_id, k.language, sum(n * weight) AS score FROM grams g JOIN known k USING (gram) GROUP BY ALL), size AS (SELECT source_id, sum(n) AS size FROM grams GROUP BY source_id),
+best AS (SELECT *, lead(score) OVER w AS second FROM scores WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, language) QUALIFY row_number() OVER w = 1)
+SELECT s.source_id, b.language FROM src s LEFT JOIN (SELECT source_id, language FROM best JOIN size USING (source_id) WHERE size >= 20 AND score * 100 >= coalesce(second, 0) * 115) b USING (source_id)""",
     "mention_spans": rf"""WITH RECURSIVE {SOURCES}, n AS (SELECT item_id AS node_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name FROM benchmark UNION ALL SELECT item_id + 1000000, split_part(text, ' ', 3) FROM benchmark),
 c AS (SELECT source_id AS chunk_id, text, lower(text) AS low FROM src WHERE source_id % 5 <> 0), found AS (
     SELECT node_id, lower(name) AS name, length(name) AS size, chunk_id, low, text, CAST(strpos(low, lower(name)) AS BIGINT) AS p, 0::BIGINT AS past FROM n JOIN c ON contains(low, lower(name)) WHERE regexp_matches(name, '[\p{{L}}\p{{M}}\p{{N}}]')
