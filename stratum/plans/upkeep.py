@@ -80,6 +80,13 @@ def generation_reseed(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_active(spark, two, root, "c").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"))
 
 
+def sweep_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as generations of their nations: some lost their row, some their folder, and their status goes by the sign of what they owe."""
+    c = load(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("coordinate"), F.col("c_custkey").cast("int").alias("generation"), "c_acctbal")
+    status = F.when(F.col("c_acctbal") < 0, "stale").when(F.col("generation") % 4 == 0, "building").otherwise("active")
+    return sinks.sweep_plan(c.where("generation % 5 > 0").withColumn("status", status), c.where("generation % 3 > 0"))
+
+
 def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Orders as chunks of customers' notebooks by segment, and line items of low discount as mentions."""
     o, c = load(spark, d, "orders"), load(spark, d, "customer")
@@ -229,7 +236,7 @@ def resolve_notebook(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (jsonl_sniff, transcript_blocks, prose_chunks, scanned_sources, graph_write, summary_replace, overview_freshness, active_indexes, generation_reseed, dense_chunks, question_context, valid_questions, latest_eval, notes_by_source, listing_orders, node_texts, bounded_maps, anchor_pages, worth_enriching, graph_nodes, relational_signal, entity_rollup, entity_evidence_live, chat_turns, expand_neighbors_full, ppr_topk, graph_compose, resolve_notebook)
+    for f in (jsonl_sniff, sweep_plan, transcript_blocks, prose_chunks, scanned_sources, graph_write, summary_replace, overview_freshness, active_indexes, generation_reseed, dense_chunks, question_context, valid_questions, latest_eval, notes_by_source, listing_orders, node_texts, bounded_maps, anchor_pages, worth_enriching, graph_nodes, relational_signal, entity_rollup, entity_evidence_live, chat_turns, expand_neighbors_full, ppr_topk, graph_compose, resolve_notebook)
 }
 
 _DENSE = """chunks AS (SELECT c_mktsegment AS notebook_id, o_orderkey AS chunk_id, o_orderpriority AS text FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT l_orderkey AS chunk_id, count(*) AS m FROM lineitem WHERE l_discount < 0.05 GROUP BY 1),
@@ -250,6 +257,8 @@ SELECT name, kind, round(score, 6) AS score, CASE WHEN max(score) OVER () > 0 TH
 
 ORACLES = {
     "jsonl_sniff": "SELECT user_id, user_id % 3 <> 0 AND count(*) >= 2 AS jsonl FROM events GROUP BY user_id",
+    "sweep_plan": """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS coordinate, CAST(c_custkey AS INTEGER) AS generation, CASE WHEN c_acctbal < 0 THEN 'stale' WHEN c_custkey % 4 = 0 THEN 'building' ELSE 'active' END AS status FROM customer WHERE c_custkey % 5 > 0 OR c_custkey % 3 > 0)
+SELECT coordinate, generation, CASE WHEN generation % 3 > 0 THEN CASE WHEN generation % 5 > 0 AND status <> 'stale' THEN 'keep' ELSE 'drop' END WHEN status = 'stale' THEN 'forget' WHEN status = 'active' THEN 'missing' ELSE 'wait' END AS action FROM c""",
     "transcript_blocks": """WITH c AS (SELECT conv_id AS source_id, turn AS seg_no, text, turn * 10.0::DOUBLE AS start, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN turn * 10.0::DOUBLE - 1 ELSE turn * 10.0::DOUBLE + 5 END AS "end" FROM conversations WHERE text IS NOT NULL),
 x AS (SELECT *, bool_or("end" < start) OVER (PARTITION BY source_id) AS bad, CAST(coalesce(sum(strlen(text) + 2) OVER (PARTITION BY source_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM c)
 SELECT source_id, seg_no, text, byte_start, byte_start + strlen(text) AS byte_end, start, "end" FROM x WHERE NOT bad""",
