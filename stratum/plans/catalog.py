@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.plans import corpus, extras, files, graphs, ingest, knowledge, retrieval, search, upkeep, web
+from stratum.plans import corpus, extras, files, graphs, ingest, knowledge, outlines, retrieval, search, streams, upkeep, web
 
-_GROUPS = (retrieval, search, corpus, knowledge, ingest, extras, files, upkeep, graphs, web)
+_GROUPS = (retrieval, search, corpus, knowledge, ingest, extras, files, upkeep, graphs, web, streams, outlines)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for g in _GROUPS for k, s in g.ORACLES.items()}
