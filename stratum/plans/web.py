@@ -31,8 +31,10 @@ def _words(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN 0 ELSE length({x}) - length(replace({x}, ' ', '')) + 1 END"
 
 
-#: Character references that the pages hold.
-_REFERENCES = "replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&copy;', '©'), '&amp;', '&')"
+#: Character references that the pages hold; the old ones count without their semicolon too, as in titles that were cut.
+_REFERENCES = "text"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("#x27", "''"), ("amp", "&")):
+    _REFERENCES = f"regexp_replace({_REFERENCES}, '&{_name};?', '{_sign}', 'g')"
 _HEADS = range(1, 7)
 
 ORACLES = {
