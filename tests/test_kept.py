@@ -66,3 +66,18 @@ def test_only_partitions_of_the_terms_are_read(spark, world):
     plan = index.hits(terms)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket), ", "") or "PartitionFilters: [isnotnull(bucket" in plan
     assert {r.term for r in index.hits(terms).collect()} == {"w1"}
+
+
+def test_terms_are_counted_where_lists_lie(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, ["b", "a", "b", "", "a", "b"]), (2, []), (3, None), (4, ["z"])]
+    got = spark.createDataFrame(rows, "chunk_id long, terms array<string>").select("chunk_id", F.explode(kept.counted(F.col("terms"))).alias("x")).select("chunk_id", "x.*")
+    assert sorted(map(tuple, got.collect())) == [(1, "", 1), (1, "a", 2), (1, "b", 3), (4, "z", 1)]
+    # postings pass between tasks as a few rows a chunk: no exchange by term
+    chunks = spark.range(3).selectExpr("id AS chunk_id", "concat_ws(' ', 'x', id, 'x', 'é É e') AS text")
+    index = kept.KeptIndex(spark, "nowhere")
+    plan = index._indexed(chunks)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    got = sorted(map(tuple, index._indexed(chunks)[0].collect()))
+    assert got == sorted(x for i in range(3) for x in [("x", i, 2, 6), (str(i), i, 1, 6), ("e", i, 3, 6)])
