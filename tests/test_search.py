@@ -92,3 +92,25 @@ def test_packed_parents(spark):
     assert all(data[a:b].decode() == t for t, _, _, a, b in got)
     assert [g[1] for g in got] == [5, 5, 2, 3] and [g[2] for g in got] == [0, 5, 10, 12]
     assert router.tier_caps(0) == router.UNKNOWN
+
+
+def test_parts_of_a_corpus_are_built_when_asked_for(spark):
+    from stratum.plans import search as plans
+
+    c = plans.Documents(spark, "/root/testdata/sf0.001")
+    assert search.whole_corpora(c, 30000).count() > 0
+    assert not {"index", "sections"} & set(vars(c))
+    # texts pass between no tasks on their way to chunks
+    plan = structure.children(structure.packed(spark.createDataFrame([(1, "n", "a b\nc")], "source_id long, notebook_id string, text string"), keep="notebook_id"), keep=("notebook_id",))
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in plan.collect()] == [(1, 0, "n", 0, "a b c", 3)]
+
+
+def test_sections_are_numbered_once_for_all_queries(spark):
+    wanted = spark.createDataFrame([(q, "n", ["section"], n) for q, n in ((1, 1), (2, 1), (3, 2), (4, None))], "query_id long, notebook_id string, words array<string>, n int")
+    sections = spark.createDataFrame([("n", 1, 1, "a section", 0, 5), ("n", 1, 2, "b", 5, 6), ("n", 1, 1, "Section b", 6, 9), ("n", 2, 2, "x", 0, 4), ("n", 2, 1, "y", 4, 9)], "notebook_id string, source_id long, level int, title string, start long, end long")
+    found = search.picked_sections(wanted, sections)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0, 5), (1, 2, 4, 9), (2, 1, 0, 5), (2, 2, 4, 9), (3, 1, 6, 9), (4, 1, 0, 5)]
+    # titles don't multiply by queries: windows come before the join with them
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
