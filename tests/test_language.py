@@ -23,3 +23,14 @@ def test_doubtful_texts_have_none(spark):
     got = {r.source_id: r.language for r in language.sure_language(spark.createDataFrame(rows, "source_id long, text string"), known).collect()}
     assert got == {1: "a", 2: None, 3: None, 4: None, 5: None, 6: None, 7: "b", 8: None}
     assert language.sure_language(spark.createDataFrame([], "source_id long, text string"), known).count() == 0
+
+
+def test_trigrams_are_counted_where_texts_lie(spark):
+    rows = [(1, "Ab, ab \U00010400É a"), (2, "x"), (3, None), (4, "1 2")]
+    got = sorted(map(tuple, language.trigrams(spark.createDataFrame(rows, "source_id long, text string"), "source_id").collect()))
+    assert got == sorted([(1, "", 7), (1, " ab", 2), (1, "ab ", 2), (1, " \U00010428é", 1), (1, "\U00010428é ", 1), (1, " a ", 1), (2, "", 1), (2, " x ", 1)])
+    twice = spark.createDataFrame([(5, "aba"), (5, "aba")], "source_id long, text string")
+    known = spark.createDataFrame([("a", "aba", 3)], "language string, gram string, weight int")
+    assert [r.language for r in language.sure_language(twice, known).collect()] == [None]  # six letters
+    plan = language.sure_language(twice, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan  # texts make no row a letter
