@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.functions.pieces import counter, load
 from stratum.sources.batches import map_batches, sliced
 
 PARENT, TOLERANCE = 512, 1
@@ -43,18 +44,21 @@ def token_pieces(blocks: DataFrame, path: str, most: int = PARENT + TOLERANCE) -
     """source_id, block_no, piece_no, byte_start, byte_end, n_tokens: blocks as pieces of up to ``most`` tokens, nearly all of one piece. Null texts have none."""
 
     def make():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = load(path)
         tokenizer.encode_special_tokens = True
+        count = counter(path)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [r for r in zip(*(c.to_pylist() for c in batch.columns)) if r[3] is not None]
             out = []
-            for (source, block, start, text), found in zip(rows, tokenizer.encode_batch([r[3] for r in rows], add_special_tokens=False)):
-                out += [(source, block, n, start + a, start + b, size) for n, (a, b, size) in enumerate(pieces(text, found.offsets, most))]
+            for source, block, start, text in rows:
+                # few blocks are cut, so few need to know where their tokens start
+                size = count(text) if count else most + 1
+                if size <= most:
+                    out.append((source, block, 0, start, start + len(text.encode()), size))
+                else:
+                    found = tokenizer.encode(text, add_special_tokens=False)
+                    out += [(source, block, n, start + a, start + b, size) for n, (a, b, size) in enumerate(pieces(text, found.offsets, most))]
             return _batch(out, PIECES)
 
         return run
