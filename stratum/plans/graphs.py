@@ -30,7 +30,7 @@ def entities(spark: SparkSession, d: str) -> Graph:
         c = corpus(spark, d)
         chunks = c.chunks.where("level = 1").select("chunk_id", "notebook_id", "level", "token_start")
         names = load(spark, d, "benchmark").where("item_id % 3 > 0").select(F.col("item_id").alias("node_id"), F.get(F.split("text", " "), F.lit(1)).alias("name"))
-        found = mentions.detect(names, c.chunks.where("level = 1").select("chunk_id", "text")).select(F.col("node_id").alias("item_id"), "chunk_id").join(chunks.select("chunk_id", "notebook_id"), "chunk_id")
+        found = mentions.detect(names, c.chunks.where("level = 1").select("chunk_id", "text", "notebook_id"), keep=("notebook_id",)).select(F.col("node_id").alias("item_id"), "chunk_id", "notebook_id")
         said = stage(found.select("item_id", "notebook_id", "chunk_id", (F.col("item_id") * 100 + F.substring("notebook_id", 4, 9).cast("int")).alias("node_id")))
         nodes = said.select("notebook_id", "node_id", "item_id").distinct().join(names.withColumnRenamed("node_id", "item_id"), "item_id")
         nodes = stage(nodes.select("notebook_id", "node_id", "item_id", "name", F.lit(None).cast("string").alias("canonical"), (F.col("item_id") % 2).alias("kind")))
