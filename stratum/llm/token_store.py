@@ -43,8 +43,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratum.functions.pieces import STOPS
 from stratum.llm import bloom
-from stratum.llm._common import map_batches, shared_dir, sliced, stage
+from stratum.llm._common import map_batches, shared_dir, sliced, slices, stage
 from stratum.llm.bpe import load, pieces
 
 #: Rolling hash: ids it looks back over; a cut on average every 2 ** BITS ids, and the least and most ids of a chunk.
@@ -54,6 +55,8 @@ END_ID = 1
 FAN = 16
 #: Bounds of what the dictionary is trained on: documents, and characters of each; and its bytes.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 20_000, 65_536
+#: Rows and bytes of texts encoded at a time; the more, the fewer words are looked up twice.
+SLICE = 2048, 4 << 20
 #: Words a worker remembers.
 REMEMBERED = 1_200_000
 
@@ -125,22 +128,80 @@ def _kind(tokenizer) -> str:
     return "<u2" if max(tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1) <= 1 << 16 else "<u4"
 
 
+def binary(data, offsets: np.ndarray) -> pa.Array:
+    """What lies in ``data`` between each offset and the next, as a column."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def between(data: bytes, offsets: np.ndarray) -> list[bytes]:
+    """The same as a list."""
+    at = offsets.tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def list_ends(lists: pa.Array) -> np.ndarray:
+    """0, and up to each list's end the number of values; null counts as empty."""
+    return np.r_[0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy())].astype(np.int64)
+
+
+def before_stops(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places between a word's last Latin letter and the stops that end it, which are a piece of their own."""
+    starts, ends = offsets[:-1], offsets[1:]
+    heads = pc.binary_length(pc.ascii_rtrim(pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), STOPS.decode())).to_numpy()
+    at = (starts + heads)[(heads > 0) & (starts + heads < ends)]
+    last, wide = data[at - 1], data[np.maximum(at, 2) - 2] == 0xC3
+    return at[_LETTER[last] | wide & _LATIN[last]]
+
+
+#: By byte: ASCII letters, and the second bytes of the letters from U+00C0 to U+00FF.
+_LETTER = np.array([bytes([b]).isalpha() for b in range(256)])
+_LATIN = np.array([0x80 <= b < 0xC0 and bytes([0xC3, b]).decode().isalpha() for b in range(256)])
+
+
 def encoder(path: str):
-    """A function from a text to its packed ids, with the words of a worker remembered."""
-    kind = _kind(load(path))
-    known = pieces(path, kind, REMEMBERED)
+    """A function from texts to all their ids in order, and how many each has; ``end``, if given, follows every text.
+
+    A word is looked up once a call, and the words of a worker are remembered.
+    """
+    kind = np.dtype(_kind(load(path)))
+    known = pieces(path, kind.str, REMEMBERED)
     tokenizer, get = known.tokenizer, known.__getitem__
     whole = not separates(tokenizer)
     folds = tokenizer.normalizer is not None and tokenizer.encode("AB C", add_special_tokens=False).ids == tokenizer.encode("ab c", add_special_tokens=False).ids
 
-    def packed(s: str | None) -> bytes:
+    def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Packed ids of the distinct pieces, the pieces of all texts by their place there, and the number of pieces up to each text's end."""
         if whole:
-            return np.asarray(tokenizer.encode(s or "", add_special_tokens=False).ids, kind).tobytes()
-        data = (s or "").encode()
-        # fewer kinds of word; special tokens are told by their case
-        return b"".join(map(get, (data.lower() if folds and b"<|" not in data else data).split()))
-
-    return packed
+            return [np.asarray(tokenizer.encode(s, add_special_tokens=False).ids, kind).tobytes() for s in texts.to_pylist()], np.arange(len(texts)), np.arange(len(texts)) + 1
+        if folds:  # fewer kinds of word; special tokens are told by their case
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        ends, flat = split.offsets.to_numpy()[1:] - split.offsets[0].as_py(), split.flatten()
+        if not len(flat):
+            return [], np.zeros(0, np.int64), ends
+        _, offsets, data = flat.buffers()
+        offsets, data = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1], np.frombuffer(data or b"", np.uint8)
+        if known.direct:
+            cut = before_stops(data, offsets)
+            ends, offsets = ends + np.searchsorted(cut, offsets[ends]), np.insert(offsets, np.searchsorted(offsets, cut), cut)
+        coded = binary(data, offsets).dictionary_encode()
+        _, offsets, data = coded.dictionary.buffers()
+        return list(map(get, between(data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1]))), coded.indices.to_numpy(), ends
+
+    def ids(texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        distinct, codes, ends = words(pc.fill_null(texts, "").cast(pa.string()))
+        if end is not None:
+            codes, ends = np.insert(codes, ends, len(distinct)), ends + np.arange(1, len(ends) + 1)
+            distinct.append(np.asarray([end], kind).tobytes())
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // kind.itemsize
+        n = sizes[codes]
+        till = np.cumsum(n)
+        # where a piece's ids lie among those of the distinct ones, less where they go
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - till + n, n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(distinct), kind)[at], np.diff(np.r_[0, till][ends], prepend=0)
+
+    return ids
 
 
 def zstd(dictionary: bytes):
@@ -157,9 +218,10 @@ def dictionary(docs: DataFrame, path: str) -> bytes:
     def run(batches):
         import zstandard
 
-        packed, held = encoder(path), []
+        encode, held = encoder(path), []
         for batch in sliced(batches):
-            held += map(packed, batch.column(0).to_pylist())
+            ids, n = encode(batch.column(0))
+            held += between(ids.tobytes(), np.r_[0, np.cumsum(n)] * ids.itemsize)
         try:
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.train_dictionary(DICTIONARY, held).as_bytes()], pa.binary())], names=["d"])
         except zstandard.ZstdError:  # too few or too short
@@ -176,16 +238,14 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, words: bytes = b""
 
     def make():
         tokenizer = load(path)
-        kind, packed = _kind(tokenizer), encoder(path)
-        end = np.asarray([end_id], kind).tobytes()
+        kind, encode = _kind(tokenizer), encoder(path)
         gear = np.random.default_rng(1).integers(0, 1 << 64, 1 << 16 if kind == "<u2" else max(tokenizer.get_vocab_size(), end_id + 1), np.uint64)
         pack, width = zstd(words)[0], np.dtype(kind).itemsize
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data = [packed(s) + end for s in batch.column(1).to_pylist()]
-            n = np.array([len(x) // width for x in data], np.int64)
+            ids, n = encode(batch.column(1), end_id)
             starts = np.r_[0, np.cumsum(n)]
-            found = cuts(np.frombuffer(b"".join(data), kind), gear)
+            found, data = cuts(ids, gear), between(ids.tobytes(), starts * width)
             sides = np.searchsorted(found, starts, "right")
             lengths, digests, roots = [], [], []
             for x, at, size, lo, hi in zip(data, starts.tolist(), n.tolist(), sides.tolist(), sides[1:].tolist()):
@@ -198,7 +258,13 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, words: bytes = b""
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_tokens bigint, lengths binary, hashes binary, root binary, payload binary")
+    def every(batches):
+        run = make()
+        for batch in batches:
+            for part in slices(batch, *SLICE):
+                yield run(part)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(every, "doc_id bigint, n_tokens bigint, lengths binary, hashes binary, root binary, payload binary")
 
 
 def _halves(digests: list[bytes]) -> np.ndarray:
@@ -241,7 +307,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
     first = stage(refs.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_id", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first.row_id", "first.seq"))
     shared = refs.join(first.select("a", "b", F.col("row_id").alias("first_row"), F.col("seq").alias("first_seq")), ["a", "b"]).withColumn("owner", (F.col("row_id") == F.col("first_row")) & (F.col("seq") == F.col("first_seq")))
     marks = stage(shared.groupBy("doc_id", "row_id").agg(F.collect_list(F.when(F.col("owner"), F.col("seq"))).alias("given"), F.collect_list(F.when(~F.col("owner"), F.col("seq"))).alias("foreign")))
-    both = rows.withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    # digests follow from the ids, so they don't move along
+    both = rows.drop("hashes").withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     laid = both.repartitionByRange(F.col("doc_id").asc_nulls_first(), "row_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_id", "kind")
 
     def lay(batches):
@@ -252,10 +319,11 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
         for batch in sliced(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             sorts, marks = col["kind"].to_pylist(), {}
+            seqs = {n: (list_ends(col[n]), col[n].flatten().to_numpy()) for n in ("given", "foreign")}
             rows = []
             for i, sort in enumerate(sorts):
                 if sort == 0:
-                    mark = (col["given"][i].as_py(), col["foreign"][i].as_py())
+                    mark = [x[e[i] : e[i + 1]] for e, x in seqs.values()]
                     continue
                 if mark:
                     marks[len(rows)] = mark
@@ -266,17 +334,22 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
             n_chunks = np.array([len(x) for x in sizes], np.int64)
             ends = np.r_[0, np.cumsum(n_chunks)]
             owned, given = np.ones(ends[-1], bool), np.zeros(ends[-1], bool)
-            payload = kept["payload"].to_pylist()
-            for i, (out, foreign) in marks.items():
-                given[ends[i] + np.array(out, np.int64)] = True
-                if foreign:
-                    owned[ends[i] + np.array(foreign, np.int64)] = False
-                    at_ = np.r_[0, np.cumsum(sizes[i], dtype=np.int64)] * width
-                    raw = unpack(payload[i])
-                    payload[i] = pack(b"".join(raw[at_[k] : at_[k + 1]] for k in np.flatnonzero(owned[ends[i] : ends[i + 1]]).tolist()))
+            payload, hashes = kept["payload"].to_pylist(), []
+            places = np.r_[0, np.cumsum(np.concatenate([*sizes, np.zeros(0, "<u2")]), dtype=np.int64)] * width
+            for i, x in enumerate(payload):
+                lo, hi = int(ends[i]), int(ends[i + 1])
+                chunks = between(unpack(x), places[lo : hi + 1] - places[lo])
+                hashes += map(digest, chunks)
+                if i not in marks:
+                    continue
+                out, foreign = marks[i]
+                given[lo + out] = True
+                if len(foreign):
+                    owned[lo + foreign] = False
+                    payload[i] = pack(b"".join(chunks[k] for k in np.flatnonzero(owned[lo:hi]).tolist()))
             starts = start + np.r_[0, np.cumsum(kept["n_tokens"].to_numpy(zero_copy_only=False))].astype(np.int64)
             offsets = pa.array(ends, pa.int32())
-            digests = pa.Array.from_buffers(pa.binary(), int(ends[-1]), [None, pa.py_buffer(np.arange(0, 16 * ends[-1] + 1, 16, np.int32)), pa.py_buffer(b"".join(kept["hashes"].to_pylist()))])
+            digests = binary(b"".join(hashes), np.arange(0, 16 * ends[-1] + 1, 16))
             new = {"lengths": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*sizes, np.zeros(0, "<u2")]).astype(np.int32))), "hashes": pa.ListArray.from_arrays(offsets, digests), "owned": pa.ListArray.from_arrays(offsets, pa.array(owned)), "given": pa.ListArray.from_arrays(offsets, pa.array(given)), "payload": pa.array(payload, pa.binary()), "part": pa.array(np.full(len(rows), part), pa.int32()), "at": pa.array(at + np.arange(len(rows)), pa.int64()), "local_start": pa.array(starts[:-1], pa.int64())}
             at, start = at + len(rows), int(starts[-1])
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else kept[f.name] for f in laid_schema], names=laid_schema.names)
@@ -317,18 +390,20 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
     # one row a range of documents
     before = written.select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
+    def places_of(lengths: pa.Array, owned: pa.Array) -> np.ndarray:
+        """Where the kept ids of each chunk start, in bytes, over all rows."""
+        return np.r_[0, np.cumsum(lengths.flatten().to_numpy().astype(np.int64) * owned.flatten().to_numpy(zero_copy_only=False))] * width
+
     def give(batches):
         unpack = zstd(words)[1]
         for batch in sliced(batches):
-            hashes, data = [], []
-            for names, lengths, owned, given, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                raw, at = unpack(payload), 0
-                for h, n, own, lend in zip(names, lengths, owned, given):
-                    if lend:
-                        hashes.append(h)
-                        data.append(raw[at : at + n * width])
-                    at += n * width * own
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], names=["hash", "data"])
+            hashes, lengths, owned, given, payload = batch.columns
+            ends, places = list_ends(lengths), places_of(lengths, owned)
+            raw, hit = list(map(unpack, payload.to_pylist())), np.flatnonzero(given.flatten().to_numpy(zero_copy_only=False))
+            row = np.searchsorted(ends, hit, "right") - 1
+            start = places[ends[row]]
+            data = [raw[i][a:b] for i, a, b in zip(row.tolist(), (places[hit] - start).tolist(), (places[hit + 1] - start).tolist())]
+            yield pa.RecordBatch.from_arrays([hashes.flatten().take(pa.array(hit)), pa.array(data, pa.binary())], names=["hash", "data"])
 
     lent = rows.where(F.exists("given", lambda x: x)).select("hashes", "lengths", "owned", "given", "payload").mapInArrow(give, "hash binary, data binary")
     missing = rows.where(F.exists("owned", lambda x: ~x)).select("part", "at", F.explode(F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("seq"), h.alias("hash"), F.get("owned", i).alias("own"))), lambda x: ~x["own"])).alias("x")).select("part", "at", "x.seq", "x.hash")
@@ -342,23 +417,23 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
     def make():
         unpack = zstd(words)[1]
 
-        def one(doc_id, lengths: np.ndarray, owned: np.ndarray, payload: bytes, root: bytes, borrowed: dict[int, bytes]) -> bytes:
-            raw, ends = unpack(payload), (np.cumsum(lengths * owned) * width).tolist()
-            parts = [raw[a:b] if own else borrowed.get(i, b"") for i, (own, a, b) in enumerate(zip(owned.tolist(), [0, *ends], ends))]
+        def one(doc_id, places: np.ndarray, payload: bytes, root: bytes, borrowed: list[tuple[int, bytes]]) -> bytes:
+            raw = unpack(payload)
+            parts = between(raw, places - places[0])
+            for i, x in borrowed:
+                parts[i] = x
             if merkle([digest(p) for p in parts]) != root:
                 raise ValueError(f"a chunk of document {doc_id} isn't what its digest says")
             return b"".join(parts) if borrowed else raw
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            ends = np.r_[0, np.cumsum(col["lengths"].value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-            lengths, owned = (col[n].flatten().to_numpy(zero_copy_only=False) for n in ("lengths", "owned"))
-            sides = pc.fill_null(col["borrowed"].value_lengths(), 0).to_numpy(zero_copy_only=False)
+            ends, places, owned = list_ends(col["lengths"]), places_of(col["lengths"], col["owned"]), col["owned"].flatten().to_numpy(zero_copy_only=False)
             lent = col["borrowed"].flatten()
             lent = list(zip(lent.field("seq").to_pylist(), lent.field("data").to_pylist()))
-            till = np.r_[0, np.cumsum(sides)].astype(np.int64).tolist()
+            till = list_ends(col["borrowed"]).tolist()
             rows = zip(*(col[n].to_pylist() for n in ("doc_id", "payload", "root")), ends.tolist(), ends[1:].tolist(), till, till[1:])
-            got = [one(doc_id, lengths[a:b], owned[a:b], payload, root, dict(lent[c:d])) for doc_id, payload, root, a, b, c, d in rows]
+            got = [one(doc_id, places[a : b + 1], payload, root, lent[c:d]) for doc_id, payload, root, a, b, c, d in rows]
             n_owned = np.add.reduceat(np.r_[owned, False].astype(np.int64), ends[:-1]) if len(got) else []
             crc = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in got]
             out = {"doc_id": col["doc_id"], "part": col["part"], "local_start": col["local_start"], "n_tokens": pa.array([len(x) // width for x in got], pa.int64()), "n_chunks": pa.array(np.diff(ends), pa.int32()), "n_owned": pa.array(n_owned, pa.int32()), "ids_crc32": pa.array(crc, pa.int64())}
