@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -195,10 +196,11 @@ def encoder(path: str):
             distinct.append(np.asarray([end], kind).tobytes())
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // kind.itemsize
         n = sizes[codes]
-        till = np.cumsum(n)
+        till, starts = np.cumsum(n), np.cumsum(sizes) - sizes
+        small = np.int32 if max(starts[-1:].max(initial=0), till[-1:].max(initial=0)) < 1 << 30 else np.int64
         # where a piece's ids lie among those of the distinct ones, less where they go
-        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - till + n, n)
-        at += np.arange(len(at))
+        at = np.repeat((starts[codes] - till + n).astype(small), n)
+        at += np.arange(len(at), dtype=small)
         return np.frombuffer(b"".join(distinct), kind)[at], np.diff(np.r_[0, till][ends], prepend=0)
 
     return ids
@@ -247,13 +249,16 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, words: bytes = b""
             starts = np.r_[0, np.cumsum(n)]
             found, data = cuts(ids, gear), between(ids.tobytes(), starts * width)
             sides = np.searchsorted(found, starts, "right")
-            lengths, digests, roots = [], [], []
+            every, digests, roots = [], [], []
             for x, at, size, lo, hi in zip(data, starts.tolist(), n.tolist(), sides.tolist(), sides[1:].tolist()):
                 ends = chunk_ends((found[lo:hi] - at).tolist(), size)
                 own = [digest(x[a * width : b * width]) for a, b in zip([0, *ends], ends)]
-                lengths.append(np.diff(ends, prepend=0).astype("<u2").tobytes())
+                every.append(ends)
                 digests.append(b"".join(own))
                 roots.append(merkle(own))
+            till = np.r_[0, np.cumsum([len(ends) for ends in every])].astype(np.int64)
+            at = np.fromiter(chain.from_iterable(every), np.int64, till[-1]) + np.repeat(starts[:-1], np.diff(till))
+            lengths = between(np.diff(at, prepend=0).astype("<u2").tobytes(), 2 * till)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(x, pa.binary()) for x in (lengths, digests, roots, [pack(x) for x in data]))], names=["doc_id", "n_tokens", "lengths", "hashes", "root", "payload"])
 
         return run
@@ -407,12 +412,12 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
 
     lent = rows.where(F.exists("given", lambda x: x)).select("hashes", "lengths", "owned", "given", "payload").mapInArrow(give, "hash binary, data binary")
     missing = rows.where(F.exists("owned", lambda x: ~x)).select("part", "at", F.explode(F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("seq"), h.alias("hash"), F.get("owned", i).alias("own"))), lambda x: ~x["own"])).alias("x")).select("part", "at", "x.seq", "x.hash")
-    got = missing.join(lent, "hash").groupBy("part", "at").agg(F.collect_list(F.struct("seq", "data")).alias("borrowed"))
     cols = ["doc_id", "n_tokens", "lengths", "owned", "payload", "root", "part", "local_start"]
-    none = F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("borrowed")
-    whole = rows.where(F.forall("owned", lambda x: x)).select(*cols, none)
-    # one row for each of the two sides at most: (part, at) names a row of the store. The recipe itself needn't move: its root tells
-    patched = rows.where(F.exists("owned", lambda x: ~x)).join(got, ["part", "at"], "left").select(*cols, "borrowed")
+    whole = rows.where(F.forall("owned", lambda x: x)).select(*cols)
+    # a row of the store and after it what it borrows; (part, at) names one. The recipe itself needn't move: its root tells
+    borrowing = rows.where(F.exists("owned", lambda x: ~x)).select(*cols, "at", F.lit(-1).alias("seq"))
+    borrowed = missing.join(lent, "hash").select("part", "at", "seq", "data")
+    patched = borrowing.unionByName(borrowed, allowMissingColumns=True).repartition("part", "at").sortWithinPartitions("part", "at", "seq").select(*cols, "seq", "data")
 
     def make():
         unpack = zstd(words)[1]
@@ -426,12 +431,11 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
                 raise ValueError(f"a chunk of document {doc_id} isn't what its digest says")
             return b"".join(parts) if borrowed else raw
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, till: list[int] | None = None, lent: list[tuple[int, bytes]] | None = None) -> pa.RecordBatch:
+            """``till``: what each row borrows ends there in ``lent``."""
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             ends, places, owned = list_ends(col["lengths"]), places_of(col["lengths"], col["owned"]), col["owned"].flatten().to_numpy(zero_copy_only=False)
-            lent = col["borrowed"].flatten()
-            lent = list(zip(lent.field("seq").to_pylist(), lent.field("data").to_pylist()))
-            till = list_ends(col["borrowed"]).tolist()
+            till, lent = till or [0] * (len(ends)), lent or []
             rows = zip(*(col[n].to_pylist() for n in ("doc_id", "payload", "root")), ends.tolist(), ends[1:].tolist(), till, till[1:])
             got = [one(doc_id, places[a : b + 1], payload, root, lent[c:d]) for doc_id, payload, root, a, b, c, d in rows]
             n_owned = np.add.reduceat(np.r_[owned, False].astype(np.int64), ends[:-1]) if len(got) else []
@@ -443,7 +447,29 @@ def read(spark: SparkSession, store: Store, path: str, ids: bool = True) -> Data
 
         return run
 
-    back = map_batches(whole.unionByName(patched), make, "doc_id bigint, part int, local_start bigint, n_tokens bigint, n_chunks int, n_owned int, ids_crc32 bigint" + ", ids binary" * ids)
+    def patch(batches):
+        run, held = make(), []
+
+        def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seq = batch.column("seq").to_numpy()
+            at, rest = np.flatnonzero(seq < 0), np.flatnonzero(seq >= 0)
+            lent = list(zip(seq[rest].tolist(), batch.column("data").take(pa.array(rest)).to_pylist()))
+            return run(batch.select(cols).take(pa.array(at)), [*(at - np.arange(len(at))).tolist(), len(rest)], lent)
+
+        for batch in sliced(batches):
+            heads = np.flatnonzero(batch.column("seq").to_numpy() < 0)
+            if not len(heads):
+                held.append(batch)
+                continue
+            # the last row may borrow more in the next batch
+            last = int(heads[-1])
+            yield finish(pa.concat_batches([*held, batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        if held:
+            yield finish(pa.concat_batches(held))
+
+    schema = "doc_id bigint, part int, local_start bigint, n_tokens bigint, n_chunks int, n_owned int, ids_crc32 bigint" + ", ids binary" * ids
+    back = map_batches(whole, make, schema).unionByName(patched.mapInArrow(patch, schema))
     return back.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", "n_owned", *["ids"] * ids)
 
 

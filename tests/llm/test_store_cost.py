@@ -41,3 +41,14 @@ def test_digests_do_not_move_with_the_ids(small_docs, monkeypatch):
     monkeypatch.setattr(kind, "repartitionByRange", lambda self, *cols, f=kind.repartitionByRange: moved.append(self.columns) or f(self, *cols))
     token_store.write(small_docs, WORD)
     assert len(moved) == 1 and "payload" in moved[0] and "hashes" not in moved[0]
+
+
+def test_what_a_document_borrows_may_come_in_several_batches(spark, small_docs):
+    docs = small_docs.unionByName(small_docs)
+    want = sorted(map(tuple, token_store.report(docs, WORD).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = sorted(map(tuple, token_store.report(docs, WORD).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and sum(r[-2] > r[-1] for r in got) >= 200 and max(r[-2] - r[-1] for r in got) > 9
