@@ -36,12 +36,12 @@ class Graph:
 def seeds(questions: DataFrame, g: Graph, of: DataFrame) -> DataFrame:
     """query_id, logical_id, nth of the entities that each question (query_id, notebook_id, text, vector) starts from.
 
-    These are the entities of its notebook that it names, longest names first.
+    These are all entities of its notebook that it names, longest names first.
     Where it names none, the nearest ones by their vectors stand in. A question that says
     too little besides its names starts from nothing.
     """
-    named = stage(mentions.seeds(of.select("node_id", "notebook_id", F.col("name")), questions, by="notebook_id"))
-    signal = mentions.relational(questions, named)
+    named = stage(mentions.seeds(of.select("node_id", "notebook_id", F.col("name")), questions, by="notebook_id", most=None, widest=None))
+    signal = mentions.relational(questions, named, None)
     by_name = named.join(signal.where("walk").select("query_id"), "query_id", "left_semi").join(of.select("node_id", "logical_id", "key"), "node_id").select("query_id", "logical_id", F.col("start").alias("ord"), "key")
     found = by_name
     if g.vectors is not None:
@@ -51,7 +51,7 @@ def seeds(questions: DataFrame, g: Graph, of: DataFrame) -> DataFrame:
         found = by_name.unionByName(near.select("query_id", "logical_id", F.col("rank0").alias("ord"), "key"))
     one = found.groupBy("query_id", "logical_id").agg(F.min("ord").alias("ord"), F.min("key").alias("key"))
     w = Window.partitionBy("query_id").orderBy("ord", "key", "logical_id")
-    return one.withColumn("nth", F.row_number().over(w) - 1).where(F.col("nth") < graph.SEEDS).select("query_id", "logical_id", "nth")
+    return one.withColumn("nth", F.row_number().over(w) - 1).select("query_id", "logical_id", "nth")
 
 
 def chunks_of(g: Graph, of: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

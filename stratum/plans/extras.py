@@ -78,9 +78,9 @@ def public_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (mention_detection, mention_spans, source_language, question_seeds, page_headings, notes_export, structural_section, citation_snippet, json_objects, hash_embedding, public_pages)}
 
-def seeded(own: str = "") -> str:
-    """CTEs that end in ``seeded`` (query_id, node_id, start, width) over ``n`` (node_id, gram) and ``q`` (query_id, text), which may have to agree on a column."""
-    return rf"""qt AS (SELECT query_id, ({terms("text")})[1:64] AS t FROM q), qs AS (SELECT query_id, t, unnest(range(len(t))) AS start FROM qt), qg AS (SELECT query_id, start, unnest([1, 2, 3, 4, 5]) AS width, t FROM qs),
+def seeded(own: str = "", whole: bool = False) -> str:
+    """CTEs that end in ``seeded`` (query_id, node_id, start, width) over ``n`` (node_id, gram) and ``q`` (query_id, text), which may have to agree on a column. ``whole``: names of any width in all of a question."""
+    return rf"""qt AS (SELECT query_id, ({terms("text")}){"[1:64]" * (not whole)} AS t FROM q), qs AS (SELECT query_id, t, unnest(range(len(t))) AS start FROM qt), qg AS (SELECT query_id, start, unnest({"range(1, len(t) - start + 1)" if whole else "[1, 2, 3, 4, 5]"}) AS width, t FROM qs),
 qh AS (SELECT qg.query_id, start, width, min(node_id) AS node_id FROM qg {f"JOIN q USING (query_id)" if own else ""} JOIN n ON gram = array_to_string(t[start + 1:start + width], ' ') {f"AND n.{own} = q.{own}" if own else ""} WHERE start + width <= len(t) AND gram <> '' GROUP BY ALL),
 qo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY width DESC, start) AS k FROM qh), fold AS (
     SELECT query_id, k, [{{'start': start, 'width': width, 'node_id': node_id}}] AS taken FROM qo WHERE k = 1

@@ -35,7 +35,7 @@ def entities(spark: SparkSession, d: str) -> Graph:
         nodes = said.select("notebook_id", "node_id", "item_id").distinct().join(names.withColumnRenamed("node_id", "item_id"), "item_id")
         nodes = stage(nodes.select("notebook_id", "node_id", "item_id", "name", F.lit(None).cast("string").alias("canonical"), (F.col("item_id") % 2).alias("kind")))
         none = F.lit(None).cast("double")
-        co = graph.cooccurrence(said).select("from_node", "to_node", F.lit("co_occurs").alias("relation"), F.col("weight").cast("double").alias("weight"), none.alias("confidence"))
+        co = graph.cooccurrence(said, None).select("from_node", "to_node", F.lit("co_occurs").alias("relation"), F.col("weight").cast("double").alias("weight"), none.alias("confidence"))
         w = Window.partitionBy("notebook_id").orderBy("node_id")
         near = nodes.select(F.col("node_id").alias("from_node"), F.lead("node_id").over(w).alias("to_node"), F.lit("near").alias("relation"), F.lit(1.0).alias("weight"), (F.col("item_id") % 10 / 10).alias("confidence")).where("to_node is not null")
         vectors = nodes.join(load(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select("node_id", F.col("embedding").alias("vector"))
@@ -84,12 +84,12 @@ _LISTED = rf"""names AS (SELECT item_id, {_NAME} AS name, {terms(_NAME)} AS t FR
 ), kg AS (SELECT chunk_id, notebook_id, array_to_string(t[start + 1:start + width], ' ') AS gram FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS width FROM ks) WHERE start + width <= len(t)
 ), said AS MATERIALIZED (SELECT item_id, notebook_id, chunk_id, item_id * 100 + CAST(substr(notebook_id, 4) AS INTEGER) AS node_id, name FROM kg JOIN names ON gram = array_to_string(names.t, ' ') WHERE len(names.t) > 0
 ), logic AS MATERIALIZED (SELECT *, min(node_id) OVER w AS logical_id, min(name) OVER w AS called FROM (SELECT DISTINCT item_id, notebook_id, node_id, name, lower(name) AS key, item_id % 2 AS kind FROM said) WINDOW w AS (PARTITION BY notebook_id, key, kind)
-), present AS (SELECT DISTINCT chunk_id, node_id FROM said), firsts AS (SELECT * FROM present QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY node_id) <= 30
-), links AS (SELECT a.node_id AS from_node, b.node_id AS to_node, 'co_occurs' AS relation, ln(1 + count(*)) AS w FROM firsts a JOIN firsts b ON a.chunk_id = b.chunk_id AND a.node_id < b.node_id GROUP BY ALL
+), present AS (SELECT DISTINCT chunk_id, node_id FROM said
+), links AS (SELECT a.node_id AS from_node, b.node_id AS to_node, 'co_occurs' AS relation, ln(1 + count(*)) AS w FROM present a JOIN present b ON a.chunk_id = b.chunk_id AND a.node_id < b.node_id GROUP BY ALL
     UNION ALL SELECT * FROM (SELECT node_id, lead(node_id) OVER (PARTITION BY notebook_id ORDER BY node_id) AS to_node, 'near', greatest(3.0 * (item_id % 10 / 10), 0.01) FROM logic) WHERE to_node IS NOT NULL
 ), le AS (SELECT x.logical_id AS a, y.logical_id AS b, relation, w FROM links JOIN logic x ON from_node = x.node_id JOIN logic y ON to_node = y.node_id WHERE x.logical_id <> y.logical_id
 ), ways AS (SELECT a, b, sum(w) AS w FROM (SELECT a, b, w FROM le UNION ALL SELECT b, a, w FROM le WHERE relation = 'co_occurs') GROUP BY ALL
-), n AS (SELECT notebook_id, node_id, array_to_string({terms("called")}, ' ') AS gram FROM logic), q AS (SELECT query_id, notebook_id, text FROM asks), {seeded("notebook_id")},
+), n AS (SELECT notebook_id, node_id, array_to_string({terms("called")}, ' ') AS gram FROM logic), q AS (SELECT query_id, notebook_id, text FROM asks), {seeded("notebook_id", whole=True)},
 claims AS (SELECT query_id, count(*) AS n_seeds, flatten(list(range(start, start + width))) AS claimed FROM seeded GROUP BY query_id), qw AS (SELECT query_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM qt
 ), signal AS (SELECT query_id, coalesce(any_value(n_seeds), 0) AS n_seeds, count(*) FILTER (NOT list_contains(coalesce(claimed, []), i) AND w NOT IN ({_STOP})) AS residual FROM qw LEFT JOIN claims USING (query_id) GROUP BY query_id
 ), near AS (
@@ -100,7 +100,7 @@ claims AS (SELECT query_id, count(*) AS n_seeds, flatten(list(range(start, start
 ), started AS (
     SELECT query_id, logical_id, start AS ord, key FROM seeded JOIN logic USING (node_id) JOIN signal USING (query_id) WHERE residual >= {mentions.LEAST_SIGNAL}
     UNION ALL SELECT query_id, logical_id, ord, key FROM near WHERE round(c, 12) >= {LEAST_COSINE}
-), chosen AS MATERIALIZED (SELECT query_id, logical_id AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY min(ord), min(key), logical_id) - 1 AS nth FROM started GROUP BY query_id, logical_id QUALIFY nth < 64
+), chosen AS MATERIALIZED (SELECT query_id, logical_id AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY min(ord), min(key), logical_id) - 1 AS nth FROM started GROUP BY query_id, logical_id
 ), {_walks("chosen")}, walked AS (
     SELECT query_id, logical_id, score / max(score) OVER (PARTITION BY query_id) AS conf, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, called, kind, logical_id) - 1 AS rank0
     FROM (SELECT r.* FROM r{ROUNDS} r ANTI JOIN chosen USING (query_id, node_id)) JOIN (SELECT DISTINCT logical_id, called, kind FROM logic) ON node_id = logical_id WHERE score > 0 QUALIFY rank0 < 50
